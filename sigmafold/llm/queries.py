@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sigmafold.llm import exact_dedup
+from sigmafold.llm import exact_dedup, fingerprints, mixing
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op8_fingerprints": fingerprints.op8_fingerprints,
 }
 
 ORACLES = {
+    "op3_mixing": mixing.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
