@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sigmafold.llm import exact_dedup, fingerprints, mixing
+from sigmafold.llm import exact_dedup, fingerprints, mixing, packing, token_output
 
 QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_token_output": token_output.op7_token_output,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES = {
