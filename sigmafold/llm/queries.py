@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sigmafold.llm import exact_dedup, fingerprints, mixing, packing, token_output
+from sigmafold.llm import exact_dedup, fingerprints, language_id, mixing, packing, quality, token_output
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_mixing": mixing.op3_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_output": token_output.op7_token_output,
     "op8_fingerprints": fingerprints.op8_fingerprints,
+    "op9_quality": quality.op9_quality,
     "op10_packing": packing.op10_packing,
 }
 
