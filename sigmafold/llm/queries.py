@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sigmafold.llm import exact_dedup, fingerprints, language_id, mixing, packing, quality, token_output
+from sigmafold.llm import exact_dedup, fingerprints, html_extract, language_id, mixing, packing, quality, token_output
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_html_extract": html_extract.op2_html_extract,
     "op3_mixing": mixing.op3_mixing,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_token_output": token_output.op7_token_output,
