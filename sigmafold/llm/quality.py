@@ -47,10 +47,11 @@ def _units(raw, breaks, bounds):
     start = np.flatnonzero(opens)
     stop_marks = np.flatnonzero(inside & (np.concatenate([breaks[1:], [True]]) | edge[1:])) + 1
     length = stop_marks - start
-    # A polynomial hash of each run, from running sums modulo 2**64.
-    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), 0x9E3779B97F4A7C15, np.uint64)]))
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], dtype=np.uint64)])
-    code = (running[stop_marks] - running[start]) * power[len(raw) - start]
+    # A polynomial hash of each run, from running sums modulo 2**64, moved back to the run's own start.
+    base = 0x9E3779B97F4A7C15
+    powers = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), p, np.uint64)])) for p in (base, pow(base, -1, 1 << 64))]
+    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[0][:-1], dtype=np.uint64)])
+    code = (running[stop_marks] - running[start]) * powers[1][start]
     return start, length, code, np.searchsorted(start, bounds)
 
 

@@ -89,20 +89,30 @@ class PieceEncoder:
         single = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32)), kept)
         return pa.concat_arrays([self._cut(texts.filter(pa.array(~whole))), single]).take(pa.array(order))
 
-    def _places(self, cut):
+    def places(self, words: list[str]):
         """Place of every piece in what is remembered; pieces seen for the first time are encoded."""
         import numpy as np
 
-        coded = cut.values.dictionary_encode()
-        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self._place) + len(words) > REMEMBERED:
             self._forget()
         place = self._place
         new = [w for w in words if w not in place]
         for at in range(0, len(new), 50_000):
             self._learn(new[at : at + 50_000])
-        known = np.fromiter((place[w] for w in words), np.int64, len(words))
-        return known, known[index]
+        return np.fromiter((place[w] for w in words), np.int64, len(words))
+
+    def ids_at(self, where):
+        """Ids of the pieces at these places, end to end, and where each piece's begin (with the total as one more)."""
+        import numpy as np
+
+        starts, sizes = self._start[where], self._start[where + 1] - self._start[where]
+        before = np.concatenate([[0], np.cumsum(sizes)])
+        return self._pool[np.repeat(starts - before[:-1], sizes) + np.arange(int(before[-1]))], before
+
+    def _placed(self, cut):
+        coded = cut.values.dictionary_encode()
+        known = self.places(coded.dictionary.to_pylist())
+        return known, known[coded.indices.to_numpy()]
 
     def encode(self, texts, end: int):
         """``texts``: an Arrow string array, null counts as empty.
@@ -118,15 +128,12 @@ class PieceEncoder:
             return np.zeros(0, np.uint16), np.zeros(1, np.int64)
         texts = pc.fill_null(texts.cast(pa.string()), "")
         cut = self._cut_checked(texts) if pc.any(pc.match_substring(texts, "\x00")).as_py() else self._cut(texts)
-        known, where = self._places(cut)
+        known, where = self._placed(cut)
         if self.blanks_kept and self._odd[known].any():
             cut = self._cut_checked(texts)
-            known, where = self._places(cut)
-        starts, sizes = self._start[where], self._start[where + 1] - self._start[where]
-        before = np.concatenate([[0], np.cumsum(sizes)])
+            known, where = self._placed(cut)
+        flat, before = self.ids_at(where)
         bounds = cut.offsets.to_numpy().astype(np.int64)
-        total = int(before[-1])
-        flat = self._pool[np.repeat(starts - before[:-1], sizes) + np.arange(total)]
         stops = before[bounds[1:] - bounds[0]]
         out = np.insert(flat, stops, np.uint16(end))
         return out, np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
