@@ -30,12 +30,10 @@ def _cutter(block_bytes: int):
         # A lossless code keeps blocks apart exactly as their bytes do, with fewer bytes to sort; the
         # leading hash only lets a sort decide on the first eight bytes.
         packer = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
-        uid = TaskContext.get().partitionId() << _ROW_BITS
         names = ["uid", "doc_id", "pos", "n_blocks", "code", "text_sha256"]
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             out = [[] for _ in names]
-            for doc_id, text in zip(ids, texts):
+            for uid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass").lower()
                 n = max(1, -(-len(raw) // block_bytes))
                 for pos in range(n):
@@ -43,7 +41,6 @@ def _cutter(block_bytes: int):
                     code = xxhash.xxh64_digest(part) + packer.compress(part)
                     for column, value in zip(out, (uid, doc_id, pos, n, code, hashlib.sha256(raw).hexdigest() if pos == 0 else None)):
                         column.append(value)
-                uid += 1
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
@@ -79,7 +76,7 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     Two rows have the same (n_blocks, name) exactly if their texts are equal after lower-casing A-Z.
     A null text counts as empty; other columns are not read.
     """
-    pieces = docs.select(F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
+    pieces = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
         _cutter(block_bytes), "uid bigint, doc_id bigint, pos bigint, n_blocks bigint, code binary, text_sha256 string"
     )
     level = materialise(_named(pieces, ["code"], "code binary").drop("code"), "blocks")
@@ -101,27 +98,39 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return single.unionByName(long)
 
 
-def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Mark exact duplicates: doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
-
-    Of equal texts the row with the largest doc_id stays; of rows that repeat this doc_id, one.  Null
-    and empty texts are equal.  A null doc_id stays only where its group has no other.  An empty
-    table gives an empty result; extra columns are ignored.
-    """
+def _marked(docs: DataFrame, block_bytes: int) -> DataFrame:
     named = materialise(name_documents(docs, block_bytes), "named")
-    rank = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc"), F.col("uid"))
+    rank = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc"), F.col("doc_id").alias("keep_id"), F.col("uid"))
     groups = named.groupBy("n_blocks", "name").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = materialise(groups.select("n_blocks", "name", F.col("top.doc").alias("top_doc"), F.col("top.uid").alias("top_uid"), "group_size"), "groups")
+    groups = materialise(groups.select("n_blocks", "name", "top.keep_id", F.col("top.uid").alias("top_uid"), "group_size"), "groups")
     joined = named.join(groups, ["n_blocks", "name"], "left")
+    alone = F.col("top_uid").isNull()
     return joined.select(
+        "uid",
         "doc_id",
-        F.when(F.col("top_uid").isNull() | F.col("doc_id").isNull() & (F.col("uid") == F.col("top_uid")), F.col("doc_id")).otherwise(F.col("top_doc")).alias("keep_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (F.col("top_uid").isNull() | (F.col("uid") == F.col("top_uid"))).alias("kept"),
+        (alone | (F.col("uid") == F.col("top_uid"))).alias("kept"),
         "text_sha256",
     )
 
 
+def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Mark exact duplicates: doc_id, keep_id, group_size, kept, text_sha256, one row per input row.
+
+    Of equal texts the row with the largest doc_id stays; of rows that repeat this doc_id, one.  Null
+    and empty texts are equal.  A row without doc_id stays only where its group has no other.  An
+    empty table gives an empty result; extra columns are ignored.
+    """
+    return _marked(docs, block_bytes).drop("uid")
+
+
+def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns.  ``docs`` is read twice and must give the same rows in the same order, as files do."""
+    gone = _marked(docs, block_bytes).where("not kept").select(F.col("uid").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -243,8 +243,8 @@ def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Langu
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel, keep: list[Column] = ()) -> DataFrame:
-    """Columns ``keep`` of every row, and lang_pred and score.
+def identify(docs: DataFrame, model: LanguageModel, keep: list[Column] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of every row, and the predicted language and its score under these ``names``.
 
     Null texts and texts without a letter are ``und`` with score 0; an empty table gives an empty
     result.  Rows that repeat are judged alike; columns not named in ``keep`` are not read.
@@ -257,10 +257,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[Column] = ()) ->
         import pyarrow as pa
 
         for batch in batches:
-            names, score = model.predict(letters(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score)], names=[*names_kept, "lang_pred", "score"])
+            langs, score = model.predict(letters(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=[*names_kept, *names])
 
-    return kept.mapInArrow(judge, _schema_with(columns, "lang_pred string, score double"))
+    return kept.mapInArrow(judge, _schema_with(columns, f"{names[0]} string, {names[1]} double"))
 
 
 def _schema_with(df: DataFrame, more: str):

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,9 +115,8 @@ def _describe(length: int):
         import numpy as np
         import pyarrow as pa
 
-        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part, shingles, bounds in _grouped(batch, 1):
+            for part, shingles, bounds in _grouped(batch, 2):
                 n = part.num_rows
                 sig = signatures(shingles, bounds)
                 raw = shingles.tobytes()
@@ -130,14 +128,13 @@ def _describe(length: int):
                     key = _mixed(key * np.uint64(65537) + labels[:, :, k]) if length > 4 else (key << np.uint64(16)) + labels[:, :, k]
                 small = (sig & 0xFF).astype(np.uint8)
                 columns = [
-                    pa.array(np.arange(uid, uid + n)),
                     part.column(0),
+                    part.column(1),
                     pa.array(digests, pa.binary()),
                     pa.array(np.diff(bounds)),
                     pa.array(list(key.view(np.int64)), pa.list_(pa.int64())),
                     pa.array([row.tobytes() for row in small], pa.binary()),
                 ]
-                uid += n
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "digest", "n_shingles", "prefixes", "signature"])
 
     return run
@@ -268,10 +265,26 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
     are linked to nothing.  A null doc_id has null ids where its class has no other; rows that
     repeat count as copies; an empty table gives an empty result; extra columns are ignored.
     """
+    return _classes(docs, threshold, recall).drop("uid", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns: of every class the row with the largest doc_id.
+
+    ``docs`` is read more than once and must give the same rows in the same order, as files do.
+    """
+    rows = materialise(_classes(docs, threshold, recall).where("group is not null").select("uid", "group", "doc_id"), "grouped")
+    top = rows.groupBy("group").agg(F.max(F.struct("doc_id", "uid")).alias("top")).select("group", F.col("top.uid").alias("top_uid"))
+    gone = rows.join(top, "group").where("uid <> top_uid").select(F.col("uid").alias("__row"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """The columns of ``join``, uid, and group: a key of classes of two or more rows."""
     length = prefix_length(threshold, recall)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = materialise(
-        source.mapInArrow(_describe(length), "uid bigint, doc_id bigint, digest binary, n_shingles bigint, prefixes array<bigint>, signature binary"), "signatures"
+        source.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(_describe(length), "uid bigint, doc_id bigint, digest binary, n_shingles bigint, prefixes array<bigint>, signature binary"), "signatures"
     )
     sets = rows.where("digest is not null").groupBy("digest")
     sets = materialise(sets.agg(F.min("uid").alias("node"), F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies")), "sets")
@@ -315,10 +328,12 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL)
 
     known = linked.join(classes.withColumnRenamed("vertex", "node"), "node").join(sets.select("node", "set_id", "digest", "copies"), "node")
     least = known.groupBy("component").agg(F.min("set_id").alias("class_id"))
-    known = materialise(known.join(least, "component").select("digest", "class_id", "links"), "classes")
+    known = materialise(known.join(least, "component").select("digest", "component", "class_id", "links"), "classes")
     # Copies of one set may be a large part of all rows: both joins are between plain exchanges.
-    out = rows.select("doc_id", "digest").join(sets.select("digest", "set_id", "copies"), "digest", "left").join(known, "digest", "left")
+    out = rows.select("uid", "doc_id", "digest").join(sets.select("digest", "node", "set_id", "copies"), "digest", "left").join(known, "digest", "left")
     return out.select(
+        "uid",
+        F.coalesce("component", F.when(F.col("copies") > 1, F.col("node"))).alias("group"),
         "doc_id",
         F.coalesce("class_id", "set_id", "doc_id").alias("class_id"),
         F.coalesce("set_id", "doc_id").alias("set_id"),
