@@ -1,14 +1,59 @@
-"""Corpus preparation as one chain of stages over ``documents``."""
+"""Corpus preparation as one chain of stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.  All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sigmafold.llm import exact_dedup, language_id, mixing, near_duplicates, packing
+from sigmafold.runtime import materialise
+
+#: A document is rejected if its language can't be told, or with less certainty than this.
+LEAST_LANGUAGE_SCORE = 0.2
+#: Passes over the source that is seen most; every document is used at least once.
+MAX_REPEATS = 1.25
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is recognised."""
+    model = language_id.train(docs)
+    judged = language_id.identify(docs, model, [F.col(c) for c in docs.columns], ("__lang", "__score"))
+    return judged.where((F.col("__lang") != language_id.UNDETERMINED) & (F.col("__score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that with the largest doc_id."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that with the largest doc_id."""
+    return near_duplicates.drop_near_duplicates(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: every document once, documents of small sources again."""
+    return mixing.mix_rows(docs, mixing.Target(max_repeats=MAX_REPEATS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [("language", language), ("exact_dedup", exact), ("near_duplicates", near), ("mixing", mixture), ("packing", packed)]
+#: Language models, tokenizers and packing have no SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each on what the one before it kept."""
+    """All stages in order, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
