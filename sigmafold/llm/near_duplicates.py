@@ -276,7 +276,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall:
     rows = materialise(_classes(docs, threshold, recall).where("group is not null").select("uid", "group", "doc_id"), "grouped")
     top = rows.groupBy("group").agg(F.max(F.struct("doc_id", "uid")).alias("top")).select("group", F.col("top.uid").alias("top_uid"))
     gone = rows.join(top, "group").where("uid <> top_uid").select(F.col("uid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone, "__row", "left_anti").drop("__row")
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("merge"), "__row", "left_anti").drop("__row")
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -288,13 +288,14 @@ def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     )
     sets = rows.where("digest is not null").groupBy("digest")
     sets = materialise(sets.agg(F.min("uid").alias("node"), F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("copies")), "sets")
-    nodes = rows.join(sets.select(F.col("node").alias("uid"), "node", "copies"), "uid")
+    nodes = rows.join(sets.select(F.col("node").alias("uid"), "node", "copies").hint("merge"), "uid")
 
+    # Large joins are merge joins at every size: what is candidate here grows with the input.
     # Buckets of the forest: members of one prefix of one tree, two or more.
     hits = nodes.select("node", F.posexplode("prefixes").alias("tree", "prefix"))
     buckets = materialise(hits.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    met = materialise(hits.join(buckets, ["tree", "prefix"]), "members")
-    signed = met.join(nodes.select("node", "signature"), "node")
+    met = materialise(hits.join(buckets.hint("merge"), ["tree", "prefix"]), "members")
+    signed = met.join(nodes.select("node", "signature").hint("merge"), "node")
     spread = _in_blocks(signed, ["tree", "prefix"], F.ceil(F.col("members") / F.lit(BLOCK_ROWS)))
     keys = ["tree", "prefix", "first", "second"]
     ordered = spread.select(*keys, "block", "node", "signature").repartition(*keys).sortWithinPartitions(*keys, "block", "node")
@@ -304,7 +305,7 @@ def _classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     chosen = nodes.join(clusters.withColumnRenamed("vertex", "node").withColumnRenamed("component", "cluster"), "node")
     chosen = materialise(chosen.select("node", "cluster", "copies", "n_shingles", "digest", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key")), "clusters")
     totals = chosen.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)), F.ceil(F.sum("n_shingles") / F.lit(BLOCK_SHINGLES))).alias("n_blocks"))
-    texts = source.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text").join(chosen.join(totals, "cluster"), "key")
+    texts = source.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), "text").join(chosen.join(totals, "cluster").hint("merge"), "key")
     texts = texts.select("node", "cluster", "copies", "digest", "n_blocks", "text")
 
     def shingled(batches):
