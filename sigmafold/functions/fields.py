@@ -142,6 +142,14 @@ class PrimeField:
             out[x] = k
         return out
 
+    @cached_property
+    def _exp_literal(self) -> str:
+        return f"array({', '.join(f'{v}L' for v in self.exp_table)})"
+
+    @cached_property
+    def _log_literal(self) -> str:
+        return f"array({', '.join('CAST(NULL AS BIGINT)' if v is None else f'{v}L' for v in self.log_table)})"
+
     @property
     def native(self) -> bool:
         return self.p < TABLE_LIMIT
@@ -157,11 +165,11 @@ class PrimeField:
 
     def c_log(self, x: Column) -> Column:
         """Discrete logarithm, null for zero."""
-        return F.try_element_at(F.array(*[F.lit(v).cast("bigint") for v in self.log_table]), (x + 1).cast("int"))
+        return F.try_element_at(F.expr(self._log_literal), (x + 1).cast("int"))
 
     def c_exp(self, k: Column) -> Column:
         """The generator to the power ``k`` (any long)."""
-        return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in self.exp_table]), (F.pmod(k, F.lit(self.p - 1)) + 1).cast("int"))
+        return F.element_at(F.expr(self._exp_literal), (F.pmod(k, F.lit(self.p - 1)) + 1).cast("int"))
 
     def c_power(self, base: int, k: Column) -> Column:
         """A fixed non-zero base to the power ``k``."""

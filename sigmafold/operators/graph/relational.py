@@ -170,8 +170,8 @@ def order3_patterns(arcs: DataFrame) -> DataFrame:
     all_ = e.join(wedge, "graph_id").join(tri, "graph_id", "left").na.fill(0, ["t"])
     return all_.select("graph_id", F.inline(F.array(
         F.struct(F.lit("edge").alias("pattern"), F.col("n").alias("n")),
-        F.struct(F.lit("path"), F.col("wedges") - 3 * F.col("t")),
-        F.struct(F.lit("triangle"), F.col("t")),
+        F.struct(F.lit("path").alias("pattern"), (F.col("wedges") - 3 * F.col("t")).alias("n")),
+        F.struct(F.lit("triangle").alias("pattern"), F.col("t").alias("n")),
     )))
 
 

@@ -34,12 +34,12 @@ def graph_build_multiplicity(spark, sf):
     return _supply(spark, sf).select("src", "dst", "mult")
 
 
-@query(f"SELECT degree, count(*) AS vertices FROM (SELECT v, sum(o) AS degree FROM (SELECT src AS v, 1 AS o FROM ({_ARCS}) UNION ALL SELECT dst, 0 FROM ({_ARCS})) GROUP BY 1) GROUP BY 1")
+@query(f"SELECT degree, count(*) AS vertices FROM (SELECT v, sum(o)::BIGINT AS degree FROM (SELECT src AS v, 1 AS o FROM ({_ARCS}) UNION ALL SELECT dst, 0 FROM ({_ARCS})) GROUP BY 1) GROUP BY 1")
 def degree_histogram_out(spark, sf):
     return G.degree_histogram(_supply(spark, sf), "out_records").drop("graph_id")
 
 
-@query(f"SELECT degree, count(*) AS vertices FROM (SELECT v, sum(o) AS degree FROM (SELECT src AS v, 0 AS o FROM ({_ARCS}) UNION ALL SELECT dst, 1 FROM ({_ARCS})) GROUP BY 1) GROUP BY 1")
+@query(f"SELECT degree, count(*) AS vertices FROM (SELECT v, sum(o)::BIGINT AS degree FROM (SELECT src AS v, 0 AS o FROM ({_ARCS}) UNION ALL SELECT dst, 1 FROM ({_ARCS})) GROUP BY 1) GROUP BY 1")
 def degree_histogram_in(spark, sf):
     return G.degree_histogram(_supply(spark, sf), "in_records").drop("graph_id")
 
