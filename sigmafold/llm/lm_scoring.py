@@ -34,6 +34,8 @@ PRIOR = 100.0
 #: Training texts for the attention weights, and windows of each; the counts have no such bound.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 1200, 8
 STEPS, BATCH, RATE = 300, 64, 0.015
+#: Windows that are scored at once.
+WINDOWS = 96
 #: Words whose counts every executor knows; the counts of all others are joined.
 FREQUENT = 150_000
 FREQUENT_BYTES = 48
@@ -160,22 +162,25 @@ class CausalModel:
         return len(self.weights[0]) - 1
 
     def log_chances(self, ids, starts):
-        """Natural log probability of each id, given those before it: batched masked attention over all windows."""
+        """Natural log probability of each id, given those before it: batched masked attention over all windows.
+
+        A batch is small enough that its arrays stay in the processor's cache.
+        """
         import numpy as np
 
         place, _ = windows(starts)
         # A last entry stands for every place outside a text.
-        row = np.append(self.row_of[ids], self.blank)
-        label = np.append(self.class_of[ids], 0)
+        row = np.append(self.row_of[ids], self.blank).astype(np.int32)
+        label = np.append(self.class_of[ids], 0).astype(np.int32)
         out = np.append(self.log_shares(ids, starts), 0.0)
-        for at in range(0, len(place), 2048):
-            part = place[at : at + 2048]
-            z = self.forward(row[part[:, :-1]], CONTEXT)[0]
-            target = part[:, CONTEXT + 1 :]
-            picked = np.take_along_axis(z, label[target][..., None], 2)[..., 0]
+        for at in range(0, len(place), WINDOWS):
+            part = place[at : at + WINDOWS]
+            z = self.forward(row[part[:, :-1]], CONTEXT)[0].reshape(len(part) * STRIDE, -1)
+            target = part[:, CONTEXT + 1 :].ravel()
+            picked = z[np.arange(len(z)), label[target]]
             np.exp(z, out=z)
             # Every id is the target of one window; what falls outside adds to the last entry alone.
-            out[target] += picked - np.log(z.sum(2, dtype=np.float32))
+            out[target] += picked - np.log(z @ np.ones(z.shape[1], np.float32))
         return out[:-1]
 
     def log_shares(self, ids, starts):
@@ -200,17 +205,23 @@ class CausalModel:
         import numpy as np
 
         embed, position, bilinear, mix, out, bias = self.weights
-        x = embed[rows] + position
-        y = x.reshape(-1, WIDTH) @ bilinear
-        scores = np.matmul(y.reshape(x.shape), x.transpose(0, 2, 1))
-        np.clip(scores, -30, 30, out=scores)
+        x = np.empty((*rows.shape, WIDTH + 1), np.float32)  # a one behind the values sums the attention along with them
+        x[..., :WIDTH] = embed[rows]
+        x[..., :WIDTH] += position
+        x[..., WIDTH] = 1
+        values = x[..., :WIDTH]
+        y = np.matmul(values, bilinear)
+        scores = np.matmul(y, values.transpose(0, 2, 1))
+        np.minimum(scores, 30, out=scores)
         np.exp(scores, out=scores)
         scores *= _MASK()
-        norm = scores.sum(2, keepdims=True)
-        seen = np.matmul(scores, x) / norm
-        h = x + (seen.reshape(-1, WIDTH) @ mix).reshape(x.shape)
-        squashed = np.tanh(h[:, skip:])
-        return (squashed.reshape(-1, WIDTH) @ out + bias).reshape(*squashed.shape[:2], -1), (x, y, scores, norm, seen, squashed)
+        sums = np.matmul(scores, x)
+        norm = sums[..., WIDTH:]
+        seen = sums[..., :WIDTH] / norm
+        squashed = np.ones((len(rows), rows.shape[1] - skip, WIDTH + 1), np.float32)
+        np.tanh(values[:, skip:] + np.matmul(seen[:, skip:], mix), out=squashed[..., :WIDTH])
+        z = squashed.reshape(-1, WIDTH + 1) @ np.vstack([out, bias])
+        return z.reshape(*squashed.shape[:2], -1), (values, y, scores, norm, seen, squashed[..., :WIDTH])
 
 
 _mask = None
