@@ -26,7 +26,9 @@ SAMPLE_PER_LANGUAGE = 600
 #: Words of the snippets that are cut from every document in the sample, so that short texts are learnt too.
 SNIPPETS = (3, 12)
 EPOCHS = 8
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
+#: Rows that are judged at once.
+ROWS = 256
 _SCALE = 20.0
 
 
@@ -257,8 +259,11 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[Column] = (), nam
         import pyarrow as pa
 
         for batch in batches:
-            langs, score = model.predict(letters(batch.column(batch.num_columns - 1)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=[*names_kept, *names])
+            # A few rows at a time: the copies that normalising makes stay small.
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                langs, score = model.predict(letters(part.column(part.num_columns - 1)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=[*names_kept, *names])
 
     return kept.mapInArrow(judge, _schema_with(columns, f"{names[0]} string, {names[1]} double"))
 

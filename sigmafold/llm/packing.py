@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmafold.llm.token_ids import PieceEncoder
+from sigmafold.llm.token_ids import REMEMBERED, PieceEncoder
 
 SEQUENCE_TOKENS = 4096
 #: Documents in a sequence, at most.
@@ -21,6 +21,8 @@ SEGMENTS = 64
 END = 2
 #: Pieces are chosen from so many tokens at a time; the rest waits for the next round.
 ROUND_TOKENS = 1 << 21
+#: Rows that are encoded at once.
+ROWS = 2048
 _SEQUENCE_BITS = 36
 
 
@@ -125,12 +127,12 @@ def halve(sequence: list[tuple[int, int, int]], tokens: int) -> list[list[tuple[
     return out
 
 
-def _packer(tokenizer: str, end: int, limits: tuple[int, int, int], with_loss: bool):
+def _packer(tokenizer: str, end: int, limits: tuple[int, int, int], with_loss: bool, remembered: int):
     def pack(batches):
         import numpy as np
         import pyarrow as pa
 
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder.of(tokenizer, remembered)
         base = TaskContext.get().partitionId() << _SEQUENCE_BITS
         ids, keys, shares, parts = [], [], [], []  # of the documents of this round; parts: start of what is left
         made = 0
@@ -160,16 +162,17 @@ def _packer(tokenizer: str, end: int, limits: tuple[int, int, int], with_loss: b
             return out
 
         held = 0
-        for batch in batches:
-            flat, starts = encoder.encode(batch.column(1), end)
-            loss = batch.column(2).to_pylist() if with_loss else [1.0] * batch.num_rows
-            for i, (key, share) in enumerate(zip(batch.column(0).to_pylist(), loss)):
-                part = flat[starts[i] : starts[i + 1]]
-                ids.append(part)
+        # A few rows at a time: the arrays of their ids stay small, whatever the batches hold.
+        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+            flat, starts = encoder.encode(part.column(1), end)
+            loss = part.column(2).to_pylist() if with_loss else [1.0] * part.num_rows
+            for i, (key, share) in enumerate(zip(part.column(0).to_pylist(), loss)):
+                own = flat[starts[i] : starts[i + 1]]
+                ids.append(own)
                 keys.append(key)
                 shares.append(min(1.0, max(0.0, share)) if share is not None else 1.0)
-                parts.append((0, len(part)))
-                held += len(part)
+                parts.append((0, len(own)))
+                held += len(own)
                 if held >= ROUND_TOKENS:
                     yield settle(False)
                     held = sum(map(len, ids))
@@ -187,10 +190,12 @@ def pack(
     loss_tokens: int | None = None,
     loss_share: Column | None = None,
     end: int = END,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``loss_share`` is the share of a row's tokens that bear loss (null: all).  Every partition packs
+    ``loss_share`` is the share of a row's tokens that bear loss (null: all); ``remembered`` bounds the
+    distinct pieces of text that a worker keeps the ids of.  Every partition packs
     its own rows as they come, without an exchange.  A sequence that isn't full, for want of rows or
     because of another limit, is cut into powers of two.  A null text counts as empty and is its end alone; rows that repeat
     are packed one by one; an empty table gives an empty result; extra columns are ignored.
@@ -198,7 +203,7 @@ def pack(
     limits = (sequence_tokens, segments, sequence_tokens if loss_tokens is None else loss_tokens)
     columns = [F.col("doc_id").cast("bigint"), F.col("text")] + ([loss_share.cast("double").alias("loss_share")] if loss_share is not None else [])
     schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-    return docs.select(*columns).mapInArrow(_packer(tokenizer, end, limits, loss_share is not None), schema)
+    return docs.select(*columns).mapInArrow(_packer(tokenizer, end, limits, loss_share is not None, remembered), schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

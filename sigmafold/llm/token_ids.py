@@ -22,7 +22,7 @@ class PieceEncoder:
 
     _known: dict[str, "PieceEncoder"] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -32,13 +32,15 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         normalizer = self.tokenizer.normalizer
         self.blanks_kept = normalizer is None
+        self.remembered = remembered
         self._forget()
 
     @classmethod
-    def of(cls, path: str) -> "PieceEncoder":
+    def of(cls, path: str, remembered: int = REMEMBERED) -> "PieceEncoder":
         """One for each file and worker process, so that later tasks find earlier pieces."""
         if path not in cls._known:
             cls._known[path] = cls(path)
+        cls._known[path].remembered = remembered
         return cls._known[path]
 
     def _forget(self) -> None:
@@ -93,7 +95,7 @@ class PieceEncoder:
         """Place of every piece in what is remembered; pieces seen for the first time are encoded."""
         import numpy as np
 
-        if len(self._place) + len(words) > REMEMBERED:
+        if len(self._place) + len(words) > self.remembered:
             self._forget()
         place = self._place
         new = [w for w in words if w not in place]
