@@ -17,6 +17,8 @@ from sigmafold.runtime import materialise
 LEAST_LANGUAGE_SCORE = 0.2
 #: Passes over the source that is seen most; every document is used at least once.
 MAX_REPEATS = 1.25
+#: Distinct pieces of text that a worker remembers while packing: fewer than alone, as workers of all stages stay alive.
+REMEMBERED = 250_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [("language", language), ("exact_dedup", exact), ("near_duplicates", near), ("mixing", mixture), ("packing", packed)]
