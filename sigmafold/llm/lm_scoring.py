@@ -1,8 +1,10 @@
 """Language-model scores of whole texts by causal self-attention over subword ids.
 
-The model predicts the class of the next subword from the subwords before it: one attention layer,
-trained in numpy on windows of training texts.  A class is a set of subwords that keep the same
-company; how likely a subword is within its class comes from the counts of the whole training corpus.
+The model predicts the class of the next subword from the subwords before it: one attention layer in
+numpy.  Its weights begin from a small sample; then every partition goes on over all its training
+texts, round by round, and the partitions' weights are averaged after each.  A class is a set of
+subwords that keep the same company; company, ranks and how likely a subword is within its class come
+from the whole training corpus.
 Texts are scored in overlapping windows: each window reads CONTEXT ids again and scores the next
 STRIDE, so every id is scored once.  The probability of a word is a mixture of the network's and of
 the word's share of the training corpus.
@@ -31,9 +33,11 @@ CLUSTERED = 1500
 GROUPS, FOLLOWERS = 192, 8192
 #: Weight of the class's shares against what was counted behind the subword before.
 PRIOR = 100.0
-#: Training texts for the attention weights, and windows of each; the counts have no such bound.
+#: Texts that the attention weights begin from, and windows of each; they then go on over all training texts.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 1200, 8
 STEPS, BATCH, RATE = 300, 64, 0.015
+#: The pass over all training texts: a text belongs to one round; the rate falls from round to round.
+ROUNDS, ROUND_RATE = 4, 0.004
 #: Windows that are scored at once.
 WINDOWS = 96
 #: Words whose counts every executor knows; the counts of all others are joined.
@@ -79,6 +83,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _gathered(sums: DataFrame, size: int, kind: str):
+    """The numbers of (place, n) in an array of ``size``; they come to the driver as packed bytes."""
+    import numpy as np
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = [batch.column(0).to_numpy().astype(np.int32), batch.column(1).to_numpy().astype(kind)]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["place", "n"])
+
+    out = np.zeros(size, kind)
+    for r in sums.select("place", "n").mapInArrow(pack, "place binary, n binary").collect():
+        out[np.frombuffer(r.place, np.int32)] = np.frombuffer(r.n, kind)
+    return out
+
+
 def count_subwords(words: DataFrame, tokenizer: str, group_of, follower_of):
     """Counts over the words (word, n): of each subword (an array of the vocabulary's size), and of each
     follower behind each group of subwords within a word (GROUPS x FOLLOWERS)."""
@@ -100,19 +121,14 @@ def count_subwords(words: DataFrame, tokenizer: str, group_of, follower_of):
             group, follower = group_of[ids[inside - 1]], follower_of[ids[inside]]
             ok = (group >= 0) & (follower >= 0)
             behind += np.bincount(group[ok] * FOLLOWERS + follower[ok], weight[inside[ok]], len(behind))
-        for kind, found in enumerate((total, behind)):
-            seen = np.flatnonzero(found)
-            columns = [pa.array(np.full(len(seen), kind)), pa.array(seen), pa.array(found[seen].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, names=["kind", "place", "n"])
+        found = np.concatenate([total, behind])
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(found[seen].astype(np.int64))], names=["place", "n"])
 
-    counts, behind = np.zeros(size), np.zeros(GROUPS * FOLLOWERS)
-    sums = words.select("word", "n").mapInArrow(count, "kind bigint, place bigint, n bigint").groupBy("kind", "place").agg(F.sum("n").alias("n"))
+    sums = words.select("word", "n").mapInArrow(count, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
     # At most one row per subword and per cell of the table of followers: both have a fixed size.
-    found = sums.toPandas()
-    for kind, out in enumerate((counts, behind)):
-        mine = found[found.kind == kind]
-        out[mine.place.to_numpy()] = mine.n.to_numpy()
-    return counts, behind.reshape(GROUPS, FOLLOWERS)
+    found = _gathered(sums, size + GROUPS * FOLLOWERS, "f8")
+    return found[:size].copy(), found[size:].reshape(GROUPS, FOLLOWERS)
 
 
 def encode_texts(texts, encoder: PieceEncoder, end: int):
@@ -129,14 +145,14 @@ def encode_texts(texts, encoder: PieceEncoder, end: int):
     return np.insert(ids, stops, np.uint16(end)), np.concatenate([[0], stops + ends]), coded, counts, before[:-1] + np.repeat(ends - 1, counts)
 
 
-def windows(starts):
+def windows(starts, stride: int = STRIDE, context: int = CONTEXT):
     """Place of every id that the windows of all texts read (windows x LENGTH + 1, -1 outside the text)."""
     import numpy as np
 
     sizes = np.diff(starts)
-    each = -(-sizes // STRIDE)
+    each = -(-sizes // stride)
     text = np.repeat(np.arange(len(sizes)), each)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)) * STRIDE - CONTEXT
+    first = (np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)) * stride - context
     # Column k+1 is scored from columns up to k: one column ahead of the window holds its last target.
     place = first[:, None] - 1 + np.arange(LENGTH + 1)
     return np.where((place >= 0) & (place < sizes[text][:, None]), place + starts[text][:, None], -1), text
@@ -243,15 +259,12 @@ def _gradients(model: CausalModel, rows, target, valid):
 
     embed, position, bilinear, mix, out, _ = model.weights
     z, (x, y, scores, norm, seen, squashed) = model.forward(rows)
-    z = z - z.max(2, keepdims=True)
-    e = np.exp(z)
-    p = e / e.sum(2, keepdims=True)
-    n = max(1, valid.sum())
-    loss = -(np.log(np.take_along_axis(p, target[..., None], 2)[..., 0] + 1e-12) * valid).sum() / n
-    dz = p
-    np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-    dz *= (valid / n)[..., None]
-    flat = dz.reshape(-1, dz.shape[2])
+    dz = np.exp(z, out=z).reshape(-1, z.shape[2])
+    dz /= dz.sum(1, keepdims=True)
+    place, wanted, scored = np.arange(len(dz)), target.ravel(), (valid / max(1, valid.sum())).ravel()
+    loss = -(np.log(dz[place, wanted] + 1e-12) * scored).sum()
+    dz[place, wanted] -= 1
+    flat = dz * scored[:, None]
     d_out, d_bias = squashed.reshape(-1, WIDTH).T @ flat, flat.sum(0)
     dh = (flat @ out.T).reshape(x.shape) * (1 - squashed**2)
     d_mix = seen.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
@@ -268,29 +281,80 @@ def _gradients(model: CausalModel, rows, target, valid):
     return loss, [d_embed, dx.sum(0), d_bilinear, d_mix, d_out, d_bias]
 
 
-def cluster_subwords(ids, starts, counts, spaced):
-    """Class of every subword: frequent ones by the company they keep in the sample, the rest by first letter kind and count."""
+def top_subwords(counts):
+    """The most frequent subwords, in order: those that are put into classes by their company."""
+    import numpy as np
+
+    return np.argsort(-counts, kind="stable")[: min(CLUSTERED, int((counts > 0).sum()))]
+
+
+def company_of(ids, starts, top, size: int):
+    """How often each top subword has one of the first 400 of them 1, 2 and 6 places behind or before it in the texts: a row for each."""
+    found = _company(ids, starts, top, size)
+    return found.reshape(6, len(top), -1 if len(top) else 1).transpose(1, 0, 2).reshape(len(top), found.size // max(1, len(top)))
+
+
+def _company(ids, starts, top, size: int):
+    """The numbers of ``company_of``, a row for each kind of neighbour."""
     import numpy as np
 
-    size = len(counts)
-    rank = np.argsort(-counts, kind="stable")
-    top = rank[: min(CLUSTERED, int((counts > 0).sum()))]
     place = np.full(size, -1)
     place[top] = np.arange(len(top))
-    width = min(400, len(top))
+    width = max(1, min(400, len(top)))
     inside = np.ones(len(ids), bool)
     inside[starts[1:-1]] = False  # the first id of a text has no id before it
-    company = np.zeros((len(top), 6 * max(1, width)), np.float32)
+    company = np.zeros((6, len(top) * width))
     for k, gap in enumerate((1, 2, 6)):
+        if len(ids) <= gap:
+            continue
         a, b = place[ids[:-gap]], place[ids[gap:]]
         near = np.ones(len(a), bool)
         for g in range(gap):
             near &= inside[gap - g : len(ids) - g]
         for half, (one, two) in enumerate(((a, b), (b, a))):
             ok = near & (one >= 0) & (two >= 0) & (two < width)
-            np.add.at(company, (one[ok], two[ok] + (2 * k + half) * width), 1)
+            company[2 * k + half] += np.bincount(one[ok] * width + two[ok], minlength=company.shape[1])
+    return company
+
+
+def count_company(encoded: DataFrame, top, size: int):
+    """``company_of`` over all texts of ``encoded``: a sum per partition, then one row per cell that occurs."""
+    import numpy as np
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = 0.0
+        for batch in batches:
+            for part in _groups(batch):
+                total = total + _company(*_decoded(part.column(0)), top, size)
+        flat = np.ravel(total)
+        seen = np.flatnonzero(flat)
+        # A row of the table is all that a subword has: its six kinds of neighbours side by side.
+        kind, one, two = seen // (len(top) * width), seen // width % len(top), seen % width
+        yield pa.RecordBatch.from_arrays([pa.array(((one * 6 + kind) * width + two).astype(np.int32)), pa.array(flat[seen].astype(np.int64))], names=["place", "n"])
+
+    width = max(1, min(400, len(top)))
+    sums = encoded.select("ids").mapInArrow(count, "place int, n bigint").groupBy("place").agg(F.sum("n").alias("n"))
+    # The table has a fixed size: CLUSTERED x 6 x 400 cells at most.
+    return _gathered(sums, len(top) * 6 * width, "f4").reshape(len(top), 6 * width)
+
+
+def cluster_subwords(company, counts, spaced):
+    """Class of every subword: frequent ones by the company they keep (see ``company_of``), the rest by first letter kind and count."""
+    import numpy as np
+
+    top = top_subwords(counts)
+    out = np.where(spaced, CLASSES, CLASSES + 1) + np.where(counts > 0, 0, 2)
+    if not len(top):
+        return out.astype(np.int64)
+    company = company.astype(np.float32, copy=False)
     expected = company.sum(1, keepdims=True) * company.sum(0, keepdims=True) / max(1.0, company.sum())
-    lift = np.log1p(company) - np.log1p(expected)
+    # In place: the table has millions of cells, and this runs in the driver.
+    np.log1p(expected, out=expected)
+    lift = np.log1p(company, dtype=np.float32)
+    lift -= expected
+    del expected
     lift /= np.linalg.norm(lift, axis=1, keepdims=True) + 1e-6
     values, vectors = np.linalg.eigh(lift.T @ lift)
     x = lift @ vectors[:, -20:]
@@ -304,32 +368,66 @@ def cluster_subwords(ids, starts, counts, spaced):
             mine = label == c
             centre[c] = (x[mine] * weight[mine, None]).sum(0) if mine.any() else x[rng.integers(len(x))]
         centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-6
-    out = np.where(spaced, CLASSES, CLASSES + 1) + np.where(counts > 0, 0, 2)
     out[top] = label
     return out.astype(np.int64)
 
 
 def groups(ids, size: int):
-    """Group and follower number of every subword (-1: none), by frequency in the sample."""
+    """``ranked_groups`` by frequency among ``ids``."""
     import numpy as np
 
-    rank = np.argsort(-np.bincount(ids, minlength=size), kind="stable")
+    return ranked_groups(np.bincount(ids, minlength=size))
+
+
+def ranked_groups(counts):
+    """Group and follower number of every subword (-1: none), by these counts."""
+    import numpy as np
+
+    size, rank = len(counts), np.argsort(-counts, kind="stable")
     group_of, follower_of = np.full(size, -1), np.full(size, -1)
     group_of[rank[:GROUPS]] = np.arange(min(GROUPS, size))
     follower_of[rank[:FOLLOWERS]] = np.arange(min(FOLLOWERS, size))
     return group_of, follower_of
 
 
-def fit(ids, starts, counts, behind, group_of, follower_of, spaced, steps: int = STEPS, seed: int = 3) -> CausalModel:
+class _Adam:
+    """Steps of a model's weights by running means of the gradients and of their squares."""
+
+    def __init__(self, model: CausalModel):
+        import numpy as np
+
+        self.model, self.n = model, 0
+        self.first, self.second = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
+
+    def step(self, row, label, part, rate: float) -> None:
+        """One step on the windows ``part``, places in ``row`` and ``label`` (whose last entry is outside all texts)."""
+        import numpy as np
+
+        self.n += 1
+        target = part[:, 1:]
+        _, grads = _gradients(self.model, row[part[:, :-1]], label[target], (target >= 0).astype(np.float32))
+        for i, g in enumerate(grads):
+            first, second = self.first[i], self.second[i]
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.99
+            second += 0.01 * g * g
+            self.model.weights[i] = (self.model.weights[i] - rate * (first / (1 - 0.9**self.n)) / (np.sqrt(second / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+
+
+def fit(ids, starts, counts, behind, group_of, follower_of, spaced, steps: int = STEPS, seed: int = 3, company=None) -> CausalModel:
     """Train on sample windows (``ids`` of texts from ``starts``).
 
-    ``counts`` and ``behind`` are those of the whole training corpus, see ``count_subwords``.
+    ``counts``, ``behind`` and ``company`` are those of the whole training corpus, see ``count_subwords``
+    and ``count_company``; without ``company`` it is counted in ``ids``.
     """
     import numpy as np
 
     rng = np.random.default_rng(seed)
     counts = counts.astype(np.float64)
-    class_of = cluster_subwords(ids, starts, counts, spaced)
+    if company is None:
+        company = company_of(ids, starts, top_subwords(counts), len(counts))
+    class_of = cluster_subwords(company, counts, spaced)
     n_classes = CLASSES + RARE_CLASSES
     of_class, members = np.bincount(class_of, counts, n_classes), np.bincount(class_of, minlength=n_classes)
     log_share = np.log((counts + 0.5) / (of_class + 0.5 * members)[class_of])
@@ -353,16 +451,9 @@ def fit(ids, starts, counts, behind, group_of, follower_of, spaced, steps: int =
     if not len(place):
         return model
     row, label = np.append(row_of[ids], rows - 1), np.append(class_of[ids], 0)
-    first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
+    adam = _Adam(model)
     for step in range(1, steps + 1):
-        part = place[rng.integers(len(place), size=BATCH)]
-        target = part[:, 1:]
-        _, grads = _gradients(model, row[part[:, :-1]], label[target], (target >= 0).astype(np.float32))
-        rate = RATE * (1 - 0.95 * step / steps)
-        for i, g in enumerate(grads):
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.99 * second[i] + 0.01 * g * g
-            model.weights[i] = (model.weights[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        adam.step(row, label, place[rng.integers(len(place), size=BATCH)], RATE * (1 - 0.95 * step / steps))
     return model
 
 
@@ -394,6 +485,110 @@ def _sample(texts: DataFrame, tokenizer: str, end: int):
     return (np.concatenate(runs) if runs else np.zeros(0, np.uint16)), starts
 
 
+def encode_training(texts: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """(ids, round) of every training text: its subword ids, two bytes each, and the round that trains on it."""
+
+    def encode(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        encoder = PieceEncoder.of(tokenizer)
+        for batch in batches:
+            for part in _groups(batch):
+                ids, starts, *_ = encode_texts(part.column(0), encoder, end)
+                offsets, data = pa.py_buffer((2 * starts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, np.uint16))
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, data]), part.column(1)], names=["ids", "round"])
+
+    chosen = texts.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"))
+    return materialise(chosen.mapInArrow(encode, "ids binary, round int"), "ids")
+
+
+def _decoded(column):
+    """Ids of the texts of a column of ``encode_training``, end to end, and where each text's begin."""
+    import numpy as np
+
+    texts = column.to_pylist()
+    starts = np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])]).astype(np.int64)
+    return np.frombuffer(b"".join(texts), np.uint16), starts
+
+
+def refine(model: CausalModel, encoded: DataFrame) -> int:
+    """Go on training over all texts of ``encoded``; every id is predicted once.  Returns how many were.
+
+    In each round every partition takes steps on its texts of that round, from the weights of the round
+    before; the new weights are the partitions' mean by ids.  The number of steps follows the corpus;
+    which texts share a step follows from how they lie in partitions.
+    """
+    import numpy as np
+
+    spark, shapes, trained = encoded.sparkSession, [w.shape for w in model.weights], 0
+    ends = np.cumsum([w.size for w in model.weights])
+
+    def merged(batches):
+        """Mean weights and ids of all rows."""
+        import pyarrow as pa
+
+        total, n = 0.0, 0
+        for batch in batches:
+            for flat, k in zip(batch.column(0), batch.column(1).to_pylist()):
+                total, n = total + k * np.frombuffer(flat.as_buffer(), np.float32).astype(np.float64), n + k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((model.row_of, model.class_of, model.weights))
+        rate = ROUND_RATE * (1 - turn / ROUNDS)
+
+        def train(batches):
+            import pyarrow as pa
+
+            row_of, class_of, weights = shared.value
+            own = CausalModel(class_of, row_of, None, None, None, None, None, None, list(weights))
+            adam, rng, n = _Adam(own), np.random.default_rng((turn, TaskContext.get().partitionId())), 0
+            for batch in batches:
+                for part in _groups(batch):
+                    ids, starts = _decoded(part.column(0))
+                    row, label = np.append(row_of[ids], own.blank), np.append(class_of[ids], 0)
+                    place = rng.permutation(windows(starts, LENGTH, 0)[0])
+                    for at in range(0, len(place), BATCH):
+                        adam.step(row, label, place[at : at + BATCH], rate)
+                    n += len(ids)
+            if n:
+                flat = np.concatenate([w.ravel() for w in own.weights]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
+
+        schema = "weights binary, n bigint"
+        mine = encoded.where(F.col("round") == turn).select("ids")
+        # One row per partition; about the square root of their number comes to the driver.
+        few = int(np.ceil(np.sqrt(max(1, mine.rdd.getNumPartitions()))))
+        found = mine.mapInArrow(train, schema).repartition(few).mapInArrow(merged, schema).collect()
+        n = sum(r.n for r in found)
+        if n:
+            mean = sum(r.n / n * np.frombuffer(r.weights, np.float32).astype(np.float64) for r in found).astype(np.float32)
+            model.weights[:] = [w.reshape(s) for w, s in zip(np.split(mean, ends[:-1]), shapes)]
+        trained += n
+        shared.unpersist()
+    return trained
+
+
+def learn_model(training: DataFrame, words: DataFrame, n_texts: int, tokenizer: str, spaced, end: int) -> tuple[CausalModel, int]:
+    """The model of all training texts (doc_id, text), whose words are counted in ``words``, and the ids that it was trained on."""
+    import numpy as np
+
+    size = len(spaced)
+    none = np.full(size, -1)
+    subwords, _ = count_subwords(words, tokenizer, none, none)
+    group_of, follower_of = ranked_groups(subwords)
+    group_of[end] = follower_of[end] = -1
+    _, behind = count_subwords(words, tokenizer, group_of, follower_of)
+    subwords[end] += n_texts
+    encoded = encode_training(training, tokenizer, end)
+    company = count_company(encoded, top_subwords(subwords), size)
+    ids, starts = _sample(training, tokenizer, end)
+    model = fit(ids, starts, subwords, behind, group_of, follower_of, spaced, company=company)
+    return model, refine(model, encoded)
+
+
 def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -413,13 +608,8 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
     n_texts = training.count()
     n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n_all, v = n_words + n_texts, distinct + (n_texts > 0)
-    ids, starts = _sample(training, tokenizer, end)
-    group_of, follower_of = groups(ids, size)
-    group_of[end] = follower_of[end] = -1
-    subwords, behind = count_subwords(counts, tokenizer, group_of, follower_of)
-    subwords[end] += n_texts
     spaced[end] = True  # an end begins anew, as a word does
-    model = fit(ids, starts, subwords, behind, group_of, follower_of, spaced)
+    model, _ = learn_model(training, counts, n_texts, tokenizer, spaced, end)
     # Frequent words: at most FREQUENT, of at most FREQUENT_BYTES bytes.
     top = counts.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = docs.sparkSession.sparkContext.broadcast(({r.word: k for k, r in enumerate(top)}, np.log10(np.array([r.n for r in top], np.float64) + 1), model))

@@ -217,6 +217,35 @@ def test_windows_score_every_id_once():
     assert (place[:, 1:] - place[:, :-1])[(place[:, :-1] >= 0) & (place[:, 1:] >= 0)].max() == 1
 
 
+def test_model_learns_from_all_training_texts(spark, sf, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SAMPLE_TEXTS", 1)
+    seen = {}
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a, **k: seen.update(company=k["company"], weights=(m := fit(*a, **k)).weights.copy()) or m)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    words, tokenizer = lm_scoring.count_words(docs), Tokenizer.from_file(BYTE)
+    size = tokenizer.get_vocab_size()
+    spaced = np.array([(tokenizer.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+    n = docs.count()
+    model, trained = lm_scoring.learn_model(docs, words, n, BYTE, spaced, 50256)
+    texts = pa.array([r.text for r in docs.collect()], pa.string())
+    ids, starts, *_ = lm_scoring.encode_texts(texts, token_ids.PieceEncoder.of(BYTE), 50256)
+    counts = np.bincount(ids, minlength=size).astype(float)
+    assert trained == len(ids)
+    ranks = np.argsort(model.group_of[model.group_of >= 0])
+    ranked = np.flatnonzero(model.group_of >= 0)[ranks]
+    assert (np.diff(counts[ranked]) <= 0).all() and np.delete(counts, [*ranked, 50256]).max() <= counts[ranked[-1]]
+    assert (seen["company"] == lm_scoring.company_of(ids, starts, lm_scoring.top_subwords(counts), size)).all()
+    before = lm_scoring.CausalModel(**{**model.__dict__, "weights": seen["weights"]})
+    assert model.log_chances(ids, starts).mean() > before.log_chances(ids, starts).mean() + 0.1
+
+
+def test_company_of_short_texts():
+    for n in range(9):
+        company = lm_scoring.company_of(np.arange(n, dtype=np.uint16), np.array([0, n]), np.arange(20), 20)
+        assert company.sum() == 2 * sum(max(0, n - gap) for gap in (1, 2, 6))
+
+
 def test_network_is_a_distribution():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 50, 3000).astype(np.uint16)
