@@ -144,11 +144,15 @@ def mix(docs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS, seed:
 
 
 def mix_rows(docs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs``, each as often as the mixture uses it, with their own columns."""
+    """The rows of ``docs``, one per placed copy, with their own columns, in the order of block and slot.
+
+    A block lies in one partition and partitions follow one another, so what reads the rows as they
+    come sees block after block of the target mixture.
+    """
     keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
     costs = materialise(costed(keyed, F.col("__row")), "costs")
-    used = place(costs, target, block_tokens, seed).groupBy(F.col("uid").alias("__row")).agg(F.count(F.lit(1)).alias("__copies"))
-    copies = keyed.join(used, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__copies"))))
+    placed = place(costs, target, block_tokens, seed).select(F.col("uid").alias("__row"), F.col("block").alias("__block"), F.col("slot").alias("__slot"))
+    copies = keyed.join(placed, "__row").repartitionByRange("__block").sortWithinPartitions("__block", "__slot")
     return copies.select(*docs.columns)
 
 

@@ -188,6 +188,15 @@ def test_mixing_is_repeatable_and_empty(hard, empty):
     assert mixing.mix_rows(hard, mixing.Target(max_repeats=1.25)).columns == hard.columns
 
 
+def test_mixed_rows_lie_in_blocks(spark, hard):
+    target = mixing.Target(max_repeats=1.25)
+    want = [r.doc_id for r in sorted(mixing.mix(hard, target, block_tokens=4096).collect(), key=lambda r: (r.block, r.slot))]
+    path = scratch_path(spark, "mixed")
+    mixing.mix_rows(hard, target, block_tokens=4096).write.parquet(path)
+    rows = spark.read.parquet(path).select("doc_id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("k")).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: (r.f, r.k))] == want
+
+
 # --- op4 ---
 
 
