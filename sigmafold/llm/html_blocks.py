@@ -50,11 +50,14 @@ def _names(rest: str) -> list[str]:
 def blocks(markup: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(path, text, characters inside links) of every block with text, in page order.
 
-    The path names the open elements and their class, id and role parts, the block's own element
-    last as ``=tag``.  Character references are decoded, white space is one blank, ends are trimmed.
+    The path names the open elements at any depth and all their class, id and role parts, the block's
+    own element last as ``=tag``; a part whose bucket an outer one has is left out, as it adds nothing.
+    Character references are decoded, white space is one blank, ends are trimmed.
     """
     out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+    # Of every open element: tag, path, its buckets as bits, and the innermost block.  The work per tag does not grow with the depth.
+    stack: list[tuple[str, tuple[str, ...], int, str]] = [("", (), 0, "")]
+    places: dict[str, list[int]] = {}
     text: list[str] = []
     linked = links = 0
     at, size = 0, len(markup)
@@ -63,18 +66,28 @@ def blocks(markup: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal linked
         words = html.unescape("".join(text)).split()
         if words:
-            leaf = next((tag for tag, _ in reversed(stack) if tag in BLOCKS), "")
-            out.append(((*stack[-1][1], f"={leaf}"), " ".join(words), linked))
+            out.append(((*stack[-1][1], f"={stack[-1][3]}"), " ".join(words), linked))
         text.clear()
         linked = 0
 
     def close(tags: tuple[str, ...], stop: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in stop:
-                return
+        last = lambda names: max((places[t][-1] for t in names if places.get(t)), default=0)
+        i = last(tags)
+        if i > last(stop):
+            for tag, *_ in stack[i:]:
+                places[tag].pop()
+            del stack[i:]
+
+    def push(tag: str, names: list[str]) -> None:
+        _, path, seen, leaf = stack[-1]
+        new = []
+        for token in (tag, *[f".{n}" for n in names]):
+            bit = 1 << bucket(token, PATH_BUCKETS)
+            if not seen & bit:
+                seen |= bit
+                new.append(token)
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, (*path, *new) if new else path, seen, tag if tag in BLOCKS else leaf))
 
     while at < size:
         found = _MARKUP.search(markup, at)
@@ -94,8 +107,7 @@ def blocks(markup: str) -> list[tuple[tuple[str, ...], str, int]]:
                 flush()
             if tag == "a":
                 links = 0
-            if any(t == tag for t, _ in stack):
-                close((tag,), frozenset())
+            close((tag,), frozenset())
             continue
         if tag in HIDDEN:
             end = re.compile(f"</{tag}\\b[^>]*(?:>|\\Z)", re.I).search(markup, at)
@@ -114,8 +126,6 @@ def blocks(markup: str) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag == "a":
             links = 1
-        if len(stack) < 256:
-            names = _names(found["rest"] or found["rest2"] or "")[:8]
-            stack.append((tag, (*stack[-1][1], tag, *[f".{n}" for n in names])))
+        push(tag, _names(found["rest"] or found["rest2"] or ""))
     flush()
     return out

@@ -153,6 +153,15 @@ def test_blocks_of_odd_markup():
     assert html_blocks.blocks("") == []
 
 
+def test_paths_hold_all_names_at_any_depth():
+    (path, *_), *_ = html_blocks.blocks('<div class="mt-4 flex flex-col gap-2 p-4 rounded border shadow" id="comments">x')
+    assert ".comments" in path
+    found = {t: p for p, t, _ in html_blocks.blocks("<div id='outer'>" + "<i>" * 300 + "<div id='sidebar'>x</div><p>y</p>")}
+    assert ".sidebar" in found["x"] and ".outer" in found["y"] and ".sidebar" not in found["y"]
+    deep = html_blocks.blocks("".join(f"<div id='{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'>t" for k in range(15_000)))
+    assert len(deep) == 15_000 and all(len(p) <= html_blocks.PATH_BUCKETS + 1 for p, *_ in deep)
+
+
 # --- op3 ---
 
 
