@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _RUN = uuid.uuid4().hex[:12]
 _cleaned: set[str] = set()
@@ -56,7 +57,27 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these, once nothing will read it again."""
+    for table in tables:
+        discard(table.sparkSession, table._scratch)
+
+
+def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` written with a number for every row, and the name of that column, which no other has.
+
+    The number is drawn once: a number made anew by each scan would follow how files are split, and that
+    changes with the executors.
+    """
+    name, taken = "__row", {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), tag), name
 
 
 def discard(spark: SparkSession, path: str) -> None:
