@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmafold.llm.token_ids import REMEMBERED, PieceEncoder
+from sigmafold.llm.token_ids import REMEMBERED, PieceEncoder, slices
 
 SEQUENCE_TOKENS = 4096
 #: Documents in a sequence, at most.
@@ -21,8 +21,6 @@ SEGMENTS = 64
 END = 2
 #: Pieces are chosen from so many tokens at a time; the rest waits for the next round.
 ROUND_TOKENS = 1 << 21
-#: Rows that are encoded at once.
-ROWS = 2048
 _SEQUENCE_BITS = 36
 
 
@@ -162,8 +160,7 @@ def _packer(tokenizer: str, end: int, limits: tuple[int, int, int], with_loss: b
             return out
 
         held = 0
-        # A few rows at a time: the arrays of their ids stay small, whatever the batches hold.
-        for part in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
+        for part in slices(batches, 1):
             flat, starts = encoder.encode(part.column(1), end)
             loss = part.column(2).to_pylist() if with_loss else [1.0] * part.num_rows
             for i, (key, share) in enumerate(zip(part.column(0).to_pylist(), loss)):

@@ -9,6 +9,33 @@ REMEMBERED = 800_000
 _SPACE = r"\s\x1c-\x1f\x85\xa0"
 #: A blank or line break with white space beside it: there the pieces aren't independent for a byte-level tokenizer.
 _CROWDED = re.compile(f"[{_SPACE}][ \n]|[ \n][{_SPACE}]")
+#: Words that are cut off their punctuation and encoded many at a time: letters of Latin-1 behind at most
+#: one blank, then ASCII punctuation but the apostrophe, which both tokenizers may join to letters.
+_LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words in one call of the tokenizer.
+_JOINED = 4096
+
+
+#: Rows, and bytes of text, that are encoded at once (a longer text alone).
+ROWS, BYTES = 2048, 1 << 24
+
+
+def slices(batches, column: int, rows: int = ROWS, most: int = BYTES):
+    """Parts of Arrow batches of at most so many rows and bytes of text in ``column``; a text of more bytes is a part alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(ends):
+            begin = ends[at] - sizes[at]
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, begin + most, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 class PieceEncoder:
@@ -17,7 +44,10 @@ class PieceEncoder:
     Both kinds of tokenizer split a text before they merge: a byte-level one in front of a blank and
     around a line break (when no white space is beside them), a word-level one at all white space.  So
     the ids of a text are those of its pieces in order; texts where a piece could depend on the next
-    are encoded whole.  The tests compare both ways.
+    are encoded whole.  Both split letters from punctuation too, so a new piece of letters and
+    punctuation has the ids of the one, then of the other; and many new words are encoded in one call,
+    as the ids tell where a word begins or ends.  The string of an added token holds no white space, so
+    it lies in one piece and gets its own id, as in the library.  The tests compare both ways.
     """
 
     _known: dict[str, "PieceEncoder"] = {}
@@ -25,13 +55,16 @@ class PieceEncoder:
     def __init__(self, path: str, remembered: int = REMEMBERED):
         import os
 
+        import numpy as np
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        normalizer = self.tokenizer.normalizer
-        self.blanks_kept = normalizer is None
+        self.blanks_kept = self.tokenizer.normalizer is None
+        tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        #: Ids that begin a word with a blank, or end a word.
+        self._marks = np.array([t.startswith("\u0120") if self.blanks_kept else t.endswith("</w>") for t in tokens])
         self.remembered = remembered
         self._forget()
 
@@ -50,27 +83,94 @@ class PieceEncoder:
         self._pool = np.zeros(1 << 16, np.uint16)
         self._start = np.zeros(1 << 14, np.int64)
         self._odd = np.zeros(1 << 14, bool)
+        self._uses = np.zeros(1 << 14, np.uint16)
         self._used = 0
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _forget_rare(self) -> None:
+        """Keep the pieces that several calls asked for, at most a quarter of what may be remembered."""
+        import numpy as np
+
+        n = len(self._place)
+        uses = self._uses[:n]
+        kept = np.flatnonzero(uses > 1)
+        if len(kept) > self.remembered // 4:
+            kept = np.sort(kept[np.argsort(-uses[kept].astype(np.int64), kind="stable")[: self.remembered // 4]])
+        flat, before = self.ids_at(kept)
+        pieces, odd, uses = np.array(list(self._place), object)[kept].tolist(), self._odd[kept], uses[kept] // 2 + 1
+        self._forget()
+        self._add(pieces, flat, np.diff(before))
+        self._odd[: len(kept)], self._uses[: len(kept)] = odd, uses
+
+    def _add(self, pieces: list[str], flat, sizes) -> None:
+        """Remember pieces with these ids (end to end) and counts of ids."""
         import numpy as np
 
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum()))
-        first, n = len(self._place), len(ids)
+        first, n = len(self._place), len(pieces)
         while self._used + len(flat) > len(self._pool):
             self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
         while first + n + 1 > len(self._start):
             self._start = np.concatenate([self._start, np.zeros_like(self._start)])
             self._odd = np.concatenate([self._odd, np.zeros_like(self._odd)])
+            self._uses = np.concatenate([self._uses, np.zeros_like(self._uses)])
         self._pool[self._used : self._used + len(flat)] = flat
         self._start[first + 1 : first + n + 1] = self._used + np.cumsum(sizes)
-        bare = (p[1:] if p[:1] == " " else p for p in pieces)
-        self._odd[first : first + n] = [b != "\n" and (not b or b[0].isspace() or b[-1].isspace()) for b in bare]
         self._used += len(flat)
         self._place.update(zip(pieces, range(first, first + n)))
 
+    def _learn_each(self, pieces: list[str]) -> None:
+        """Encode pieces of any kind, one by one."""
+        import numpy as np
+
+        for at in range(0, len(pieces), 50_000):
+            part = pieces[at : at + 50_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            first = len(self._place)
+            self._add(part, np.fromiter((i for x in ids for i in x), np.uint16, int(sizes.sum())), sizes)
+            bare = (p[1:] if p[:1] == " " else p for p in part)
+            self._odd[first : first + len(part)] = [b != "\n" and (not b or b[0].isspace() or b[-1].isspace()) for b in bare]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Encode words of letters alone, many in one call; a byte-level tokenizer's have their blank."""
+        import numpy as np
+
+        between = "" if self.blanks_kept else " "
+        for at in range(0, len(words), 50_000):
+            part = words[at : at + 50_000]
+            joined = [between.join(part[i : i + _JOINED]) for i in range(0, len(part), _JOINED)]
+            flat = np.concatenate([np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            marks = np.flatnonzero(self._marks[flat])
+            if len(marks) != len(part):
+                raise ValueError("the tokenizer doesn't split words as expected")
+            bounds = np.append(marks, len(flat)) if self.blanks_kept else np.append(0, marks + 1)
+            self._add(part, flat, np.diff(bounds))
+
+    def _learn(self, pieces: list[str]) -> None:
+        import numpy as np
+
+        lead = " " if self.blanks_kept else ""
+        stems = [p.rstrip(_PUNCTUATION) for p in pieces]
+        # A word is its blank (for a byte-level tokenizer) and letters; ASCII, nearly always, is quick to tell.
+        skip, letters = len(lead), _LETTERS.fullmatch
+        word = [s.startswith(lead) and (s[skip:].isalpha() if s.isascii() else letters(s, skip) is not None) for s in stems]
+        single = [p for p, w in zip(pieces, word) if not w]
+        if single:
+            pieces, stems = [p for p, w in zip(pieces, word) if w], [s for s, w in zip(stems, word) if w]
+        if not self.blanks_kept:
+            stems = list(map(str.lower, stems))  # what this kind of tokenizer does first
+        place = self._place
+        self._learn_words([s for s in dict.fromkeys(stems) if s not in place])
+        cut = [(p, s) for p, s in zip(pieces, stems) if p not in place]
+        tails = [p[len(s) :] for p, s in cut]
+        self._learn_each(list(dict.fromkeys(single + [t for t in set(tails) if t and t not in place])))
+        if cut:
+            where = np.empty((len(cut), 2), np.int64)
+            where[:, 0] = [place[s] for _, s in cut]
+            where[:, 1] = [place[t] if t else -1 for t in tails]
+            flat, before = self.ids_at(where[where >= 0])
+            ends = before[np.cumsum((where >= 0).sum(1))]
+            self._add([p for p, _ in cut], flat, np.diff(ends, prepend=0))
+
     def _cut(self, texts):
         """The pieces of all texts, as an Arrow list array."""
         import pyarrow.compute as pc
@@ -92,16 +192,16 @@ class PieceEncoder:
         return pa.concat_arrays([self._cut(texts.filter(pa.array(~whole))), single]).take(pa.array(order))
 
     def places(self, words: list[str]):
-        """Place of every piece in what is remembered; pieces seen for the first time are encoded."""
+        """Place of every piece (distinct ones) in what is remembered; pieces seen for the first time are encoded."""
         import numpy as np
 
-        if len(self._place) + len(words) > self.remembered:
-            self._forget()
+        if len(self._place) + len(words) > self.remembered and len(self._place) > self.remembered // 4:
+            self._forget_rare()
         place = self._place
-        new = [w for w in words if w not in place]
-        for at in range(0, len(new), 50_000):
-            self._learn(new[at : at + 50_000])
-        return np.fromiter((place[w] for w in words), np.int64, len(words))
+        self._learn([w for w in words if w not in place])
+        known = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self._uses[known] = np.minimum(self._uses[known], 60_000) + 1
+        return known
 
     def ids_at(self, where):
         """Ids of the pieces at these places, end to end, and where each piece's begin (with the total as one more)."""
@@ -109,11 +209,13 @@ class PieceEncoder:
 
         starts, sizes = self._start[where], self._start[where + 1] - self._start[where]
         before = np.concatenate([[0], np.cumsum(sizes)])
-        return self._pool[np.repeat(starts - before[:-1], sizes) + np.arange(int(before[-1]))], before
+        where = np.repeat((starts - before[:-1]).astype(np.int32), sizes)
+        where += np.arange(int(before[-1]), dtype=np.int32)
+        return self._pool[where], before
 
     def _placed(self, cut):
         coded = cut.values.dictionary_encode()
-        known = self.places(coded.dictionary.to_pylist())
+        known = self.places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         return known, known[coded.indices.to_numpy()]
 
     def encode(self, texts, end: int):
