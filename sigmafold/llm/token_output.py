@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigmafold.llm.token_ids import PieceEncoder
+from sigmafold.llm.token_ids import PieceEncoder, slices
 from sigmafold.runtime import scratch_path
 
 #: Fixed values of the coding: values in a word and bits of each, by selector; selector 0 is the
@@ -28,6 +28,13 @@ BLOCK_TOKENS = 1 << 18
 END = 2
 
 
+def _LIMITS():
+    """The least value of 1, 2, 3 ... bits."""
+    import numpy as np
+
+    return np.uint64(1) << np.arange(64, dtype=np.uint64)
+
+
 def encode(values):
     """Values (unsigned 64-bit array) as words, and the count of words before the escaped values."""
     import numpy as np
@@ -36,25 +43,21 @@ def encode(values):
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), 0
-    places, best = np.arange(n), np.zeros(n, np.uint8)
-    top = int(values.max())
+    # Bits of each value, and of the widest of the next 1, 2, 4 ... values; behind the last one nothing is wide.
+    widths = np.searchsorted(_LIMITS(), values, "right").astype(np.uint8)
+    widest, best = [np.concatenate([widths, np.zeros(120, np.uint8)])], np.zeros(n, np.uint8)
+    for k in range(6):
+        widest.append(np.maximum(widest[k][: -(1 << k)], widest[k][1 << k :]))
     for selector in range(15, 0, -1):
         count, bits = PACKED[selector]
-        wide = values >= (1 << bits) if top >= (1 << bits) else None
-        if wide is None:
-            reach = n - places
-            fits = np.ones(n, bool)
-        else:
-            reach = np.minimum.accumulate(np.where(wide, places, n)[::-1])[::-1] - places
-            # Up to ``count`` values, or all that are left.
-            fits = (reach >= count) | (reach == n - places)
-        best[fits] = selector
-    counts = np.array([max(1, c) for c, _ in PACKED])
-    following = (places + counts[best]).tolist()
-    path, at = [], 0
+        k = count.bit_length() - 1
+        # Two runs of a power of two cover ``count`` values.
+        wide = np.maximum(widest[k][:n], widest[k][count - (1 << k) : count - (1 << k) + n])
+        best[wide <= bits] = selector
+    steps, choice, path, at = [max(1, c) for c, _ in PACKED], best.tobytes(), [], 0
     while at < n:
         path.append(at)
-        at = following[at]
+        at += steps[choice[at]]
     path = np.array(path)
     chosen = best[path]
     words = chosen.astype(np.uint64) << np.uint64(60)
@@ -151,10 +154,10 @@ def _writer(tokenizer: str, end: int, block_tokens: int):
                 x.clear()
             return out
 
-        for batch in batches:
+        for batch in slices(batches, 1):
             flat, starts = encoder.encode(batch.column(1), end)
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                n = int(starts[i + 1] - starts[i])
+            sizes = np.diff(starts)
+            for i, (key, n) in enumerate(zip(batch.column(0).to_pylist(), sizes.tolist())):
                 keys.append(key)
                 lengths.append(n)
                 parts.append(flat[starts[i] : starts[i + 1]])
