@@ -11,10 +11,10 @@ from __future__ import annotations
 import hashlib
 
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmafold.runtime import materialise
+from sigmafold.runtime import materialise, numbered
 
 #: Bytes of normalised text in a block; most documents are one block, a text of n bytes needs log2(n / BLOCK_BYTES) renamings.
 BLOCK_BYTES = 16_384
@@ -27,10 +27,10 @@ def _cutter(block_bytes: int):
         import xxhash
         import zstandard
 
-        # A lossless code keeps blocks apart exactly as their bytes do, with fewer bytes to sort; the
-        # leading hash only lets a sort decide on the first eight bytes.
+        # A lossless code keeps blocks apart as their bytes do, with fewer bytes to sort.  Its tag only
+        # finds it: see _named_blocks.
         packer = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
-        names = ["uid", "doc_id", "pos", "n_blocks", "code", "text_sha256"]
+        names = ["uid", "doc_id", "pos", "n_blocks", "tag", "code", "text_sha256"]
         for batch in batches:
             out = [[] for _ in names]
             for uid, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -38,10 +38,9 @@ def _cutter(block_bytes: int):
                 n = max(1, -(-len(raw) // block_bytes))
                 for pos in range(n):
                     part = raw[pos * block_bytes : (pos + 1) * block_bytes]
-                    code = xxhash.xxh64_digest(part) + packer.compress(part)
-                    for column, value in zip(out, (uid, doc_id, pos, n, code, hashlib.sha256(raw).hexdigest() if pos == 0 else None)):
+                    for column, value in zip(out, (uid, doc_id, pos, n, xxhash.xxh3_128_digest(part), packer.compress(part), hashlib.sha256(raw).hexdigest() if pos == 0 else None)):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=names)
 
     return cut
@@ -70,16 +69,50 @@ def _named(rows: DataFrame, keys: list[str], kinds: str) -> DataFrame:
     return rows.join(names, keys)
 
 
-def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _unpacked(batches):
+    """Raw bytes in the place of codes."""
+    import pyarrow as pa
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor()
+    for batch in batches:
+        raw = pa.array([reader.decompress(c) for c in batch.column(1).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), raw, batch.column(2)], names=["tag", "raw", "name"])
+
+
+def _named_blocks(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with a ``name`` in the place of tag and code, equal where the blocks' bytes are equal.
+
+    Distinct codes are found and sorted whole, so no hash decides; the way back to the rows is by tag
+    where a tag belongs to one code, which is checked, else by code.  Codes of one tag may differ for
+    equal bytes, if executors have other versions of the coder: then the bytes are compared.
+    """
+    codes = pieces.select("tag", "code").distinct().sortWithinPartitions("tag", "code").mapInArrow(_number, "tag binary, code binary, name bigint")
+    codes = materialise(codes, "codes")
+    shared = materialise(codes.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("tag"), "shared-tags")
+    if shared.isEmpty():
+        return pieces.drop("code").join(codes.select("tag", "name"), "tag").drop("tag")
+    several = materialise(codes.join(shared, "tag"), "shared-codes")
+    bytes_named = several.mapInArrow(_unpacked, "tag binary, raw binary, name bigint")
+    first = bytes_named.groupBy("tag", "raw").agg(F.min("name").alias("least"), F.collect_set("name").alias("names"))
+    same = materialise(first.select(F.explode("names").alias("name"), "least"), "same-codes")
+    settled = several.join(same, "name").select("tag", "code", F.col("least").alias("name"))
+    plain = pieces.join(shared, "tag", "left_anti").drop("code").join(codes.select("tag", "name"), "tag").drop("tag")
+    return plain.unionByName(pieces.join(settled, ["tag", "code"]).drop("tag", "code"))
+
+
+def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, uid: Column | None = None) -> DataFrame:
     """One row per input row: uid, doc_id, n_blocks, name, text_sha256.
 
     Two rows have the same (n_blocks, name) exactly if their texts are equal after lower-casing A-Z.
-    A null text counts as empty; other columns are not read.
+    A null text counts as empty; other columns are not read but ``uid``, a number of each row that is
+    drawn here if there is none.
     """
-    pieces = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
-        _cutter(block_bytes), "uid bigint, doc_id bigint, pos bigint, n_blocks bigint, code binary, text_sha256 string"
+    uid = F.monotonically_increasing_id() if uid is None else uid
+    pieces = docs.select(uid.alias("uid"), F.col("doc_id").cast("bigint"), F.col("text")).mapInArrow(
+        _cutter(block_bytes), "uid bigint, doc_id bigint, pos bigint, n_blocks bigint, tag binary, code binary, text_sha256 string"
     )
-    level = materialise(_named(pieces, ["code"], "code binary").drop("code"), "blocks")
+    level = materialise(_named_blocks(materialise(pieces, "pieces")), "blocks")
     single = level.where("n_blocks = 1").select("uid", "doc_id", "n_blocks", "name", "text_sha256")
     most = level.where("n_blocks > 1").agg(F.max("n_blocks")).first()[0] or 1
     if most == 1:
@@ -98,8 +131,8 @@ def name_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     return single.unionByName(long)
 
 
-def _marked(docs: DataFrame, block_bytes: int) -> DataFrame:
-    named = materialise(name_documents(docs, block_bytes), "named")
+def _marked(docs: DataFrame, block_bytes: int, uid: Column | None = None) -> DataFrame:
+    named = materialise(name_documents(docs, block_bytes, uid), "named")
     rank = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc"), F.col("doc_id").alias("keep_id"), F.col("uid"))
     groups = named.groupBy("n_blocks", "name").agg(F.max(rank).alias("top"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
     groups = materialise(groups.select("n_blocks", "name", "top.keep_id", F.col("top.uid").alias("top_uid"), "group_size"), "groups")
@@ -126,9 +159,10 @@ def dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns.  ``docs`` is read twice and must give the same rows in the same order, as files do."""
-    gone = _marked(docs, block_bytes).where("not kept").select(F.col("uid").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(gone.hint("merge"), "__row", "left_anti").drop("__row")
+    """The rows of ``docs`` that stay, with their own columns: of equal texts one, see ``dedup``."""
+    keyed, row = numbered(docs, "rows")
+    gone = _marked(keyed, block_bytes, F.col(row)).where("not kept").select(F.col("uid").alias(row))
+    return keyed.join(gone.hint("merge"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

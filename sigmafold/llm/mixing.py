@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigmafold.runtime import materialise
+from sigmafold.runtime import materialise, numbered
 
 #: Exponents probed in one pass over the sources: PROBES + 1 equal parts, five bisections at once.
 PROBES = 31
@@ -149,11 +149,12 @@ def mix_rows(docs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS,
     A block lies in one partition and partitions follow one another, so what reads the rows as they
     come sees block after block of the target mixture.
     """
-    keyed = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    costs = materialise(costed(keyed, F.col("__row")), "costs")
-    placed = place(costs, target, block_tokens, seed).select(F.col("uid").alias("__row"), F.col("block").alias("__block"), F.col("slot").alias("__slot"))
-    copies = keyed.join(placed, "__row").repartitionByRange("__block").sortWithinPartitions("__block", "__slot")
-    return copies.select(*docs.columns)
+    keyed, row = numbered(docs, "rows")
+    costs = materialise(costed(keyed, F.col(row)), "costs")
+    placed = place(costs, target, block_tokens, seed).select(F.col("uid").alias(row), "block", "slot")
+    copies = keyed.alias("docs").join(placed.alias("placed"), row).select("docs.*", F.col("placed.block").alias(f"{row}_block"), F.col("placed.slot").alias(f"{row}_slot"))
+    copies = copies.repartitionByRange(f"{row}_block").sortWithinPartitions(f"{row}_block", f"{row}_slot")
+    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
