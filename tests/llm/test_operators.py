@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sigmafold.llm import exact_dedup, fingerprints, html_blocks, html_extract, language_id, lm_scoring, mixing, near_duplicates, packing, quality, token_ids, token_output
-from sigmafold.runtime import scratch_path
+from sigmafold.runtime import materialise, scratch_path
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, lang_pred string, uid bigint, label int, state string"
@@ -33,6 +33,7 @@ def hard_rows():
     texts = [
         None, "", " ", "\n\n", "one", "One", "ONE", base, base, base.upper(), " ".join(near), words(rng, 40_000), "über Straße\nçédille – “quotes”",
         "a\tb  c \n d", "12345 !!!", "x" * 50_000, base, "zero \x00 byte", "end \n",
+        "a <|endoftext|> b<|startoftext|>c, <|endoftext|>!",
     ]
     rows = [(i, t, ("en", "de", "fr", None)[i % 4], ("hot", "hot", "rare", None)[i % 4], None) for i, t in enumerate(texts)]
     rows.append(rows[7])  # a row that repeats
@@ -330,7 +331,75 @@ def test_blocks_of_a_large_group(spark, tmp_path, monkeypatch):
 def test_prefix_length():
     for s in (0.8, 0.9, 0.95):
         d = near_duplicates.prefix_length(s, 0.999)
-        assert 1 - (1 - s**d) ** near_duplicates.TREES >= 0.999 or d == 1
+        assert 1 - (1 - s**d) ** near_duplicates.TREES >= 0.999
+    with pytest.raises(ValueError):
+        near_duplicates.prefix_length(0.1)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_clusters_hold_all_links_of_mixed_groups(spark, tmp_path, monkeypatch, threshold):
+    """Several families of copies that share branches, blocks of a few rows, repeated and null doc_ids."""
+    monkeypatch.setattr(near_duplicates, "BLOCK_ROWS", 4)
+    rng = random.Random(8)
+    rows = []
+    for family in range(6):
+        seed = words(rng, 60).split()
+        for k in range(12):
+            copy = seed[:]
+            for _ in range(rng.randint(0, 2 + family)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, 1, 2, 100 * family + k]), " ".join(copy)))
+    rows += rows[:5]
+    path = str(tmp_path / "families")
+    spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, __row int").write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = collections.Counter((r.doc_id, r.n_links) for r in near_duplicates.join(docs, threshold, 0.999).collect())
+    want = collections.Counter()
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)))
+    near = lambda a, b: len(a & b) >= threshold * len(a | b)
+    for k, (i, _) in enumerate(rows):
+        want[i, sum(near(sets[k], sets[j]) for j in range(len(rows)) if j != k)] += 1
+    assert got == want
+    kept = near_duplicates.drop_near_duplicates(docs, threshold, 0.999).collect()
+    label = list(range(len(rows)))
+    for _ in rows:
+        label = [min(label[j] for j in range(len(rows)) if near(sets[j], sets[k])) for k in range(len(rows))]
+    assert collections.Counter(label[r["__row"]] for r in kept) == collections.Counter(set(label))
+
+
+def test_weak_links_shorten_prefixes(spark, monkeypatch):
+    used = []
+    whole = near_duplicates._branches
+    monkeypatch.setattr(near_duplicates, "_branches", lambda nodes, length: used.append(length) or whole(nodes, length))
+    rng = np.random.default_rng(2)
+    n = near_duplicates.TREES * near_duplicates.DEPTH
+
+    def clusters(changed):
+        first = rng.integers(0, 1 << 16, n).astype(">u2")
+        rows = [(0, bytearray(first.tobytes()))]
+        other = first.copy()
+        other[rng.permutation(n)[:changed]] = 1
+        rows.append((1, bytearray(other.tobytes())))
+        nodes = spark.createDataFrame(rows, "node bigint, labels binary")
+        used.clear()
+        return near_duplicates.candidate_clusters(nodes).count(), list(used)
+
+    assert clusters(1) == (2, [8])  # copies that are all but equal are found at full length
+    found, lengths = clusters(25)
+    assert found == 2 and lengths[0] == 8 and lengths[-1] < 8
+    assert clusters(n)[0] == 0
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(4)
+    for text in (words(rng, 3000), "x" * 9000 + " a b", " ".join(["loop"] * 2000), words(rng, 4) + " " * 5000 + words(rng, 3)):
+        want = near_duplicates._short_sets(pa.array([text]))[0].tolist()
+        for size in (64, 500, 10_000):
+            monkeypatch.setattr(near_duplicates, "TEXT_BYTES", size)
+            assert near_duplicates.shingle_sets(pa.array([text]))[0].tolist() == want
 
 
 # --- op6 ---
@@ -353,6 +422,40 @@ def test_exact_duplicates(hard, block):
     assert all(sum(r.kept for r in rs) <= 1 for rs in got.values())
 
 
+def test_kept_rows_do_not_depend_on_splits(spark, tmp_path):
+    """File splits follow the number of executors, which may change between building a query and running it."""
+    path = str(tmp_path / "many")
+    texts = [f"text {k % 37} of a table with many files and some words more" for k in range(400)]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(24, "doc_id").write.parquet(path)
+    last = {t: k for k, t in enumerate(texts)}
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    try:
+        for drop in (exact_dedup.drop_duplicates, near_duplicates.drop_near_duplicates):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")
+            kept = drop(spark.read.parquet(path))
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "12")
+            got = {r.text: r.doc_id for r in kept.collect()}
+            if drop is exact_dedup.drop_duplicates:
+                assert got == last
+            else:
+                assert all(last[t] == i for t, i in got.items()) and len(got) <= 37
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+
+
+def test_blocks_whose_codes_differ_have_one_name(spark, tmp_path):
+    """Executors with other versions of the coder give other codes for the same bytes; two blocks may share a tag."""
+    import zstandard
+
+    a, b = b"some bytes " * 50, b"other bytes " * 50
+    pack = lambda raw, other: bytearray(zstandard.ZstdCompressor(write_checksum=other).compress(raw))
+    rows = [(0, b"t", pack(a, False)), (1, b"t", pack(a, True)), (2, b"t", pack(b, False)), (3, b"u", pack(b, False)), (4, b"u", pack(b, False))]
+    assert rows[0][2] != rows[1][2]
+    pieces = spark.createDataFrame([(u, bytearray(t), c) for u, t, c in rows], "uid bigint, tag binary, code binary")
+    name = {r.uid: r.name for r in exact_dedup._named_blocks(materialise(pieces, "test")).collect()}
+    assert name[0] == name[1] != name[2] and name[3] == name[4] and len(name) == 5
+
+
 def test_exact_duplicates_of_nothing_and_kept_rows(hard, empty):
     assert exact_dedup.dedup(empty).count() == 0
     kept = exact_dedup.drop_duplicates(hard)
@@ -376,6 +479,24 @@ def test_pieces_give_the_ids_of_whole_texts(path):
         assert got == whole
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_rare_pieces_are_forgotten(path):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", "Über", "x,"]) + rng.choice(["", ".", "abc", str(rng.random())]) for _ in range(30)) for _ in range(200)]
+    encoder = token_ids.PieceEncoder(path, remembered=200)
+    whole = Tokenizer.from_file(path)
+    for at in range(0, len(texts), 8):
+        flat, starts = encoder.encode(pa.array(texts[at : at + 8]), 2)
+        for k, text in enumerate(texts[at : at + 8]):
+            assert flat[starts[k] : starts[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids + [2]
+    assert len(encoder._place) < 2000
+
+
+def test_slices_are_bounded():
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * n if n else None for n in (5, 0, 100, 3, 3, 3, 50, 1)])], names=["text"])
+    assert [len(s) for s in token_ids.slices([batch], 0, rows=3, most=10)] == [2, 1, 3, 1, 1]
+
+
 @pytest.mark.parametrize("values", [[], [0], [2**64 - 1, 5, 2**63, 1 << 60, (1 << 60) - 1], [0] * 500, list(range(1000)), [1] * 61 + [7]])
 def test_simple8b(values):
     v = np.array(values, np.uint64)
@@ -387,7 +508,6 @@ def test_token_files(spark, hard, empty):
     path = scratch_path(spark, "test")
     token_output.write_token_files(hard, path, BYTE, block_tokens=500)
     tokenizer = Tokenizer.from_file(BYTE)
-    tokenizer.encode_special_tokens = True
     rows = sorted(((i, t or "") for i, t, *_ in hard_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     want, at = [], 0
     for i, t in rows:
@@ -404,7 +524,6 @@ def test_token_files(spark, hard, empty):
 def test_packing(hard, empty):
     got = packing.pack(hard, WORD).collect()
     tokenizer = Tokenizer.from_file(WORD)
-    tokenizer.encode_special_tokens = True
     ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t, *_ in hard_rows()}
     assert sum(r.length for r in got) == sum(len(ids[i]) for i, *_ in hard_rows())
     by_sequence = collections.defaultdict(list)
