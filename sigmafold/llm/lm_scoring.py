@@ -1,13 +1,18 @@
 """Language-model scores of whole texts by causal self-attention over subword ids.
 
 The model predicts the class of the next subword from the subwords before it: one attention layer in
-numpy.  Its weights begin from a small sample; then every partition goes on over all its training
-texts, round by round, and the partitions' weights are averaged after each.  A class is a set of
-subwords that keep the same company; company, ranks and how likely a subword is within its class come
-from the whole training corpus.
-Texts are scored in overlapping windows: each window reads CONTEXT ids again and scores the next
-STRIDE, so every id is scored once.  The probability of a word is a mixture of the network's and of
-the word's share of the training corpus.
+numpy.  Every partition trains it on all its training texts, round by round, and the partitions' weights
+are averaged after each.  A class is a set of subwords that keep the same company and that all begin a
+word or all go on with one; company, ranks and how likely a subword is within its class come from the
+whole training corpus.  Texts are scored in overlapping windows: each window reads CONTEXT ids again and
+scores the next STRIDE, so every id is scored once.
+
+The chances of the next subword sum to one over the vocabulary.  A word's chance, given that a word or
+the end comes next, is that of its subwords and of a word's end behind them; it is mixed with the word's
+share of the training corpus.  As in the base score, all words that the training corpus lacks count as
+one, the unknown word; its chance is the share of words that occur once (Good and Turing).  The chances
+of the end, the known words and the unknown word sum to at most one, as some strings of subwords are no
+known word's.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmafold.llm.language_id import held_out
-from sigmafold.llm.token_ids import PieceEncoder
-from sigmafold.runtime import materialise
+from sigmafold.llm.token_ids import PieceEncoder, slices
+from sigmafold.runtime import materialise, release
 
 WIDTH = 16
 CONTEXT, STRIDE = 8, 24
 LENGTH = CONTEXT + STRIDE
-CLASSES, RARE_CLASSES = 92, 4
+#: Classes of subwords that begin a word and of those that don't; then rare and unseen subwords of both kinds.
+BEGINNING, INNER, RARE_CLASSES = 56, 36, 4
+CLASSES = BEGINNING + INNER
 #: Subwords with an embedding of their own, by frequency; the others share that of their class.
 EMBEDDED = 4096
 CLUSTERED = 1500
@@ -33,19 +40,18 @@ CLUSTERED = 1500
 GROUPS, FOLLOWERS = 192, 8192
 #: Weight of the class's shares against what was counted behind the subword before.
 PRIOR = 100.0
-#: Texts that the attention weights begin from, and windows of each; they then go on over all training texts.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 1200, 8
-STEPS, BATCH, RATE = 300, 64, 0.015
 #: The pass over all training texts: a text belongs to one round; the rate falls from round to round.
-ROUNDS, ROUND_RATE = 4, 0.004
+ROUNDS, ROUND_RATE, BATCH = 4, 0.015, 64
+#: Distinct words that a worker remembers the ids of.
+REMEMBERED = 300_000
 #: Windows that are scored at once.
 WINDOWS = 96
 #: Words whose counts every executor knows; the counts of all others are joined.
 FREQUENT = 150_000
 FREQUENT_BYTES = 48
 #: Part of a word's probability that comes from its share of the training corpus; the rest is the network's.
-WORD_PART = 0.4
-_GROUP = 512
+WORD_PART = 0.7
+_GROUP, _GROUP_BYTES = 512, 1 << 22
 _LOG10 = 2.302585092994046
 
 
@@ -63,9 +69,9 @@ def words_of(texts):
     return pc.list_flatten(lists.filter(some)), counts.astype(np.int64)
 
 
-def _groups(batch, size: int = _GROUP):
-    for at in range(0, batch.num_rows, size):
-        yield batch.slice(at, size)
+def _groups(batch, column: int = 0):
+    """Parts of a batch of at most _GROUP rows and _GROUP_BYTES in ``column``."""
+    return slices([batch], column, _GROUP, _GROUP_BYTES)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -75,8 +81,8 @@ def count_words(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in batches:
-            words, _ = words_of(batch.column(0))
+        for part in slices(batches, 0):
+            words, _ = words_of(part.column(0))
             found = pc.value_counts(words)
             yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "n"])
 
@@ -110,9 +116,9 @@ def count_subwords(words: DataFrame, tokenizer: str, group_of, follower_of):
     def count(batches):
         import pyarrow as pa
 
-        encoder, total, behind = PieceEncoder.of(tokenizer), np.zeros(size), np.zeros(GROUPS * FOLLOWERS)
+        encoder, total, behind = PieceEncoder.of(tokenizer, REMEMBERED), np.zeros(size), np.zeros(GROUPS * FOLLOWERS)
         for batch in batches:
-            ids, before = encoder.ids_at(encoder.places([" " + w for w in batch.column(0).to_pylist()]))
+            ids, before = encoder.ids_at(encoder.places([" " + w for w in batch.column(0).to_numpy(zero_copy_only=False).tolist()]))
             weight = np.repeat(batch.column(1).to_numpy(), np.diff(before))
             total += np.bincount(ids, weight, size)
             inside = np.ones(len(ids), bool)
@@ -138,7 +144,7 @@ def encode_texts(texts, encoder: PieceEncoder, end: int):
 
     words, counts = words_of(texts)
     coded = words.dictionary_encode()
-    known = encoder.places([" " + w for w in coded.dictionary.to_pylist()])
+    known = encoder.places([" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
     ids, before = encoder.ids_at(known[coded.indices.to_numpy()])
     stops = before[np.cumsum(counts)]
     ends = np.arange(1, len(stops) + 1)
@@ -160,7 +166,7 @@ def windows(starts, stride: int = STRIDE, context: int = CONTEXT):
 
 @dataclass
 class CausalModel:
-    """Class and embedding row of every subword, its log share of the class, and the layer's weights."""
+    """Class and embedding row of every subword, its log share of the class, which classes begin a word, and the layer's weights."""
 
     class_of: object
     row_of: object
@@ -170,6 +176,7 @@ class CausalModel:
     log_behind: object
     log_behind_other: object
     spaced: object
+    begins: object
     weights: list
 
     @property
@@ -178,9 +185,10 @@ class CausalModel:
         return len(self.weights[0]) - 1
 
     def log_chances(self, ids, starts):
-        """Natural log probability of each id, given those before it: batched masked attention over all windows.
+        """Natural logs of each id's chance given those before it, and of the chance that a word or the end comes there.
 
-        A batch is small enough that its arrays stay in the processor's cache.
+        Batched masked attention over all windows; a batch is small enough that its arrays stay in the
+        processor's cache.
         """
         import numpy as np
 
@@ -188,16 +196,19 @@ class CausalModel:
         # A last entry stands for every place outside a text.
         row = np.append(self.row_of[ids], self.blank).astype(np.int32)
         label = np.append(self.class_of[ids], 0).astype(np.int32)
-        out = np.append(self.log_shares(ids, starts), 0.0)
+        out, begins = np.append(self.log_shares(ids, starts), 0.0), np.zeros(len(ids) + 1)
+        sums = np.stack([np.ones(len(self.begins)), self.begins], 1).astype(np.float32)
         for at in range(0, len(place), WINDOWS):
             part = place[at : at + WINDOWS]
             z = self.forward(row[part[:, :-1]], CONTEXT)[0].reshape(len(part) * STRIDE, -1)
             target = part[:, CONTEXT + 1 :].ravel()
             picked = z[np.arange(len(z)), label[target]]
             np.exp(z, out=z)
+            norm = np.log(z @ sums)
             # Every id is the target of one window; what falls outside adds to the last entry alone.
-            out[target] += picked - np.log(z @ np.ones(z.shape[1], np.float32))
-        return out[:-1]
+            out[target] += picked - norm[:, 0]
+            begins[target] = norm[:, 1] - norm[:, 0]
+        return out[:-1], begins[:-1]
 
     def log_shares(self, ids, starts):
         """Log share of each subword in its class, given the subword before it if both are of one word."""
@@ -341,7 +352,7 @@ def count_company(encoded: DataFrame, top, size: int):
 
 
 def cluster_subwords(company, counts, spaced):
-    """Class of every subword: frequent ones by the company they keep (see ``company_of``), the rest by first letter kind and count."""
+    """Class of every subword: frequent ones by the company they keep (see ``company_of``), the rest by count; no class has subwords of both kinds."""
     import numpy as np
 
     top = top_subwords(counts)
@@ -360,25 +371,23 @@ def cluster_subwords(company, counts, spaced):
     x = lift @ vectors[:, -20:]
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-6
     rng, weight = np.random.default_rng(1), np.sqrt(counts[top] + 1.0)
-    n = min(CLASSES, max(1, len(top)))
-    centre = x[:n].copy()  # the most frequent subwords begin the classes
-    for _ in range(15):
-        label = (x @ centre.T).argmax(1)
-        for c in range(n):
-            mine = label == c
-            centre[c] = (x[mine] * weight[mine, None]).sum(0) if mine.any() else x[rng.integers(len(x))]
-        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-6
-    out[top] = label
+    for kind, first, most in ((True, 0, BEGINNING), (False, BEGINNING, INNER)):
+        mine = np.flatnonzero(spaced[top] == kind)
+        n = min(most, len(mine))
+        if not n:
+            continue
+        y, w = x[mine], weight[mine]
+        centre = y[:n].copy()  # the most frequent subwords begin the classes
+        for _ in range(15):
+            label = (y @ centre.T).argmax(1)
+            for c in range(n):
+                members = label == c
+                centre[c] = (y[members] * w[members, None]).sum(0) if members.any() else y[rng.integers(len(y))]
+            centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-6
+        out[top[mine]] = first + label
     return out.astype(np.int64)
 
 
-def groups(ids, size: int):
-    """``ranked_groups`` by frequency among ``ids``."""
-    import numpy as np
-
-    return ranked_groups(np.bincount(ids, minlength=size))
-
-
 def ranked_groups(counts):
     """Group and follower number of every subword (-1: none), by these counts."""
     import numpy as np
@@ -415,21 +424,21 @@ class _Adam:
             self.model.weights[i] = (self.model.weights[i] - rate * (first / (1 - 0.9**self.n)) / (np.sqrt(second / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
 
 
-def fit(ids, starts, counts, behind, group_of, follower_of, spaced, steps: int = STEPS, seed: int = 3, company=None) -> CausalModel:
-    """Train on sample windows (``ids`` of texts from ``starts``).
+def prepare(counts, behind, group_of, follower_of, spaced, company, seed: int = 3) -> CausalModel:
+    """The model before training: classes, shares and first weights.
 
     ``counts``, ``behind`` and ``company`` are those of the whole training corpus, see ``count_subwords``
-    and ``count_company``; without ``company`` it is counted in ``ids``.
+    and ``count_company``.
     """
     import numpy as np
 
     rng = np.random.default_rng(seed)
     counts = counts.astype(np.float64)
-    if company is None:
-        company = company_of(ids, starts, top_subwords(counts), len(counts))
     class_of = cluster_subwords(company, counts, spaced)
     n_classes = CLASSES + RARE_CLASSES
     of_class, members = np.bincount(class_of, counts, n_classes), np.bincount(class_of, minlength=n_classes)
+    # A class without members gets no chance: its score stays low whatever the layer says.
+    empty = members == 0
     log_share = np.log((counts + 0.5) / (of_class + 0.5 * members)[class_of])
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
@@ -438,51 +447,31 @@ def fit(ids, starts, counts, behind, group_of, follower_of, spaced, steps: int =
     shapes = [(rows, WIDTH), (LENGTH, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (WIDTH, n_classes), (n_classes,)]
     scale = [0.3, 0.1, 0.1, 0.25, 0.25, 0]
     weights = [(rng.standard_normal(s) * k).astype(np.float32) for s, k in zip(shapes, scale)]
-    weights[5] = np.log((of_class + 1) / (of_class + 1).sum()).astype(np.float32)
+    weights[4][:, empty] = 0
+    weights[5] = np.where(empty, -60.0, np.log((of_class + 1) / (of_class + 1).sum())).astype(np.float32)
     # Shares behind a group: what was counted, and PRIOR parts of the class's own shares.
     followers = np.flatnonzero(follower_of >= 0)
     followers = followers[np.argsort(follower_of[followers])]
     classes = class_of[followers]
-    by_class = np.stack([np.bincount(classes, b, n_classes) for b in behind[:, : len(followers)]])
-    log_behind = np.log(behind[:, : len(followers)] + PRIOR * np.exp(log_share[followers])) - np.log(by_class + PRIOR)[:, classes]
+    # Only what goes on with a word is counted behind a group.
+    inner = ~spaced[followers]
+    behind = behind[:, : len(followers)] * inner
+    by_class = np.stack([np.bincount(classes, b, n_classes) for b in behind]) if len(followers) else np.zeros((len(behind), n_classes))
+    log_behind = np.log(behind + PRIOR * np.exp(log_share[followers])) - np.log(by_class + PRIOR)[:, classes]
     log_other = np.log(PRIOR) - np.log(by_class + PRIOR)
-    model = CausalModel(class_of, row_of, log_share, group_of, follower_of, log_behind.astype(np.float32), log_other, spaced, weights)
-    place, _ = windows(starts)
-    if not len(place):
-        return model
-    row, label = np.append(row_of[ids], rows - 1), np.append(class_of[ids], 0)
-    adam = _Adam(model)
-    for step in range(1, steps + 1):
-        adam.step(row, label, place[rng.integers(len(place), size=BATCH)], RATE * (1 - 0.95 * step / steps))
-    return model
-
-
-def _sample(texts: DataFrame, tokenizer: str, end: int):
-    """Ids of windows of at most SAMPLE_TEXTS texts, those with the lowest hash; from each, SAMPLE_WINDOWS runs spread over it."""
-    import numpy as np
+    begins = np.zeros(n_classes, bool)
+    begins[class_of[spaced]] = True
+    return CausalModel(class_of, row_of, log_share, group_of, follower_of, log_behind.astype(np.float32), log_other, spaced, begins, weights)
 
-    n = texts.count()
-    draws = texts.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("draw"))
-    chosen = draws.where(F.col("draw") * F.lit(n) <= F.lit(1.1 * SAMPLE_TEXTS * (1 << 30)))
 
-    def cut(batches):
-        import pyarrow as pa
-
-        encoder, run = PieceEncoder.of(tokenizer), 2 * STRIDE
-        for batch in batches:
-            for part in _groups(batch):
-                ids, starts, *_ = encode_texts(part.column(0), encoder, end)
-                out = []
-                for draw, a, b in zip(part.column(1).to_pylist(), starts[:-1].tolist(), starts[1:].tolist()):
-                    step = max(run, (b - a) // SAMPLE_WINDOWS)
-                    out += [(draw, at - a, ids[at : min(b, at + run)].tobytes()) for at in range(a, b, step)]
-                columns = list(zip(*out)) or [()] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["draw", "at", "ids"])
+def train_on(model: CausalModel, adam: _Adam, ids, starts, rng, rate: float) -> None:
+    """Steps over all windows of these texts, in the order that ``rng`` deals; every id is predicted once."""
+    import numpy as np
 
-    found = sorted(chosen.mapInArrow(cut, "draw bigint, at bigint, ids binary").collect(), key=lambda r: (r.draw, r.at, r.ids))
-    runs = [np.frombuffer(r.ids, np.uint16) for r in found[: SAMPLE_TEXTS * (SAMPLE_WINDOWS + 1)]]
-    starts = np.concatenate([[0], np.cumsum([len(r) for r in runs], dtype=np.int64)]).astype(np.int64)
-    return (np.concatenate(runs) if runs else np.zeros(0, np.uint16)), starts
+    row, label = np.append(model.row_of[ids], model.blank), np.append(model.class_of[ids], 0)
+    place = rng.permutation(windows(starts, LENGTH, 0)[0])
+    for at in range(0, len(place), BATCH):
+        adam.step(row, label, place[at : at + BATCH], rate)
 
 
 def encode_training(texts: DataFrame, tokenizer: str, end: int) -> DataFrame:
@@ -492,7 +481,7 @@ def encode_training(texts: DataFrame, tokenizer: str, end: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder.of(tokenizer, REMEMBERED)
         for batch in batches:
             for part in _groups(batch):
                 ids, starts, *_ = encode_texts(part.column(0), encoder, end)
@@ -513,7 +502,7 @@ def _decoded(column):
 
 
 def refine(model: CausalModel, encoded: DataFrame) -> int:
-    """Go on training over all texts of ``encoded``; every id is predicted once.  Returns how many were.
+    """Train over all texts of ``encoded``; every id is predicted once.  Returns how many were.
 
     In each round every partition takes steps on its texts of that round, from the weights of the round
     before; the new weights are the partitions' mean by ids.  The number of steps follows the corpus;
@@ -543,15 +532,12 @@ def refine(model: CausalModel, encoded: DataFrame) -> int:
             import pyarrow as pa
 
             row_of, class_of, weights = shared.value
-            own = CausalModel(class_of, row_of, None, None, None, None, None, None, list(weights))
+            own = CausalModel(class_of, row_of, None, None, None, None, None, None, None, list(weights))
             adam, rng, n = _Adam(own), np.random.default_rng((turn, TaskContext.get().partitionId())), 0
             for batch in batches:
                 for part in _groups(batch):
                     ids, starts = _decoded(part.column(0))
-                    row, label = np.append(row_of[ids], own.blank), np.append(class_of[ids], 0)
-                    place = rng.permutation(windows(starts, LENGTH, 0)[0])
-                    for at in range(0, len(place), BATCH):
-                        adam.step(row, label, place[at : at + BATCH], rate)
+                    train_on(own, adam, ids, starts, rng, rate)
                     n += len(ids)
             if n:
                 flat = np.concatenate([w.ravel() for w in own.weights]).astype(np.float32)
@@ -584,9 +570,10 @@ def learn_model(training: DataFrame, words: DataFrame, n_texts: int, tokenizer:
     subwords[end] += n_texts
     encoded = encode_training(training, tokenizer, end)
     company = count_company(encoded, top_subwords(subwords), size)
-    ids, starts = _sample(training, tokenizer, end)
-    model = fit(ids, starts, subwords, behind, group_of, follower_of, spaced, company=company)
-    return model, refine(model, encoded)
+    model = prepare(subwords, behind, group_of, follower_of, spaced, company)
+    trained = refine(model, encoded)
+    release(encoded)
+    return model, trained
 
 
 def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame:
@@ -606,8 +593,10 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
     training = rows.where("learn").select("doc_id", "text")
     counts = materialise(count_words(training), "words")
     n_texts = training.count()
-    n_words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    n_words, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
     n_all, v = n_words + n_texts, distinct + (n_texts > 0)
+    unknown = (once + 0.5) / (n_all + 1)
+    by_share, by_net = WORD_PART * (1 - unknown), (1 - WORD_PART) * (1 - unknown)
     spaced[end] = True  # an end begins anew, as a word does
     model, _ = learn_model(training, counts, n_texts, tokenizer, spaced, end)
     # Frequent words: at most FREQUENT, of at most FREQUENT_BYTES bytes.
@@ -619,22 +608,25 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
         import pyarrow as pa
 
         index, logs, fitted = frequent.value
-        encoder, uid = PieceEncoder.of(tokenizer), TaskContext.get().partitionId() << 40
+        encoder, uid = PieceEncoder.of(tokenizer, REMEMBERED), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in _groups(batch):
+            for part in _groups(batch, 1):
                 n = part.num_rows
                 ids, starts, coded, sizes, firsts = encode_texts(part.column(1), encoder, end)
                 marks, ends = np.zeros(len(ids), bool), starts[1:] - 1
                 marks[firsts] = marks[ends] = True
                 units = np.flatnonzero(marks)
                 chance = np.zeros(len(ids))
-                chance[units] = np.add.reduceat(fitted.log_chances(ids, starts), units)
-                place = np.array([index.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                each, begins = fitted.log_chances(ids, starts)
+                # Given that a unit begins here; a word ends where the next unit begins, which is in the same text.
+                chance[units] = np.add.reduceat(each, units) - begins[units]
+                chance[firsts] += begins[units[np.searchsorted(units, firsts) + 1]]
+                place = np.array([index.get(w, -1) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
                 where, net, seen = np.repeat(np.arange(n), sizes), chance[firsts], place >= 0
                 known = np.bincount(where[seen], minlength=n)
                 base = np.bincount(where[seen], logs[place[seen]], n)
-                mixed = np.log(WORD_PART * 10 ** (logs[place[seen]] - unit_log) + (1 - WORD_PART) * np.exp(net[seen]))
-                last = np.log(WORD_PART * 10 ** (end_log - unit_log) + (1 - WORD_PART) * np.exp(chance[ends]))
+                mixed = np.log(by_share * 10 ** (logs[place[seen]] - unit_log) + by_net * np.exp(net[seen]))
+                last = np.log(by_share * 10 ** (end_log - unit_log) + by_net * np.exp(chance[ends]))
                 found = (np.bincount(where[seen], mixed, n) + last) / _LOG10
                 # The other words go on with the network's log10 probability of each.
                 other = np.flatnonzero(~seen)
@@ -661,7 +653,9 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
     )
     rest = judged.select("uid", F.inline("rest")).join(counts, "word", "left")
     plus = F.coalesce("n", F.lit(0)) + F.lit(1.0)
-    mixed = F.log10(F.lit(WORD_PART) * plus / F.lit(float(n_all + v + 1)) + F.lit(1 - WORD_PART) * F.pow(F.lit(10.0), F.col("net")))
+    unit = F.lit(1.0 / float(n_all + v + 1))
+    known = F.log10(F.lit(by_share) * plus * unit + F.lit(by_net) * F.pow(F.lit(10.0), F.col("net")))
+    mixed = F.when(F.col("n").isNull(), F.log10(F.lit(by_share) * unit + F.lit(unknown))).otherwise(known)
     rest = rest.groupBy("uid").agg(F.count("n").alias("rest_known"), F.sum(F.log10(plus)).alias("rest_base"), F.sum(mixed).alias("rest_score"))
     out = judged.drop("rest").join(rest, "uid", "left")
     ends = 1 if n_texts else 0

@@ -205,7 +205,7 @@ def _agreements(batches):
 
 def _across_cores(least: float):
     """Edges between members of a branch that are of different cores and agree.  Rows come sorted by branch and label."""
-    keys = ("tree", "prefix", "first", "second")
+    keys = ("branch", "first", "second")
 
     def edges(table):
         import numpy as np
@@ -270,12 +270,18 @@ def _across_cores(least: float):
 
 
 def _branches(nodes: DataFrame, length: int) -> DataFrame:
-    """(node, tree, prefix, leader, members): every node in each branch of its trees that has two or more; the leader is its least."""
-    starts = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring(F.col("labels"), t * (2 * DEPTH) + 1, F.lit(2 * length)).alias("prefix")))
-    hits = nodes.select("node", F.inline(starts))
-    many = materialise(hits.groupBy("tree", "prefix").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1"), "branches")
+    """(node, branch, leader, members): every node in each branch of its trees that has two or more; the leader is its least.
+
+    A branch is named by a hash of its tree and prefix: two of one name would only add candidates.
+    """
+    prefix = lambda t: F.substring(F.col("labels"), t * (2 * DEPTH) + 1, F.lit(2 * length))
+    names = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, prefix(t)))
+    hits = nodes.select("node", F.explode(names).alias("branch"))
+    many = materialise(hits.groupBy("branch").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1"), "branches")
     # Large joins are merge joins at every size: what is candidate here grows with the input.
-    return materialise(hits.join(many.hint("merge"), ["tree", "prefix"]), "members")
+    found = materialise(hits.join(many.hint("merge"), "branch"), "members")
+    release(many)
+    return found
 
 
 def _to_leaders(members: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -293,7 +299,7 @@ def _between_cores(members: DataFrame, nodes: DataFrame, cores: DataFrame, least
     A branch's largest core is compared with the rest, and the rest within itself, in pairs of blocks:
     members of the largest core are not compared with each other and go once to each block of the rest.
     """
-    keys = ["tree", "prefix"]
+    keys = ["branch"]
     known = cores.select(F.col("vertex").alias("node"), F.col("component").alias("core"))
     rows = materialise(members.select("node", *keys, "members").join(known.hint("merge"), "node", "left").withColumn("core", F.coalesce("core", "node")), "cores")
     sizes = rows.groupBy(*keys, "core").agg(F.count(F.lit(1)).alias("n"), F.first("members").alias("members"))

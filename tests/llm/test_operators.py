@@ -237,10 +237,9 @@ def test_windows_score_every_id_once():
 
 
 def test_model_learns_from_all_training_texts(spark, sf, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "SAMPLE_TEXTS", 1)
     seen = {}
-    fit = lm_scoring.fit
-    monkeypatch.setattr(lm_scoring, "fit", lambda *a, **k: seen.update(company=k["company"], weights=(m := fit(*a, **k)).weights.copy()) or m)
+    prepare = lm_scoring.prepare
+    monkeypatch.setattr(lm_scoring, "prepare", lambda *a: seen.update(company=a[5], weights=(m := prepare(*a)).weights.copy()) or m)
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     words, tokenizer = lm_scoring.count_words(docs), Tokenizer.from_file(BYTE)
     size = tokenizer.get_vocab_size()
@@ -256,7 +255,7 @@ def test_model_learns_from_all_training_texts(spark, sf, monkeypatch):
     assert (np.diff(counts[ranked]) <= 0).all() and np.delete(counts, [*ranked, 50256]).max() <= counts[ranked[-1]]
     assert (seen["company"] == lm_scoring.company_of(ids, starts, lm_scoring.top_subwords(counts), size)).all()
     before = lm_scoring.CausalModel(**{**model.__dict__, "weights": seen["weights"]})
-    assert model.log_chances(ids, starts).mean() > before.log_chances(ids, starts).mean() + 0.1
+    assert model.log_chances(ids, starts)[0].mean() > before.log_chances(ids, starts)[0].mean() + 0.1
 
 
 def test_company_of_short_texts():
@@ -265,19 +264,24 @@ def test_company_of_short_texts():
         assert company.sum() == 2 * sum(max(0, n - gap) for gap in (1, 2, 6))
 
 
-def test_network_is_a_distribution():
-    rng = np.random.default_rng(0)
-    ids = rng.integers(0, 50, 3000).astype(np.uint16)
-    starts = np.arange(0, 3001, 100)
-    group, follower = lm_scoring.groups(ids, 60)
-    counts, behind = np.bincount(ids, minlength=60).astype(float), np.zeros((lm_scoring.GROUPS, lm_scoring.FOLLOWERS))
-    np.add.at(behind, (group[ids[:-1]], follower[ids[1:]]), 1)
-    model = lm_scoring.fit(ids, starts, counts, behind, group, follower, np.arange(60) % 3 == 0, steps=5)
-    total = 0.0
-    for last in range(60):
-        total += math.exp(model.log_chances(np.append(ids[:40], last).astype(np.uint16), np.array([0, 41]))[-1])
-    # Words begin anew at spaced ids, so shares are of two conditional tables; both sum to one over the classes they cover.
-    assert 0.5 < total < 1.5
+def test_chances_sum_to_one_over_the_vocabulary(sf, spark):
+    """With the real tokenizer, trained weights and counted tables; and those of what begins a word sum to its own chance."""
+    tokenizer = Tokenizer.from_file(BYTE)
+    size, end = tokenizer.get_vocab_size(), 50256
+    spaced = np.array([(tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+    spaced[end] = True
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model, _ = lm_scoring.learn_model(docs, lm_scoring.count_words(docs), docs.count(), BYTE, spaced, end)
+    texts = pa.array([r.text for r in docs.limit(3).collect()], pa.string())
+    ids, *_ = lm_scoring.encode_texts(texts, token_ids.PieceEncoder.of(BYTE), end)
+    for n in (0, 1, 2, 7, 30, 61):
+        # The context and each id of the vocabulary behind it: as many texts, scored whole.
+        text = np.concatenate([np.append(ids[:n], i) for i in range(size)]).astype(np.uint16)
+        starts = np.arange(size + 1) * (n + 1)
+        chance, begins = model.log_chances(text, starts)
+        last = np.exp(chance[n :: n + 1])
+        assert abs(last.sum() - 1) < 1e-5, n
+        assert abs(last[spaced].sum() - math.exp(begins[n])) < 1e-5
 
 
 # --- op5 ---
