@@ -154,14 +154,35 @@ def bidirectional_residual(field: PrimeField, forward: Column, backward: Column,
     return sequence_residual(field, forward, last, base), F.pmod(backward - field.c_mul(last, field.c_power(base, n - 1)), F.lit(field.p))
 
 
+def sequence_signature_in_parts(df: DataFrame, keys: list[str], order_by: list[str], e: Column, field: PrimeField, bases: list[int], parts: int = 256) -> DataFrame:
+    """``sequence_signature`` where one key may hold most rows: no task sees all rows of a key.
+
+    The first order column (a number) is cut at its quantiles; each part of a key is a sequence of its
+    own, and the few parts are concatenated.  Equal order values stay in one part.
+    """
+    first = F.col(order_by[0]).cast("double")
+    bounds = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
+    bounds = sorted(set(bounds or []))
+    part = F.lit(0)
+    if bounds:
+        table = F.array(*[F.lit(float(b)) for b in bounds])
+        part = F.size(F.filter(table, lambda b: b < first))
+    # Nulls come first in an order, and here too.
+    partial = sequence_signature(df.withColumn("__part", F.when(first.isNull(), -1).otherwise(part)), [*keys, "__part"], order_by, e, field, bases)
+    return merge_sequence(partial, keys, ["__part"], field, bases)
+
+
 # --- any field: fold in each partition, then fold the partial states --------------------------------
 
+#: States that a partition of a fold holds at once.
+HELD = 50_000
+
 
 def fold_signature(df: DataFrame, keys: list[str], element: Column, field, law: str, parameters: list[int] = ()) -> DataFrame:
     """keys, n, and states and zeros as arrays of canonical bytes and counts, for the additive and multiset laws over any field.
 
     ``element`` is a binary column of canonical elements.  Each partition folds its own rows in one
-    pass, holding one state per key; the partial states are folded by key.
+    pass, holding at most HELD states, which then go on as partial ones; those are folded by key.
     """
     if law not in ("additive", "multiset", "multi_multiset"):
         raise ValueError(f"no unordered fold for the law {law}")
@@ -196,6 +217,9 @@ def fold_signature(df: DataFrame, keys: list[str], element: Column, field, law:
                     else:
                         state[0][k] = combine(state[0][k], x)
                 state[2] += 1
+            if len(found) > HELD:
+                yield from pack(found).cast(arrow).to_batches()
+                found.clear()
         if found:
             yield from pack(found).cast(arrow).to_batches()
 
@@ -211,6 +235,104 @@ def fold_signature(df: DataFrame, keys: list[str], element: Column, field, law:
     return rows.mapInArrow(fold, schema).groupBy(*keys).applyInArrow(merge, schema)
 
 
+def fold_sequence(df: DataFrame, keys: list[str], order_by: list[str], element: Column, field, bases: list[int], backward: bool = False) -> DataFrame:
+    """keys, n and states (canonical bytes, one per base) of the ordered laws over any field; ``backward`` adds the states from the other end.
+
+    Rows are sorted into ranges of key and order, so a hot key is spread; each range folds its own run
+    of a key, and the runs of a key are concatenated in the order of the ranges.
+    """
+    if not order_by:
+        raise ValueError("a sequence needs order_by")
+    for b in check_points(bases):
+        check_base(b)
+    placed = df.select(*[F.col(k) for k in keys], *[F.col(o).alias(f"__o{i}") for i, o in enumerate(order_by)], element.alias("__e"))
+    order = [*keys, *[f"__o{i}" for i in range(len(order_by))]]
+    rows = placed.repartitionByRange(*order).sortWithinPartitions(*order).select(*keys, "__e")
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__e").schema)
+    partial_schema = f"{key_schema}, part int, states array<binary>, back array<binary>, n bigint"
+    schema = f"{key_schema}, states array<binary>{', back array<binary>' if backward else ''}, n bigint"
+    partial, final, width = to_arrow_schema(StructType.fromDDL(partial_schema)), to_arrow_schema(StructType.fromDDL(schema)), len(keys)
+
+    def fold(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, key, states, back, powers, n, out = TaskContext.get().partitionId(), None, [], [], [], 0, []
+
+        def emit():
+            columns = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, partial)], schema=partial)
+
+        def close():
+            if key is not None:
+                out.append((*key, part, [field.to_bytes(s) for s in states], [field.to_bytes(s) for s in back], n))
+
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:width] != key:
+                    close()
+                    key, states, back, powers, n = row[:width], [field.zero] * len(bases), [field.zero] * len(bases), [field.one] * len(bases), 0
+                e = field.from_bytes(row[width])
+                states = [field.add(field.mul(s, b), e) for s, b in zip(states, bases)]
+                back = [field.add(s, field.mul(e, q)) for s, q in zip(back, powers)]
+                powers, n = [field.mul(q, b) for q, b in zip(powers, bases)], n + 1
+            if len(out) > HELD:
+                yield emit()
+                out = []
+        close()
+        if out:
+            yield emit()
+
+    def merge(table):
+        import pyarrow as pa
+
+        states, back, n = [field.zero] * len(bases), [field.zero] * len(bases), 0
+        for _, s, r, m in sorted(zip(*(table.column(c).to_pylist() for c in ("part", "states", "back", "n"))), key=lambda x: x[0]):
+            back = [field.add(a, field.mul(field.from_bytes(x), field.power(b, n))) for a, x, b in zip(back, r, bases)]
+            states = [field.add(field.mul(a, field.power(b, m)), field.from_bytes(x)) for a, x, b in zip(states, s, bases)]
+            n += m
+        found = [*[table.column(k)[0].as_py() for k in keys], [field.to_bytes(s) for s in states], *([[field.to_bytes(s) for s in back]] if backward else []), n]
+        return pa.table([pa.array([v], f.type) for v, f in zip(found, final)], schema=final)
+
+    return rows.mapInArrow(fold, partial_schema).groupBy(*keys).applyInArrow(merge, schema)
+
+
+def residuals(df: DataFrame, state: str, element: str, n: str, field, law: str, parameter: int = 0, zeros: str | None = None) -> DataFrame:
+    """``df`` with rest (and rest_zeros for the multiset law): the state over any field (canonical bytes) without one item.
+
+    The item is assumed to be there, last in a sequence; taking out of an empty state, or a zero factor
+    that isn't counted, raises.
+    """
+    schema = StructType.fromDDL(", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", rest binary, rest_zeros bigint")
+    arrow, names = to_arrow_schema(schema), df.columns
+
+    def one(s, e, n_items, z):
+        if n_items < 1:
+            raise ValueError("item absent")
+        if law == "additive":
+            return field.sub(s, e), z
+        if law == "sequence":
+            return field.mul(field.sub(s, e), field.inverse(parameter)), z
+        f = field.add(e, parameter)
+        if f == field.zero:
+            if not z:
+                raise ValueError("item absent")
+            return s, z - 1
+        return field.mul(s, field.inverse(f)), z
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = {c: batch.column(k).to_pylist() for k, c in enumerate(names)}
+            counts = columns[zeros] if zeros else [0] * batch.num_rows
+            found = [one(field.from_bytes(s), field.from_bytes(e), m, z) for s, e, m, z in zip(columns[state], columns[element], columns[n], counts)]
+            rest = [pa.array([field.to_bytes(s) for s, _ in found], pa.binary()), pa.array([z for _, z in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).cast(arrow.field(k).type) for k in range(len(names))], *[x.cast(arrow.field(len(names) + k).type) for k, x in enumerate(rest)]], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
 def xor_signature(df: DataFrame, keys: list[str], element: Column, field: BinaryField) -> DataFrame:
     """The additive law over GF(2**m), natively: exclusive or of 64-bit limbs, low limb first."""
     limbs = -(-field.m // 64)

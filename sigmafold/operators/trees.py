@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigmafold.functions.fields import PrimeField
+from sigmafold.operators import codecs
 from sigmafold.operators.laws import check_base
 from sigmafold.runtime import materialise
 
@@ -60,3 +61,54 @@ def edit(nodes: DataFrame, changed: DataFrame, key: str, field: PrimeField, base
         fresh = materialise(parents(current, key, field, base), "edit")
         out = out.unionByName(fresh)
     return nodes.join(out.select(key, "level", "idx"), [key, "level", "idx"], "left_anti").unionByName(out)
+
+
+# --- files ------------------------------------------------------------------------------------------------
+
+
+def export(chunks: DataFrame, key: str, data: str = "chunk") -> DataFrame:
+    """key, content: the pieces of each file in order, end to end.  A file is one value, so it must fit one."""
+    parts = F.array_sort(F.collect_list(F.struct("idx", F.hex(F.col(data).cast("binary")).alias("bytes"))))
+    return chunks.groupBy(key).agg(F.unhex(F.array_join(F.transform(parts, lambda p: p["bytes"]), "")).alias("content"))
+
+
+def replace_range(content: Column, start: Column, stop: Column, new: Column) -> Column:
+    """The file with bytes ``start`` to ``stop`` replaced; a range outside the file raises.  A change of length moves every later chunk, so the tree is built again."""
+    size = F.octet_length(content)
+    bad = (start < 0) | (start > stop) | (stop > size)
+    out = F.concat(F.substring(content, F.lit(1), start.cast("int")), new, F.substring(content, (stop + 1).cast("int"), (size - stop).cast("int")))
+    return F.when(bad, F.raise_error(F.lit("range outside the file"))).otherwise(out)
+
+
+def insert(content: Column, at: Column, new: Column) -> Column:
+    return replace_range(content, at, at, new)
+
+
+def remove(content: Column, start: Column, stop: Column) -> Column:
+    return replace_range(content, start, stop, F.unhex(F.lit("")))
+
+
+def append(content: Column, new: Column) -> Column:
+    return insert(content, F.octet_length(content), new)
+
+
+def truncate(content: Column, size: Column) -> Column:
+    return remove(content, size, F.octet_length(content))
+
+
+def binary_chunks(df: DataFrame, key: str, content: str, size: int) -> DataFrame:
+    """key, idx, chunk: pieces of ``size`` bytes, the last may be shorter."""
+    n = F.ceil(F.octet_length(content) / F.lit(float(size))).cast("int")
+    cut = df.select(F.col(key), F.col(content).alias("__content"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("idx"))
+    return cut.select(key, F.col("idx").cast("bigint"), F.substring(F.col("__content"), F.col("idx") * size + 1, F.lit(size)).alias("chunk"))
+
+
+def chunk_frame(chunk: Column) -> Column:
+    """The bytes that a leaf signs: a fixed head, the length and the piece."""
+    return F.concat(codecs.raw(b"MFFC" + (1).to_bytes(2, "little")), codecs.frame(chunk))
+
+
+def verify_checkpoint(decoded: DataFrame, key: str, rebuilt: DataFrame) -> DataFrame:
+    """``decoded`` (key, root ...) where the root is that of the tree built again (key, root_again); another root raises."""
+    joined = decoded.join(rebuilt, key)
+    return joined.withColumn("root", F.when(F.col("root") == F.col("root_again"), F.col("root")).otherwise(F.raise_error(F.lit("root mismatch")))).drop("root_again")

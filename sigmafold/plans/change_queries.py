@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigmafold.functions.fields import FP251
-from sigmafold.operators import laws, reconcile, tables, trees
+from sigmafold.operators import deltas, laws, reconcile, tables, trees
 from sigmafold.plans.law_queries import _e, fold_sql, product_sql, table
 
 FOUND: dict = {}
@@ -19,13 +19,15 @@ def query(sql: str | None):
     return add
 
 
-_KEY_SQL = "sha256('sigmafold-row-key-v1' || '5:' || strlen(c_custkey::VARCHAR) || ':' || c_custkey::VARCHAR)"
+_SCHEMA = tables.TableSchema((("c_custkey", "i64"),), ("c_custkey",))
+_KEY_HEX = " || ".join(f"printf('%02x', (c_custkey >> {8 * i}) & 255)" for i in range(8))
+_KEY_SQL = f"sha256(unhex('{(tables.KEY_DOMAIN.encode() + bytes(1)).hex()}{_SCHEMA.id}' || '0900000000000000' || '02' || {_KEY_HEX}))"
 _PART_SQL = "(" + " + ".join(f"(('0x' || substr(k, {2 * i + 1}, 2))::BIGINT * {pow(256, i, 12)})" for i in range(8)) + ") % 12"
 
 
 @query(f"SELECT c_custkey, k AS row_key, ({_PART_SQL})::INT AS part FROM (SELECT c_custkey, {_KEY_SQL} AS k FROM customer)")
 def row_key_sha256(spark, sf):
-    rows = table(spark, sf, "customer").select("c_custkey", tables.row_key(["c_custkey"]).alias("row_key"))
+    rows = table(spark, sf, "customer").select("c_custkey", _SCHEMA.row_key().alias("row_key"))
     return rows.withColumn("part", tables.partition_of(F.col("row_key"), 12))
 
 
@@ -37,15 +39,19 @@ _F17 = "((c_custkey % 251 + 17) % 251)"
     FROM (SELECT *, {_KEY_SQL} AS k FROM customer) GROUP BY 1"""
 )
 def partition_summary(spark, sf):
-    rows = table(spark, sf, "customer").withColumn("row_key", tables.row_key(["c_custkey"]))
+    rows = table(spark, sf, "customer").withColumn("row_key", _SCHEMA.row_key())
     return tables.summary(rows, F.col("row_key"), 12, _e("c_custkey"), FP251, 17)
 
 
-@query("SELECT event_type, user_id % 50 AS item, sum(CASE WHEN event_id % 4 = 0 THEN -1 ELSE 1 END)::BIGINT AS multiplicity FROM events GROUP BY 1, 2 HAVING multiplicity > 0")
+@query(
+    """SELECT event_type, item, sum(CASE WHEN event_id % 4 = 0 AND event_id > first THEN 0 ELSE 1 END)::BIGINT AS multiplicity
+    FROM (SELECT event_type, user_id % 50 AS item, event_id, min(event_id) OVER (PARTITION BY event_type, user_id % 50) AS first FROM events) GROUP BY 1, 2 HAVING multiplicity > 0"""
+)
 def tracked_multiset_counts(spark, sf):
     rows = table(spark, sf, "events").withColumn("item", F.col("user_id") % 50)
-    counts = rows.groupBy("event_type", "item").agg(F.sum(F.when(F.col("event_id") % 4 == 0, -1).otherwise(1)).alias("multiplicity"))
-    return counts.where("multiplicity > 0")
+    gone = rows.join(rows.groupBy("event_type", "item").agg(F.min("event_id").alias("first")), ["event_type", "item"])
+    changes = rows.select("event_type", "item", F.lit(1).alias("sign")).unionByName(gone.where("event_id % 4 = 0 and event_id > first").select("event_type", "item", F.lit(-1).alias("sign")))
+    return deltas.tracked_multiset(changes, ["event_type"], "item", F.col("sign"))
 
 
 @query("SELECT user_id FROM events GROUP BY 1 HAVING count(*) % 2 = 1")
@@ -111,8 +117,12 @@ _E_SQL = f"(('0x' || substr(md5(substr(text, idx * {CHUNK} + 1, {CHUNK})), 1, 8)
 
 
 def _tree(spark, sf):
+    return _tree_of(table(spark, sf, "documents"))
+
+
+def _tree_of(documents):
     e = F.pmod(F.conv(F.substring(F.md5("chunk"), 1, 8), 16, 10).cast("bigint"), F.lit(251))
-    chunks = trees.text_chunks(table(spark, sf, "documents"), "doc_id", "text", CHUNK)
+    chunks = trees.text_chunks(documents, "doc_id", "text", CHUNK)
     return trees.build(trees.leaves(chunks, "doc_id", e), "doc_id", FP251, BASE)
 
 

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,15 +69,37 @@ def release(*tables: DataFrame) -> None:
         discard(table.sparkSession, table._scratch)
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether every row of ``df`` is a row of a file, chosen and projected at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation"
+
+
 def numbered(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """``df`` written with a number for every row, and the name of that column, which no other has.
+    """``df`` with a number for every row that each reading gives alike, and the name of that column, which no other has.
 
-    The number is drawn once: a number made anew by each scan would follow how files are split, and that
-    changes with the executors.
+    A row of a file is numbered by its file and its place there.  Other rows are written once with their
+    numbers: a number that each scan makes anew would follow how the work is split, and that changes with
+    the executors.
     """
     name, taken = "__row", {c.lower() for c in df.columns}
     while name in taken:
         name = "_" + name
+    if "_metadata" not in taken and _is_scan(df):
+        spark, file = df.sparkSession, f"{name}_file"
+        place = [F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(name)]
+        try:
+            rows = df.select("*", *place)
+            # One row for each file, of which the driver holds a listing already; no column is read.
+            files = [(f, k << 40) for k, f in enumerate(sorted(r[0] for r in df.select("_metadata.file_path").distinct().collect()))]
+            listed = spark.createDataFrame(files, f"`{file}` string, `{name}_first` bigint")
+            joined = rows.join(F.broadcast(listed), file, "left")
+            first = F.when(F.col(f"{name}_first").isNull(), F.raise_error(F.lit("a file that wasn't listed"))).otherwise(F.col(f"{name}_first"))
+            return joined.select(*[F.col(f"`{c}`") for c in df.columns], (first + F.col(name)).alias(name)), name
+        except AnalysisException:
+            pass  # a format without places of rows
     return materialise(df.withColumn(name, F.monotonically_increasing_id()), tag), name
 
 

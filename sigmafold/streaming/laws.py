@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sigmafold.functions.fields import PrimeField
 from sigmafold.operators import laws
-from sigmafold.operators.tables import check_contiguous
+from sigmafold.operators.tables import Versions, check_contiguous
 from sigmafold.runtime import materialise
 
 
@@ -32,22 +32,33 @@ def sessions(df: DataFrame, ts: str, keys: list[str], e: Column, field: PrimeFie
 
 
 class LogApplier:
-    """foreachBatch target that applies a transaction log to a table kept in versions.
+    """foreachBatch target that applies a transaction log to a table kept by revision in a folder.
 
-    Each batch is sorted out by revision; a gap to what was applied fails the batch, entries that
-    were applied before are passed over, so a batch that is delivered again changes nothing.
+    Table and revision are committed together, so a query that starts again goes on where the folder
+    is.  A gap to what was applied fails the batch, and so do two entries of one revision that differ;
+    entries that were applied before are passed over, so a batch that is delivered again changes nothing.
     """
 
-    def __init__(self, table: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame], revision: str = "revision"):
-        self.table, self.apply, self.revision, self.applied = table, apply, revision, 0
+    def __init__(self, table: DataFrame, path: str, apply: Callable[[DataFrame, DataFrame], DataFrame], revision: str = "revision"):
+        self.versions, self.apply, self.revision = Versions(table.sparkSession, path), apply, revision
+        if self.versions.revision is None:
+            self.versions.commit(0, {"table": table})
+
+    @property
+    def applied(self) -> int:
+        return self.versions.revision
+
+    @property
+    def table(self) -> DataFrame:
+        return self.versions.table("table")
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
-        new = materialise(batch.where(F.col(self.revision) > self.applied).dropDuplicates([self.revision]), "batch")
+        applied = self.applied
+        new = materialise(batch.where(F.col(self.revision) > applied).distinct(), "batch")
         low, high = new.agg(F.min(self.revision), F.max(self.revision)).first()
         if low is None:
             return
-        if low != self.applied + 1:
-            raise ValueError(f"revision {low} follows {self.applied}")
+        if low != applied + 1:
+            raise ValueError(f"revision {low} follows {applied}")
         check_contiguous(new, self.revision)
-        candidate = materialise(self.apply(self.table, new), "table")
-        self.table, self.applied = candidate, high
+        self.versions.commit(high, {"table": self.apply(self.versions.table("table", applied), new)})

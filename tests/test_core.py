@@ -239,12 +239,18 @@ def test_stream_applies_a_log_once(spark, tmp_path):
         state = table.select(F.lit(0).alias("revision"), "k", F.lit("upsert").alias("op"), "x")
         return tables.replay(state.unionByName(log), ["k"], "revision", ["x"])
 
-    applier = LogApplier(spark.createDataFrame([], "k int, x string"), apply)
+    path = str(tmp_path / "table")
+    applier = LogApplier(spark.createDataFrame([], "k int, x string"), path, apply)
     applier(spark.createDataFrame(rows[:2], schema), 0)
     applier(spark.createDataFrame(rows, schema), 1)  # the first two again
     assert sorted(map(tuple, applier.table.collect())) == [(2, "c")]
-    with pytest.raises(ValueError):
-        applier(spark.createDataFrame([(9, 1, "upsert", "z")], schema), 2)
+    again = LogApplier(spark.createDataFrame([], "k int, x string"), path, apply)  # the query starts again
+    again(spark.createDataFrame(rows[2:], schema), 2)
+    assert again.applied == 4 and sorted(map(tuple, again.table.collect())) == [(2, "c")]
+    for bad in ([(9, 1, "upsert", "z")], [(5, 1, "upsert", "z"), (5, 1, "upsert", "y")]):
+        with pytest.raises(ValueError):
+            again(spark.createDataFrame(bad, schema), 3)
+    assert again.applied == 4
 
 
 def test_entry_runs(spark, sf):
