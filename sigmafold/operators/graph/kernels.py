@@ -324,3 +324,85 @@ def matrix_profile(vertices: DataFrame, arcs: DataFrame, lengths: list[int], poi
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, traces, evals, thetas), kinds)], names=["graph_id", "traces", "evals", "theta"])
 
     return _tables(vertices, arcs).mapInArrow(run, "graph_id string, traces array<bigint>, evals array<bigint>, theta bigint")
+
+
+# --- pairs, decoding, adapters ---------------------------------------------------------------------------
+
+
+def pair_refinement(g: Graph, rounds: int = 3, most_work: int = 50_000_000) -> tuple[str, list[tuple[int, int]]]:
+    """(status, histogram of pair colors): pairs of the vertices that refinement leaves ambiguous and of their neighbours, refined together.
+
+    A pair's color is that of its ends and the arcs between them; a round adds the sorted colors of the
+    two steps by every third vertex.  Over the budget the status is skipped_budget, with no histogram.
+    """
+    if not 1 <= rounds <= 8:
+        raise ValueError("rounds are 1 to 8")
+    base = g.start()
+    size = Counter(base)
+    active = {v for v in range(len(g)) if size[base[v]] > 1}
+    active |= {w for v in list(active) for w, _ in g.out[v] + g.into[v]}
+    order = sorted(active)
+    if len(order) ** 3 * rounds > most_work:
+        return "skipped_budget", []
+    keys = {(a, b): (a == b, base[a], base[b], g.arcs.get((a, b), ()), g.arcs.get((b, a), ())) for a in order for b in order}
+
+    def ranked(keys):
+        rank = {k: i for i, k in enumerate(sorted(set(keys.values())))}
+        return {p: rank[k] for p, k in keys.items()}
+
+    colors = ranked(keys)
+    for _ in range(rounds):
+        colors = ranked({(a, b): (c, tuple(sorted((colors[a, m], colors[m, b]) for m in order))) for (a, b), c in colors.items()})
+    return "complete", sorted(Counter(colors.values()).items())
+
+
+def decode_form(data: bytes) -> Graph:
+    """The graph of canonical bytes; bytes that no graph has, or that aren't written as ``Graph.form`` does, raise."""
+    import ast
+
+    try:
+        n, labels, arcs = ast.literal_eval(data.decode())
+        flat = [(i, j, relation, role, mult) for i, j, bundle in arcs for relation, role, mult in bundle]
+        g = Graph(dict(enumerate(labels)), flat)
+        good = len(labels) == n and all(0 <= i < n and 0 <= j < n and m > 0 for i, j, _, _, m in flat)
+    except (ValueError, SyntaxError, TypeError, UnicodeDecodeError, KeyError) as e:
+        raise ValueError("not a canonical form") from e
+    if not good or g.form(list(range(n))) != data:
+        raise ValueError("not a canonical form")
+    return g
+
+
+def canonicalize_exact(vertices: DataFrame, arcs: DataFrame, budget: int = 20_000) -> DataFrame:
+    """graph_id, path (refinement, search, budget_exhausted), cells, ambiguous, form (SHA-256, null without one)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                g = _graph(row)
+                size = Counter(g.start())
+                found = g.canonical(budget)
+                path = "budget_exhausted" if not found else "refinement" if len(size) == len(g) else "search"
+                out.append((row["graph_id"], path, len(size), sum(n for n in size.values() if n > 1), hashlib.sha256(found[0]).hexdigest() if found else None))
+            columns = list(zip(*out)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["graph_id", "path", "cells", "ambiguous", "form"])
+
+    return _tables(vertices, arcs).mapInArrow(run, "graph_id string, path string, cells bigint, ambiguous bigint, form string")
+
+
+def dag_after_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """graph_id, change (added, removed, unchanged, changed) of the forms (graph_id, form) before and after a delta."""
+    joined = before.select("graph_id", F.col("form").alias("x")).join(after.select("graph_id", F.col("form").alias("y")), "graph_id", "full_outer")
+    change = F.when(F.col("x").isNull(), "added").when(F.col("y").isNull(), "removed").when(F.col("x") == F.col("y"), "unchanged").otherwise("changed")
+    return joined.select("graph_id", change.alias("change"))
+
+
+def load_snapshot(stored: DataFrame, vertices: DataFrame, arcs: DataFrame, budget: int = 20_000) -> DataFrame:
+    """``stored`` (graph_id, form) with every form made again from its graph; a node that doesn't agree raises."""
+    again = canonical_forms(vertices, arcs, budget).select("graph_id", F.col("form").alias("again"))
+    joined = stored.join(again, "graph_id", "left")
+    same = F.when(F.col("form").eqNullSafe(F.col("again")), F.col("form")).otherwise(F.raise_error(F.lit("a stored form is not its graph's")))
+    return joined.withColumn("form", same).drop("again")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sigmafold.functions.fields import FP251, PrimeField
 from sigmafold.operators import laws
 from sigmafold.operators.components import connected_components
-from sigmafold.runtime import materialise
+from sigmafold.runtime import materialise, release
 
 ENTITY, HYPEREDGE = 1, 2
 ARC = ["graph_id", "src", "dst", "relation", "role"]
@@ -199,11 +199,12 @@ def walk_traces(arcs: DataFrame, most: int, modulus: int) -> DataFrame:
 # --- partitions and labels --------------------------------------------------------------------------------
 
 
-def stable_partition(vertices: DataFrame, arcs: DataFrame, most_rounds: int = 64) -> DataFrame:
+def stable_partition(vertices: DataFrame, arcs: DataFrame, most_rounds: int = 100_000) -> DataFrame:
     """graph_id, v, color, cell_size: the coarsest stable partition (1-WL), colors comparable across graphs.
 
     A color is the hash of the own color and the sorted neighbour colors with relation, role and
-    multiplicity, outward and inward; rounds stop when no graph's number of cells grows.
+    multiplicity, outward and inward; rounds stop when no graph's number of cells grows.  A long path
+    takes about half as many rounds as it has vertices; more than ``most_rounds`` raise.
     """
     out_in = materialise(arcs.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("w"), F.concat_ws("|", F.lit(">"), "relation", "role", "mult").alias("how")).unionByName(
         arcs.select("graph_id", F.col("dst").alias("v"), F.col("src").alias("w"), F.concat_ws("|", F.lit("<"), "relation", "role", "mult").alias("how"))), "incidence")
@@ -219,8 +220,12 @@ def stable_partition(vertices: DataFrame, arcs: DataFrame, most_rounds: int = 64
         nxt = materialise(nxt, "colors")
         n = nxt.select("graph_id", "color").distinct().count()
         if n == cells:
+            release(nxt)
             break
+        release(colors)
         colors, cells = nxt, n
+    else:
+        raise RuntimeError(f"not stable after {most_rounds} rounds")
     sizes = colors.groupBy("graph_id", "color").agg(F.count(F.lit(1)).alias("cell_size"))
     return colors.join(sizes, ["graph_id", "color"]).select("graph_id", "v", "color", "cell_size")
 
@@ -234,17 +239,9 @@ def cell_moments(values: DataFrame, cell: list[str], x: Column, degree: int, fie
     return values.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *powers)
 
 
-def label_rounds(vertices: DataFrame, arcs: DataFrame, rounds: int = 6, lanes: int = 3, field: PrimeField = FP251) -> DataFrame:
-    """graph_id, v, labels: field labels of every vertex after ``rounds`` rounds, one per lane.
-
-    A round maps a label L to ((((L u + Out) u + z_out) u + In) u + z_in) u + t, where Out and In are the
-    products over neighbours of (label n + relation + offset) to the multiplicity, zero factors counted
-    apart.  Products are sums of logarithms, so a hub is aggregated in parts.
-    """
+def _label_parameters(lanes: int, p: int) -> dict[str, list[int]]:
     import hashlib
 
-    p = field.p
-
     def parameter(purpose: str, lane: int, banned: tuple[int, ...]) -> int:
         for attempt in range(2048):
             value = int.from_bytes(hashlib.sha256(f"label-parameter|{purpose}|{lane}|{attempt}".encode()).digest()[:8], "little") % p
@@ -252,37 +249,117 @@ def label_rounds(vertices: DataFrame, arcs: DataFrame, rounds: int = 6, lanes: i
                 return value
         raise ValueError("no parameter found")
 
-    salt = [parameter("salt", k, ()) for k in range(lanes)]
-    mult = [parameter("neighbour", k, (0,)) for k in range(lanes)]
-    offset = [parameter("offset", k, ()) for k in range(lanes)]
-    update = [parameter("update", k, (0, 1)) for k in range(lanes)]
+    banned = {"salt": (), "neighbour": (0,), "offset": (), "update": (0, 1)}
+    return {purpose: [parameter(purpose, k, out) for k in range(lanes)] for purpose, out in banned.items()}
+
+
+def _label_incidence(arcs: DataFrame, p: int) -> DataFrame:
+    """graph_id, v, w, side, token, mult: every arc seen from both ends."""
     token = F.pmod(F.crc32(F.concat_ws("|", "relation", "role")), F.lit(p))
-    both = arcs.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("w"), F.lit(0).alias("side"), token.alias("token"), "mult").unionByName(
+    return arcs.select("graph_id", F.col("src").alias("v"), F.col("dst").alias("w"), F.lit(0).alias("side"), token.alias("token"), "mult").unionByName(
         arcs.select("graph_id", F.col("dst").alias("v"), F.col("src").alias("w"), F.lit(1).alias("side"), token.alias("token"), "mult")
     )
-    both = materialise(both, "incidence")
+
+
+def _first_labels(vertices: DataFrame, both: DataFrame, parameters: dict, p: int) -> DataFrame:
     weight = both.groupBy("graph_id", "v").agg(F.sum(F.when(F.col("side") == 0, F.col("mult"))).alias("om"), F.sum(F.when(F.col("side") == 1, F.col("mult"))).alias("im"))
     start = vertices.join(weight, ["graph_id", "v"], "left").na.fill(0, ["om", "im"])
     seed = F.crc32(F.concat_ws("|", F.col("kind").cast("string"), F.coalesce("label", F.lit("")), F.col("om").cast("string"), F.col("im").cast("string")))
-    labels = materialise(start.select("graph_id", "v", *[F.pmod(seed + F.lit(s), F.lit(p)).alias(f"l{k}") for k, s in enumerate(salt)]), "labels")
+    return start.select("graph_id", "v", *[F.pmod(seed + F.lit(x), F.lit(p)).alias(f"l{k}") for k, x in enumerate(parameters["salt"])])
+
+
+def _next_labels(labels: DataFrame, mine: DataFrame, both: DataFrame, r: int, parameters: dict, field: PrimeField) -> DataFrame:
+    """Labels of the vertices of ``mine`` after round ``r``, from those of all vertices before it; ``both`` holds the arcs of ``mine`` at least."""
+    p, lanes = field.p, len(parameters["salt"])
+    seen = both.join(labels.withColumnRenamed("v", "w"), ["graph_id", "w"])
+    aggregates = []
+    for k in range(lanes):
+        f = F.pmod(F.col(f"l{k}") * F.lit(parameters["neighbour"][k]) + F.col("token") + F.lit(parameters["offset"][k]) + F.col("side") * F.lit(parameters["salt"][k]), F.lit(p))
+        for side in (0, 1):
+            m = F.when(F.col("side") == side, F.col("mult")).otherwise(F.lit(0))
+            aggregates += [laws.multiset_product(field, f, m).alias(f"p{k}{side}"), laws.multiset_zeros(f, m).alias(f"z{k}{side}")]
+    joined = mine.join(seen.groupBy("graph_id", "v").agg(*aggregates), ["graph_id", "v"], "left")
+    out = []
+    for k in range(lanes):
+        x, u = F.col(f"l{k}"), F.lit(parameters["update"][k])
+        for side in (0, 1):
+            for term in (F.coalesce(F.col(f"p{k}{side}"), F.lit(1)), F.coalesce(F.col(f"z{k}{side}"), F.lit(0)) * F.lit(7 + side)):
+                x = F.pmod(x * u + term, F.lit(p))
+        out.append(F.pmod(x * u + F.lit(r), F.lit(p)).alias(f"l{k}"))
+    return joined.select("graph_id", "v", *out)
+
+
+def label_layers(vertices: DataFrame, arcs: DataFrame, rounds: int = 6, lanes: int = 3, field: PrimeField = FP251, stop: int | None = None) -> DataFrame:
+    """graph_id, v, round, labels: field labels of every vertex at each round from 0, one per lane.
+
+    A round maps a label L to ((((L u + Out) u + z_out) u + In) u + z_in) u + t, where Out and In are the
+    products over neighbours of (label n + relation + offset) to the multiplicity, zero factors counted
+    apart.  Products are sums of logarithms, so a hub is aggregated in parts.  With ``stop`` the rounds
+    end behind that one as soon as a round splits no cell.
+    """
+    parameters = _label_parameters(lanes, field.p)
+    both = materialise(_label_incidence(arcs, field.p), "incidence")
+    names = [f"l{k}" for k in range(lanes)]
+    layers = [materialise(_first_labels(vertices, both, parameters, field.p), "labels")]
+    cells = layers[0].distinct().select("graph_id", *names).distinct().count() if stop is not None else 0
+    for r in range(1, rounds + 1):
+        layers.append(materialise(_next_labels(layers[-1], layers[-1], both, r, parameters, field), "labels"))
+        if stop is not None:
+            n = layers[-1].select("graph_id", *names).distinct().count()
+            if r >= stop and n == cells:
+                break
+            cells = n
+    release(both)
+    out = None
+    for r, layer in enumerate(layers):
+        one = layer.select("graph_id", "v", F.lit(r).alias("round"), F.array(*names).alias("labels"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def label_rounds(vertices: DataFrame, arcs: DataFrame, rounds: int = 6, lanes: int = 3, field: PrimeField = FP251) -> DataFrame:
+    """graph_id, v, labels: the last of ``label_layers``."""
+    return label_layers(vertices, arcs, rounds, lanes, field).where(F.col("round") == rounds).drop("round")
+
+
+def update_layers(layers: DataFrame, vertices: DataFrame, before: DataFrame, after: DataFrame, rounds: int = 6, lanes: int = 3, field: PrimeField = FP251) -> tuple[DataFrame, DataFrame]:
+    """``label_layers`` of the graph ``after``, from those of ``before``; and (round, touched): labels computed again.
+
+    A round computes the ends of changed arcs and the neighbours of labels that the round before changed;
+    all others keep their labels.
+    """
+    parameters, names = _label_parameters(lanes, field.p), [f"l{k}" for k in range(lanes)]
+    full = [*ARC, "mult"]
+    moved = before.select(*full).exceptAll(after.select(*full)).unionByName(after.select(*full).exceptAll(before.select(*full)))
+    ends = materialise(moved.select("graph_id", F.explode(F.array("src", "dst")).alias("v")).distinct(), "ends")
+    both = materialise(_label_incidence(after, field.p), "incidence")
+
+    def old(r: int) -> DataFrame:
+        return layers.where(F.col("round") == r).select("graph_id", "v", *[F.col("labels")[k].alias(n) for k, n in enumerate(names)])
+
+    def merged(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+        return materialise(kept.join(fresh.select("graph_id", "v"), ["graph_id", "v"], "left_anti").unionByName(fresh), "labels")
+
+    def differing(kept: DataFrame, fresh: DataFrame) -> DataFrame:
+        return materialise(fresh.exceptAll(kept).select("graph_id", "v"), "changed")
+
+    here = both.join(ends, ["graph_id", "v"], "left_semi")
+    fresh = materialise(_first_labels(vertices.join(ends, ["graph_id", "v"], "left_semi"), here, parameters, field.p), "fresh")
+    new, touched = [merged(old(0), fresh)], [(0, fresh.count())]
+    changed = differing(old(0), fresh)
     for r in range(1, rounds + 1):
-        seen = both.join(labels.withColumnRenamed("v", "w"), ["graph_id", "w"])
-        aggregates = []
-        for k in range(lanes):
-            f = F.pmod(F.col(f"l{k}") * F.lit(mult[k]) + F.col("token") + F.lit(offset[k]) + F.col("side") * F.lit(salt[k]), F.lit(p))
-            for side in (0, 1):
-                m = F.when(F.col("side") == side, F.col("mult")).otherwise(F.lit(0))
-                aggregates += [laws.multiset_product(field, f, m).alias(f"p{k}{side}"), laws.multiset_zeros(f, m).alias(f"z{k}{side}")]
-        joined = labels.join(seen.groupBy("graph_id", "v").agg(*aggregates), ["graph_id", "v"], "left")
-        out = []
-        for k in range(lanes):
-            x = F.col(f"l{k}")
-            for side in (0, 1):
-                for term in (F.coalesce(F.col(f"p{k}{side}"), F.lit(1)), F.coalesce(F.col(f"z{k}{side}"), F.lit(0)) * F.lit(7 + side)):
-                    x = F.pmod(x * F.lit(update[k]) + term, F.lit(p))
-            out.append(F.pmod(x * F.lit(update[k]) + F.lit(r), F.lit(p)).alias(f"l{k}"))
-        labels = materialise(joined.select("graph_id", "v", *out), "labels")
-    return labels.select("graph_id", "v", F.array(*[f"l{k}" for k in range(lanes)]).alias("labels"))
+        near = both.join(changed.select("graph_id", F.col("v").alias("w")), ["graph_id", "w"], "left_semi").select("graph_id", "v")
+        todo = materialise(near.unionByName(changed).unionByName(ends).distinct(), "todo")
+        mine, arcs_of_todo = (x.join(todo, ["graph_id", "v"], "left_semi") for x in (new[-1], both))
+        fresh = materialise(_next_labels(new[-1], mine, arcs_of_todo, r, parameters, field), "fresh")
+        touched.append((r, fresh.count()))
+        changed = differing(old(r), fresh)
+        new.append(merged(old(r), fresh))
+    out = None
+    for r, layer in enumerate(new):
+        one = layer.select("graph_id", "v", F.lit(r).alias("round"), F.array(*names).alias("labels"))
+        out = one if out is None else out.unionByName(one)
+    return out, layers.sparkSession.createDataFrame(touched, "round int, touched bigint")
 
 
 def graph_signature(labels: DataFrame, offsets: list[int], field: PrimeField = FP251) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +21,31 @@ def parse_graph6(line: str) -> tuple[int, list[tuple[int, int]]]:
     if not data or any(not 0 <= x < 64 for x in data):
         raise ValueError("not a graph6 line")
     n, rest = (data[0], data[1:]) if data[0] < 63 else (data[1] << 12 | data[2] << 6 | data[3], data[4:])
-    bits = (x >> (5 - k) & 1 for x in rest for k in range(6))
-    pairs = [(i, j) for j in range(1, n) for i in range(j)]
-    if len(rest) != -(-len(pairs) // 6):
+    size = n * (n - 1) // 2
+    if len(rest) != -(-size // 6):
         raise ValueError("a graph6 line has the wrong length")
-    return n, [p for p, b in zip(pairs, bits) if b]
+    out = []
+    for at, x in enumerate(rest):
+        for k in range(6):
+            if x >> (5 - k) & 1:
+                place = 6 * at + k
+                if place >= size:
+                    raise ValueError("a graph6 line has bits behind its last pair")
+                # Column j holds the pairs (0, j) to (j - 1, j), from place j (j - 1) / 2 on.
+                j = (1 + math.isqrt(1 + 8 * place)) // 2
+                out.append((place - j * (j - 1) // 2, j))
+    return n, out
 
 
 def write_graph6(n: int, edges: set[tuple[int, int]]) -> str:
-    """The graph6 line of a graph of fewer than 63 vertices."""
-    bits = [int((i, j) in edges or (j, i) in edges) for j in range(1, n) for i in range(j)]
-    bits += [0] * (-len(bits) % 6)
-    return chr(n + 63) + "".join(chr(63 + int("".join(map(str, bits[k : k + 6])), 2)) for k in range(0, len(bits), 6))
+    """The graph6 line of a graph of up to 258,047 vertices."""
+    data = [0] * -(-(n * (n - 1) // 2) // 6)
+    for a, b in edges:
+        i, j = min(a, b), max(a, b)
+        place = j * (j - 1) // 2 + i
+        data[place // 6] |= 1 << (5 - place % 6)
+    head = [n] if n < 63 else [63, n >> 12, n >> 6 & 63, n & 63]
+    return "".join(chr(63 + x) for x in head + data)
 
 
 def parse_smiles(text: str) -> tuple[list[str], list[tuple[int, int, int]]] | None:
