@@ -18,9 +18,14 @@ _HASHES = 2
 _HALF = 31
 LANES = 2 * _HALF * _HASHES
 _MODULUS = 1 << 16
-#: Neighbours are found in ranges of about so many rows, in at most so many ranges.
+#: Neighbours are found in ranges of about so many rows and so many bytes of text.
 RANGE_ROWS = 512
-MOST_RANGES = 8192
+RANGE_BYTES = 1 << 22
+#: Quantiles of doc_id, at most; beyond them a range is cut evenly.
+QUANTILES = 8192
+#: The first rows of ranges are broadcast up to so many (some 30 bytes each), and joined beyond.
+BROADCAST_RANGES = 100_000
+_CUT_BITS = 24
 
 
 def _hashes(paragraph: Column) -> list[Column]:
@@ -79,51 +84,76 @@ def fingerprint(docs: DataFrame, key: str, text: str) -> DataFrame:
     return sums.withColumn("fingerprint", render(F.col("n_paragraphs"), F.col("lanes")))
 
 
-def _range_of(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most ``key``: a binary search."""
-    if not bounds:
-        return F.lit(0)
-    table = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+def _quantile_of(key: Column, table: Column, n: int) -> Column:
+    """How many of the ``n`` sorted values of an array are at most ``key``: a binary search."""
     step, steps = 1, []
-    while step <= len(bounds):
+    while step <= n:
         steps.append(step)
         step *= 2
     jumps = F.array(*[F.lit(s) for s in reversed(steps)])
-    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= len(bounds)) & (F.try_element_at(table, at + jump) <= key), at + jump).otherwise(at))
+    return F.aggregate(jumps, F.lit(0), lambda at, jump: F.when((at + jump <= n) & (F.try_element_at(table, at + jump) <= key), at + jump).otherwise(at))
+
+
+def _range_of(key: Column, tie: Column, found: list[int], cuts: int) -> Column:
+    """The range of a row, ascending with key, then descending with tie.
+
+    ``found`` are quantiles of the key, with repeats.  Between two of them a range is cut into ``cuts``
+    even parts; a key that several quantiles share is cut by its tie into as many parts as it fills.
+    """
+    if not found:
+        return F.lit(0).cast("bigint")
+    bounds = sorted(set(found))
+    heavy = {b: found.count(b) * cuts for b in bounds if found.count(b) > 1}
+    table = F.array(*[F.lit(b).cast("bigint") for b in bounds])
+    at = _quantile_of(key, table, len(bounds))
+    low, high = F.try_element_at(table, at), F.try_element_at(table, at + 1)
+    share = (tie.cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    # Doubles don't overflow, and rounding keeps the order; a key that they hold exactly is spread by its tie.
+    spread = F.when(F.abs(key.cast("double")) < F.lit(2.0**50), F.greatest(F.lit(0.0), F.lit(1.0) - share)).otherwise(F.lit(0.0))
+    even = F.floor((key.cast("double") - low.cast("double") + spread) / (high.cast("double") - low.cast("double")) * F.lit(float(cuts)))
+    even = F.least(F.lit(cuts - 1), F.greatest(F.lit(0), F.coalesce(even, F.lit(0))))
+    out = at.cast("bigint") * F.lit(1 << (_CUT_BITS + 1)) + (F.lit(1 << _CUT_BITS) + even).cast("bigint")
+    if heavy:
+        parts = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for b, n in heavy.items() for x in (b, min(n, (1 << _CUT_BITS) - 1))]), key)
+        by_tie = parts - 1 - F.least(parts - 1, F.floor(share * parts))
+        # A heavy key is the lowest of its quantile: its parts lie below the others.
+        out = F.when(parts.isNotNull(), at.cast("bigint") * F.lit(1 << (_CUT_BITS + 1)) + by_tie).otherwise(out)
+    return out
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text and next's row itself, within ranges of doc_id: see ``edits``.
+    """Rows in ranges of doc_id, each range ended by a copy of the next one's first row: see ``edits``.
 
-    Columns: range, last (1 for the copy of the next range's first row that ends a range), doc_id,
-    key, text, row.  Rows are in descending doc_id, nulls last, then by text.
+    Columns: range, last (1 for such a copy), doc_id, key, tie, text.  Rows are in descending doc_id,
+    nulls last, then by a hash of their text, then by text; ranges follow each other downwards.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    rows = docs.select(F.col("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
-    bounds = []
+    rows = docs.select(F.col("doc_id"), key.alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    n, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
+    ranges = max(1, -(-n // RANGE_ROWS), -(-size // RANGE_BYTES))
+    quantiles, found = min(ranges, QUANTILES), []
     if ranges > 1:
-        found = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 8 * ranges)).first()[0]
-        bounds = sorted(set(found))
-    rows = rows.withColumn("range", _range_of(F.col("key"), bounds))
-    tops = rows.groupBy("range").agg(F.max("key").alias("key"))
-    heads = rows.join(F.broadcast(tops), ["range", "key"]).groupBy("range", "key").agg(F.min("text").alias("text"))
+        found = list(rows.agg(F.percentile_approx("key", [i / quantiles for i in range(quantiles + 1)], 8 * quantiles)).first()[0])
+    rows = rows.withColumn("range", _range_of(F.col("key"), F.col("tie"), found, -(-ranges // quantiles)))
+    first = F.struct("key", F.bitwise_not("tie").alias("not_tie"))
+    tops = rows.groupBy("range").agg(F.max(first).alias("top")).select("range", "top.key", F.bitwise_not("top.not_tie").alias("tie"))
     # The first row of a range follows the last of the range above; the topmost follows the lowest.
-    order = Window.orderBy("range")
-    shifted = heads.select(F.lead("range").over(order).alias("above"), F.min("range").over(Window.partitionBy(F.lit(1))).alias("lowest"), "key", "text")
-    ends = shifted.select(F.coalesce("above", "lowest").alias("range"), F.lit(1).alias("last"), F.lit(None).cast("bigint").alias("doc_id"), "key", "text")
-    return rows.select("range", F.lit(0).alias("last"), "doc_id", "key", "text").unionByName(ends)
+    above = tops.select("range", F.lead("range").over(Window.orderBy("range")).alias("above"), F.min("range").over(Window.partitionBy(F.lit(1))).alias("lowest"))
+    ends = tops.join(above, "range").select("range", "key", "tie", F.coalesce("above", "lowest").alias("before"))
+    ends = F.broadcast(ends) if ranges <= BROADCAST_RANGES else ends
+    heads = rows.join(ends, ["range", "key", "tie"]).groupBy("before", "key", "tie").agg(F.min("text").alias("text"))
+    heads = heads.select(F.col("before").alias("range"), F.lit(1).alias("last"), F.lit(None).cast("bigint").alias("doc_id"), "key", "tie", "text")
+    return rows.select("range", F.lit(0).alias("last"), F.col("doc_id").cast("bigint").alias("doc_id"), "key", "tie", "text").unionByName(heads)
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Texts move once, to their range of doc_id; neighbours, sums and comparisons then stay there.
-    A null text counts as empty, a text of one row follows itself, repeated rows follow each other,
-    rows without doc_id come last.  An empty table gives an empty result; extra columns are ignored.
+    A null text counts as empty, a text of one row follows itself, rows that repeat a doc_id follow each
+    other by a hash of their text and may lie in several ranges, rows without doc_id come last.  An empty table gives an empty result; extra columns are ignored.
     """
-    line = Window.partitionBy("range").orderBy("last", F.col("key").desc(), "text")
+    line = Window.partitionBy("range").orderBy("last", F.col("key").desc(), "tie", "text")
     rows = with_next(docs).select("range", "last", "doc_id", F.row_number().over(line).alias("row"), "text", F.lead("text").over(line).alias("next_text"))
     n, half = F.length("text"), F.expr("length(text) div 2")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))

@@ -14,23 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmafold.llm.html_blocks import PATH_BUCKETS, WORD_BUCKETS, blocks, bucket
+from sigmafold.llm.token_ids import slices
 
 HIDDEN_UNITS = 16
 FEATURES = PATH_BUCKETS + WORD_BUCKETS + 6
 TRAINING_PAGES, EPOCHS, BATCH, RATE = 1200, 5, 48, 0.01
 SEED = 11
-#: Blocks that are labelled together: pages in a batch times the longest of them.
+#: Blocks that are labelled together: pages in a batch times the longest of them.  A page of more blocks goes through the network in parts.
 BATCH_BLOCKS = 8192
+#: Bytes of pages that are taken together.
+GROUP_BYTES = 1 << 22
 
 
 # --- blocks as vectors ---------------------------------------------------------------------------
 
 
-def vectors(page: list[tuple[tuple[str, ...], str, int]]):
-    """One row of features per block."""
-    out = np.zeros((len(page), FEATURES), np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        row = out[i]
+def vectors(page: list[tuple[tuple[str, ...], str, int]], start: int = 0, stop: int | None = None):
+    """One row of features per block, for the blocks ``start`` to ``stop`` of the page."""
+    stop = len(page) if stop is None else min(stop, len(page))
+    out = np.zeros((stop - start, FEATURES), np.float32)
+    for i in range(start, stop):
+        path, text, linked = page[i]
+        row = out[i - start]
         for token in path:
             row[bucket(token, PATH_BUCKETS)] = 1.0
         words = text.lower().split()
@@ -40,6 +45,11 @@ def vectors(page: list[tuple[tuple[str, ...], str, int]]):
     return out
 
 
+def _rows(page, start: int = 0, stop: int | None = None):
+    """Vectors of a page's blocks, which may be made already."""
+    return page[start:stop] if isinstance(page, np.ndarray) else vectors(page, start, stop)
+
+
 # --- the network ---------------------------------------------------------------------------------
 
 
@@ -47,11 +57,10 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _run(x, mask, w, u, b, trace=None):
-    """Hidden states (time, page, unit) of one direction; where mask is 0 the state stays."""
+def _run(x, mask, w, u, b, trace=None, state=None):
+    """Hidden states (time, page, unit) of one direction; where mask is 0 the state stays.  ``state`` holds the cells before, and then after."""
     steps, pages, _ = x.shape
-    h = np.zeros((pages, HIDDEN_UNITS), np.float32)
-    c = np.zeros_like(h)
+    h, c = state if state else (np.zeros((pages, HIDDEN_UNITS), np.float32) for _ in range(2))
     out = np.zeros((steps, pages, HIDDEN_UNITS), np.float32)
     given = x @ w + b
     n = HIDDEN_UNITS
@@ -65,6 +74,8 @@ def _run(x, mask, w, u, b, trace=None):
             trace.append((h, c, i, f, o, g, squashed, m))
         h, c = m * (o * squashed) + (1 - m) * h, m * new_c + (1 - m) * c
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out
 
 
@@ -119,20 +130,37 @@ class BlockLabeller:
         return [*first, *second, flat.T @ d.reshape(-1, 1), d.sum(keepdims=True)[0]]
 
     def label(self, pages: list) -> list:
-        """For each page (a matrix of block vectors), which blocks are main text."""
+        """For each page (a list of blocks, see ``vectors``), which of them are main text."""
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         out, at = [None] * len(pages), 0
         while at < len(order):
+            if len(pages[order[at]]) > BATCH_BLOCKS:
+                out[order[at]] = self._label_long(pages[order[at]])
+                at += 1
+                continue
             to = at + 1
             while to < len(order) and len(pages[order[to]]) * (to - at + 1) <= BATCH_BLOCKS:
                 to += 1
-            x, mask = _padded([pages[k] for k in order[at:to]])
+            x, mask = _padded([_rows(pages[k]) for k in order[at:to]])
             z, _ = self.logits(x, mask)
             for j, k in enumerate(order[at:to]):
                 out[k] = z[: len(pages[k]), j] > 0
             at = to
         return out
 
+    def _label_long(self, page: list):
+        """The same for one page in parts: each direction carries its cells on, so every block still sees the whole page."""
+        n, parts = HIDDEN_UNITS, list(range(0, len(page), BATCH_BLOCKS))
+        z = np.full(len(page), self.weights[7][0], np.float32)
+        for side in (0, 1):
+            state = []
+            for at in reversed(parts) if side else parts:
+                x = _rows(page, at, at + BATCH_BLOCKS)[:, None]
+                x = x[::-1] if side else x
+                h = _run(x, np.ones((len(x), 1), np.float32), *self.weights[3 * side : 3 * side + 3], state=state)[:, 0]
+                z[at : at + len(x)] += (h[::-1] if side else h) @ self.weights[6][n * side : n * (side + 1), 0]
+        return z > 0
+
 
 def _padded(pages: list):
     longest = max(map(len, pages))
@@ -314,7 +342,7 @@ def train(pages: int = TRAINING_PAGES, seed: int = SEED) -> BlockLabeller:
 def extract(pages: list[str | None], model: BlockLabeller) -> list[str]:
     """Main texts: the blocks labelled so, in page order, joined by line breaks."""
     found = [blocks(p or "") for p in pages]
-    labels = iter(model.label([vectors(b) for b in found if b]))
+    labels = iter(model.label([b for b in found if b]))
     return ["\n".join(text for (_, text, _), main in zip(b, next(labels)) if main) if b else "" for b in found]
 
 
@@ -328,12 +356,10 @@ def extract_text(pages: DataFrame, model: BlockLabeller, group: int = 256) -> Da
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, group):
-                part = batch.slice(at, group)
-                texts = extract(part.column(2).to_pylist(), model)
-                columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
+        for part in slices(batches, 2, group, GROUP_BYTES):
+            texts = extract(part.column(2).to_pylist(), model)
+            columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url"), F.col("html"))
     return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")

@@ -12,6 +12,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigmafold.llm.token_ids import slices
+
 #: Families of languages by ISO 639-1 code.  A language not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is"),
@@ -258,12 +260,10 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[Column] = (), nam
     def judge(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            # A few rows at a time: the copies that normalising makes stay small.
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                langs, score = model.predict(letters(part.column(part.num_columns - 1)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=[*names_kept, *names])
+        # A few rows at a time: the copies that normalising makes stay small.
+        for part in slices(batches, len(names_kept), ROWS):
+            langs, score = model.predict(letters(part.column(part.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(score)], names=[*names_kept, *names])
 
     return kept.mapInArrow(judge, _schema_with(columns, f"{names[0]} string, {names[1]} double"))
 

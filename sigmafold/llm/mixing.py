@@ -106,12 +106,13 @@ def _draw(*parts: Column | str) -> Column:
 def place(costs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
     """One row per copy that the mixture uses: the columns of ``costs`` and pass_no, weight, block, slot.
 
-    ``costs`` has doc_id, src, cost (1 or more) and uid, a key of its rows.  The running totals of a
+    ``costs`` has doc_id, src, cost (1 or more), tie (text that tells rows of one doc_id apart) and uid,
+    a key of its rows.  The running totals of a
     source are taken over about sqrt(rows) parts and then inside each, so no task sees all of a hot source.
     """
     sources = weigh(costs, target)
     copies = costs.join(sources, "src").withColumn("pass_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("passes"))))
-    copies = copies.withColumn("draw", _draw(F.lit(str(seed)), "pass_no", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    copies = copies.withColumn("draw", _draw(F.lit(str(seed)), "pass_no", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tie"))
     parts = F.ceil(F.sqrt(F.col("n_rows").cast("double")))
     copies = copies.withColumn("part", F.floor(F.col("draw") / F.lit(float(1 << 48)) * parts))
     keys = ["src", "pass_no", "part"]
@@ -124,13 +125,17 @@ def place(costs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS, se
     blocks = F.greatest(F.lit(1.0), F.ceil(F.col("budget") / F.lit(float(block_tokens))))
     at = (F.col("pass_no") * F.col("tokens") + F.col("ahead")).cast("double") / F.col("quota").cast("double")
     placed = placed.withColumn("block", F.floor(at * blocks))
-    order = Window.partitionBy("block").orderBy(_draw(F.lit(str(seed)), F.lit("slot"), "pass_no", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), "pass_no", "doc_id", "uid")
+    order = Window.partitionBy("block").orderBy(_draw(F.lit(str(seed)), F.lit("slot"), "pass_no", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "tie"), "pass_no", "doc_id", "uid")
     return placed.withColumn("slot", (F.row_number().over(order) - 1).cast("bigint")).select(*costs.columns, "pass_no", "weight", "block", "slot")
 
 
 def costed(docs: DataFrame, uid: Column) -> DataFrame:
-    """doc_id, source, src, cost, uid of every row; a null source counts as the source without a name."""
-    return docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("src"), word_cost(F.col("text")).alias("cost"), uid.alias("uid"))
+    """doc_id, source, src, cost, tie, uid of every row; a null source counts as the source without a name.
+
+    The tie is a digest of the text, so that rows without a doc_id, or of the same, are dealt apart.
+    """
+    tie = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    return docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("src"), word_cost(F.col("text")).alias("cost"), tie.alias("tie"), uid.alias("uid"))
 
 
 def mix(docs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
@@ -169,7 +174,7 @@ def _sql_draw(*parts: str) -> str:
 ORACLE = f"""
 WITH costs AS (
   SELECT doc_id, source, coalesce(source, '') AS src,
-         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) + 1 AS cost FROM documents),
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) + 1 AS cost, coalesce(md5(text), '') AS tie FROM documents),
 sums AS (SELECT src, sum(cost)::BIGINT AS tokens, count(*) AS n_rows FROM costs GROUP BY src),
 spread AS (SELECT ln(max(tokens) / min(tokens)) AS ratio, sum(tokens) AS total FROM sums),
 fit AS (SELECT CASE WHEN ratio <= ln({MAX_REPEATS}) THEN 0 ELSE 1 - ln({MAX_REPEATS}) / ratio END AS exponent, total FROM spread),
@@ -178,12 +183,12 @@ norm AS (SELECT sum(power) AS z, max(tokens / power) AS cover FROM powers),
 plan AS (SELECT src, tokens, n_rows, power / z AS weight, z * cover AS budget,
          floor(power * cover + 1e-6)::BIGINT AS quota FROM powers, norm),
 copies AS (SELECT c.*, p.* EXCLUDE (src), unnest(range(0, quota // tokens + 1)) AS pass_no FROM costs c JOIN plan p ON c.src = p.src),
-drawn AS (SELECT *, {_sql_draw(f"'{SEED}'", "pass_no", "coalesce(doc_id::VARCHAR, '')")} AS draw FROM copies),
+drawn AS (SELECT *, {_sql_draw(f"'{SEED}'", "pass_no", "coalesce(doc_id::VARCHAR, '')", "tie")} AS draw FROM copies),
 run AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY src, pass_no ORDER BY draw, doc_id
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM drawn),
 placed AS (SELECT *, floor((pass_no * tokens + ahead)::DOUBLE / quota::DOUBLE * greatest(1.0, ceil(budget / {BLOCK_TOKENS})))::BIGINT AS block
         FROM run WHERE pass_no < quota // tokens OR ahead + cost <= quota - (quota // tokens) * tokens)
 SELECT doc_id, source, pass_no, cost AS n_tokens, round(weight, 6) AS weight, block,
-       row_number() OVER (PARTITION BY block ORDER BY {_sql_draw(f"'{SEED}'", "'slot'", "pass_no", "coalesce(doc_id::VARCHAR, '')")}, pass_no, doc_id) - 1 AS slot
+       row_number() OVER (PARTITION BY block ORDER BY {_sql_draw(f"'{SEED}'", "'slot'", "pass_no", "coalesce(doc_id::VARCHAR, '')", "tie")}, pass_no, doc_id) - 1 AS slot
 FROM placed
 """

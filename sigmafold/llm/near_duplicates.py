@@ -347,7 +347,9 @@ def candidate_clusters(nodes: DataFrame, threshold: float = THRESHOLD, recall: f
         linked = found[0]
         for links in found[1:]:
             linked = linked.unionByName(links)
-        cores = connected_components(linked)
+        # Nodes that agree with one leader are linked through it.  Leaders may be linked too: that only
+        # means some more comparisons.
+        cores = linked.groupBy(F.col("src").alias("vertex")).agg(F.min("dst").alias("component"))
         found.append(_between_cores(members, nodes, cores, least))
         reached = length
     linked = found[0]
@@ -362,7 +364,7 @@ def _in_blocks(members: DataFrame, n_blocks) -> DataFrame:
     """Every member once for each pair of blocks that its block is part of; a group of one block as it is."""
     rows = members.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("n_blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("n_blocks") - 1).cast("int"))))
-    return rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other", "n_blocks")
+    return rows.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")}).drop("other")
 
 
 def _compare(threshold: float):
@@ -400,7 +402,7 @@ def _compare(threshold: float):
             linked &= block[:, None] != block[None, :]
         label = _local_components(n, *np.nonzero(np.triu(linked)))
         links = linked @ copies.astype(np.float64)
-        return pa.table({"node": node, "links": links.astype(np.int64), "root": node[label]})
+        return pa.table({"node": node, "links": links.astype(np.int64), "root": node[label], "many": np.full(n, table.column("n_blocks")[0].as_py() > 1)})
 
     return run
 
@@ -454,10 +456,14 @@ def _classes(keyed: DataFrame, row: str, threshold: float, recall: float) -> Dat
 
     held = texts.select("node", "cluster", "copies", "n_blocks", "text").mapInArrow(shingled, "node bigint, cluster bigint, copies bigint, n_blocks bigint, shingles binary")
     pairs = _in_blocks(held, F.col("n_blocks"))
-    compared = pairs.groupBy("cluster", "first", "second").applyInArrow(_compare(threshold), "node bigint, links bigint, root bigint")
+    compared = pairs.groupBy("cluster", "first", "second").applyInArrow(_compare(threshold), "node bigint, links bigint, root bigint, many boolean")
     compared = materialise(compared, "compared")
     linked = materialise(compared.groupBy("node").agg(F.sum("links").alias("links")).where("links > 0"), "linked")
-    classes = connected_components(compared.where("node <> root"), "node", "root")
+    # A cluster that met in one task has its components already; those of others are joined over their blocks.
+    classes = compared.where("not many").select(F.col("node").alias("vertex"), F.col("root").alias("component"))
+    spread = compared.where("many and node <> root")
+    if not spread.isEmpty():
+        classes = classes.unionByName(connected_components(spread, "node", "root"))
 
     known = linked.join(classes.withColumnRenamed("vertex", "node"), "node").join(sets.select("node", "set_id", "digest", "copies"), "node")
     least = known.groupBy("component").agg(F.min("set_id").alias("class_id"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmafold.llm.language_id import _buffers, _schema_with, held_out
+from sigmafold.llm.token_ids import slices
 
 THRESHOLD = 0.3
 #: Labelled documents that training reads, at most.
@@ -20,6 +21,8 @@ TREES, DEPTH, BINS, RATE, LEAST_ROWS = 80, 4, 64, 0.15, 20
 MARKS = "!#$%&*|.,;:?-_/\\<>{}[]()=+@\"'"
 #: Documents are taken in groups of about so many bytes.
 GROUP_BYTES = 4 << 20
+#: Bytes that are hashed or counted at once.
+_WINDOW = 1 << 18
 
 
 def _ratio(a, b):
@@ -32,12 +35,46 @@ def _per_doc(values, cuts, n_docs: int):
     """Sums of consecutive values by document: ``cuts`` has the first place of each and one more."""
     import numpy as np
 
-    total = np.concatenate([[0], np.cumsum(values, dtype=np.float64)])
-    return total[cuts[1:]] - total[cuts[:-1]]
+    out = np.zeros(n_docs)
+    some = np.flatnonzero(cuts[1:] > cuts[:-1])
+    if len(some):
+        out[some] = np.add.reduceat(values, cuts[some], dtype=np.float64)
+    return out
+
+
+def _byte_counts(raw, bounds):
+    """How often each document has each of the 256 bytes."""
+    import numpy as np
+
+    out = np.zeros((len(bounds) - 1, 256), np.int64)
+    for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+        for at in range(a, b, _WINDOW):
+            out[k] += np.bincount(raw[at : min(b, at + _WINDOW)], minlength=256)
+    return out
+
+
+_powers = None
+
+
+def _POWERS():
+    """Powers of the base of the hash of runs modulo 2**64, and of its inverse, as far as a window reaches."""
+    global _powers
+    if _powers is None:
+        import numpy as np
+
+        base = 0x9E3779B97F4A7C15
+        _powers = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_WINDOW, p, np.uint64)])) for p in (base, pow(base, -1, 1 << 64))]
+    return _powers
 
 
 def _units(raw, breaks, bounds):
-    """Runs between breaks: start, length, hash, and the first run of each document (and one more)."""
+    """Runs between breaks: start, length, hash, and the first run of each document (and one more).
+
+    Hashes are made some runs at a time, so a long text needs little more than its own bytes; a run that
+    is longer than a window has a hash of another kind.
+    """
+    import hashlib
+
     import numpy as np
 
     inside = ~breaks
@@ -45,14 +82,23 @@ def _units(raw, breaks, bounds):
     edge[bounds] = True  # no run crosses a document's end
     opens = inside & np.concatenate([[True], breaks[:-1]]) | inside & edge[:-1]
     start = np.flatnonzero(opens)
-    stop_marks = np.flatnonzero(inside & (np.concatenate([breaks[1:], [True]]) | edge[1:])) + 1
-    length = stop_marks - start
-    # A polynomial hash of each run, from running sums modulo 2**64, moved back to the run's own start.
-    base = 0x9E3779B97F4A7C15
-    powers = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), p, np.uint64)])) for p in (base, pow(base, -1, 1 << 64))]
-    running = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[0][:-1], dtype=np.uint64)])
-    code = (running[stop_marks] - running[start]) * powers[1][start]
-    return start, length, code, np.searchsorted(start, bounds)
+    stop = np.flatnonzero(inside & (np.concatenate([breaks[1:], [True]]) | edge[1:])) + 1
+    code, at, powers = np.zeros(len(start), np.uint64), 0, _POWERS()
+    while at < len(start):
+        first = int(start[at])
+        to = int(np.searchsorted(stop, first + _WINDOW, "right"))
+        if to == at:
+            code[at] = int.from_bytes(hashlib.blake2b(raw[first : stop[at]].tobytes(), digest_size=8).digest(), "little")
+            at += 1
+            continue
+        # A polynomial hash of each run, from running sums modulo 2**64, moved back to the run's own start.
+        part = raw[first : int(stop[to - 1])].astype(np.uint64)
+        part += np.uint64(1)
+        part *= powers[0][: len(part)]
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
+        code[at:to] = (running[stop[at:to] - first] - running[start[at:to] - first]) * powers[1][start[at:to] - first]
+        at = to
+    return start, stop - start, code, np.searchsorted(start, bounds)
 
 
 def _distinct_share(code, firsts):
@@ -73,15 +119,16 @@ def _group_statistics(raw, bounds):
 
     n_docs, size = len(bounds) - 1, np.diff(bounds)
 
-    def share(mask):
-        return _ratio(_per_doc(mask, bounds, n_docs), size)
+    counts = _byte_counts(raw, bounds)
+
+    def share(chosen):
+        return _ratio(counts[:, chosen].sum(1), size)
 
-    letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
-    upper, digit, high = letter & (raw < 97), (raw >= 48) & (raw <= 57), raw >= 128
+    code_points = size - counts[:, 0x80:0xC0].sum(1)
     newline, blank = raw == 10, (raw == 32) | ((raw >= 9) & (raw <= 13))
-    code_points = _per_doc((raw & 0xC0) != 0x80, bounds, n_docs)
-    columns = [np.log1p(code_points), share(letter), share(upper), share(digit), share(high), share(newline), share(blank)]
-    columns += [share(raw == ord(mark)) for mark in MARKS]
+    upper, lower, digits = list(range(65, 91)), list(range(97, 123)), list(range(48, 58))
+    columns = [np.log1p(code_points), share(upper + lower), share(upper), share(digits), share(list(range(128, 256))), share([10]), share([32, 9, 10, 11, 12, 13])]
+    columns += [share([ord(mark)]) for mark in MARKS]
     start, length, code, firsts = _units(raw, blank, bounds)
     words = np.diff(firsts)
     columns += [np.log1p(words), _ratio(_per_doc(length, firsts, n_docs), words), np.sqrt(_ratio(_per_doc(length.astype(float) ** 2, firsts, n_docs), words))]
@@ -188,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
 
     At most ``sample`` labelled rows are used, those with the lowest hash of doc_id; their ids are
     sent to the executors, which return statistics alone.  Labels without a text, an id or a value
-    teach nothing; a label given twice counts twice.
+    teach nothing; a label given twice counts twice, and so does one whose doc_id several rows have.
     """
     import numpy as np
 
@@ -201,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
     def measure(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, 2, 10_000, GROUP_BYTES):
             x = statistics(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], names=["draw", "quality", "x"])
 
@@ -225,7 +272,7 @@ def score(docs: DataFrame, trees: Trees, keep: list[Column] = (), threshold: flo
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches, len(names_kept), 10_000, GROUP_BYTES):
             value = trees.score(statistics(batch.column(batch.num_columns - 1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(value), pa.array((value >= threshold).astype("int32"))], names=[*names_kept, "score", "predicted"])
 

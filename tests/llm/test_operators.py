@@ -126,6 +126,14 @@ def test_labels_of_unseen_pages(labeller):
     assert (found == (np.concatenate([d[1] for d in data]) > 0)).mean() > 0.97
 
 
+def test_long_pages_are_labelled_in_parts(labeller, monkeypatch):
+    page = [(("div", "p", f"c{k % 5}"), f"word {k} of a block that is not short, {k % 7}", k % 3) for k in range(300)]
+    whole = labeller.label([page])[0]
+    for size in (7, 100):
+        monkeypatch.setattr(html_extract, "BATCH_BLOCKS", size)
+        assert (labeller.label([page])[0] == whole).all()
+
+
 def test_gradient_of_the_network():
     model = html_extract.BlockLabeller(1)
     model.weights = [w.astype(np.float64) for w in model.weights]
@@ -585,8 +593,61 @@ def test_fingerprints(spark, hard, empty):
 
 def test_fingerprints_over_ranges(spark, hard, monkeypatch):
     one = sorted(map(tuple, fingerprints.edits(hard).collect()), key=str)
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 3)
-    assert sorted(map(tuple, fingerprints.edits(hard).collect()), key=str) == one
+    for rows, quantiles, broadcast in ((3, 8192, 100), (2, 3, 0)):
+        monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
+        monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
+        monkeypatch.setattr(fingerprints, "BROADCAST_RANGES", broadcast)
+        assert sorted(map(tuple, fingerprints.edits(hard).collect()), key=str) == one
+
+
+def test_fingerprints_of_hot_ids_and_by_brute_force(spark, tmp_path, monkeypatch):
+    """Half of the rows share a doc_id or have none: they lie in several ranges, and neighbours stay the same.  Lanes and likeness are made again in Python."""
+    import xxhash
+
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 5, 5, 5, k, 1 << 60, (1 << 60) + 1]), words(rng, rng.randint(0, 12)) + rng.choice(["", ". " + words(rng, 3), "\n" + words(rng, 2)])) for k in range(120)]
+    path = str(tmp_path / "hot")
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+
+    def tie(t):
+        x = xxhash.xxh64_intdigest(t.encode(), 42)
+        return x - (1 << 64) if x >> 63 else x
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1]), r[1]))
+
+    def vector(t):
+        parts = re.split(r"\n|(?<=[!-/:-@\[-`{-~]) ", t)
+        lanes = [0] * fingerprints.LANES
+        for part in parts:
+            for k in range(2):
+                seed = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)
+                h = xxhash.xxh64_intdigest(part.encode(), seed)
+                for j in range(31):
+                    lanes[62 * k + 2 * j] += 1 if h >> j & 1 else -1
+                    lanes[62 * k + 2 * j + 1] += 1 if h >> (j + 31) & 1 else -1
+        return len(parts), [(x + (1 << 15)) % (1 << 16) - (1 << 15) for x in lanes]
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return max(0.0, min(1.0, sum(x * y for x, y in zip(a, b)) / norm)) if norm else 0.0
+
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt = order[(k + 1) % len(order)][1]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        (n, a), (_, b), (_, c) = vector(t), vector(edited), vector(nxt)
+        text = f"{n:08x}" + "".join(f"{x & 0xFFFF:04x}" for x in a)
+        want.append((i, hashlib.sha256(edited.encode()).hexdigest(), text, round(like(a, b), 9), round(like(a, c), 9)))
+    for size, quantiles in ((512, 8192), (4, 8192), (2, 4)):
+        monkeypatch.setattr(fingerprints, "RANGE_ROWS", size)
+        monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
+        got = [(r.doc_id, r.edited_sha256, r.fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in fingerprints.edits(docs).collect()]
+        assert collections.Counter(got) == collections.Counter(want)
+    spread = fingerprints.with_next(docs).where("last = 0 and doc_id = 5").select("range").distinct().count()
+    assert spread > 3
 
 
 def test_fingerprints_are_homomorphic(spark):
