@@ -279,7 +279,45 @@ class BinaryField:
     native = False
 
 
+def is_irreducible(field: BinaryField) -> bool:
+    """Whether the reduction polynomial has no factor (Rabin): x ** (2 ** m) = x, and no smaller field holds a root."""
+
+    def gcd(a: int, b: int) -> int:
+        while b:
+            while a.bit_length() >= b.bit_length():
+                a ^= b << (a.bit_length() - b.bit_length())
+                if not a:
+                    break
+            a, b = b, a
+        return a
+
+    x = field._fold(2)
+    if field.frobenius(x, field.m) != x:
+        return False
+    return all(gcd(field.modulus, field.frobenius(x, field.m // q) ^ x) == 1 for q in set(_prime_factors(field.m)))
+
+
+def field_of(manifest: dict) -> PrimeField | BinaryField:
+    """The field that a manifest describes, certified: little-endian canonical bytes of the right width, a prime or an irreducible modulus."""
+    prime = "prime" in manifest
+    if prime:
+        found = PrimeField(int(manifest["prime"]["modulus"]))
+    else:
+        exponents = [int(e) for e in manifest["field"]["modulus"]["nonzero_exponents"]]
+        m = int(manifest["field"]["degree"])
+        if exponents != sorted(set(exponents), reverse=True) or exponents[0] != m or exponents[-1] != 0:
+            raise ValueError("exponents fall from the degree to 0")
+        found = BinaryField(m, tuple(exponents[1:]))
+        if not is_irreducible(found):
+            raise ValueError("the modulus is not irreducible")
+    encoding = (manifest if prime else manifest["field"])["encoding"]
+    if encoding["byte_order"] != "little" or int(encoding["canonical_bytes"]) != found.width:
+        raise ValueError(f"an element has {found.width} little-endian bytes")
+    return found
+
+
 # The built-in fields.
+F2 = PrimeField(2)
 FP251 = PrimeField(251)
 FP65521 = PrimeField(65521)
 FP4294967291 = PrimeField(4294967291)
@@ -317,6 +355,29 @@ def c_horner(field: PrimeField, coefficients: Column, point: int) -> Column:
     return F.aggregate(coefficients, F.lit(0).cast("bigint"), lambda acc, c: F.pmod(acc * F.lit(point) + c, F.lit(field.p)))
 
 
+def c_horner_many(field: PrimeField, coefficients: Column, points: list[int]) -> Column:
+    """An array: the polynomial of an array column, highest coefficient first, at each point."""
+    return F.array(*[c_horner(field, coefficients, p) for p in points])
+
+
+# A mask over the rows of a batch is an array of bigints, 64 places each.
+
+
+def mask_of(flags: Column) -> Column:
+    """The mask of an array of booleans."""
+    words = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(flags) / F.lit(64.0)).cast("int") - 1))
+    word = lambda w: F.aggregate(F.slice(flags, w * 64 + 1, F.lit(64)), F.struct(F.lit(0).cast("bigint").alias("x"), F.lit(0).alias("k")), lambda a, f: F.struct(F.when(f, a["x"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), a["k"]))).otherwise(a["x"]).alias("x"), (a["k"] + 1).alias("k")))["x"]
+    return F.transform(words, word)
+
+
+def mask_get(mask: Column, place: Column) -> Column:
+    return F.call_function("shiftright", F.element_at(mask, (place / 64).cast("int") + 1), F.pmod(place, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def mask_count(mask: Column) -> Column:
+    return F.aggregate(mask, F.lit(0), lambda acc, w: acc + F.bit_count(w))
+
+
 # --- encoders: bytes to elements -----------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmafold.functions.fields import PrimeField
@@ -33,13 +33,33 @@ def parents(nodes: DataFrame, key: str, field: PrimeField, base: int) -> DataFra
     return pairs.select(key, "level", "idx", state.alias("state"), (F.col("l.n") + F.coalesce(F.col("r.n"), F.lit(0))).alias("n"))
 
 
+#: Levels that are made in one pass.
+STEP = 8
+
+
 def build(leaf_nodes: DataFrame, key: str, field: PrimeField, base: int) -> DataFrame:
-    """All levels; each is written before the next, so the plan doesn't grow."""
-    level = materialise(leaf_nodes, "tree")
-    out, most = level, (level.agg(F.max("idx")).first()[0] or 0) + 1
+    """All levels, STEP of them in a pass; each pass is written, so the plan doesn't grow.
+
+    A node is the sum of the states below it, each times base ** (length behind it).  Within a block of
+    2 ** STEP nodes that is base ** (length up to the node's end) times a sum of scaled states, whatever
+    the level.
+    """
+    columns = [key, "level", "idx", "state", "n"]
+    current = materialise(leaf_nodes.select(*columns), "tree")
+    out, most, at = current, (current.agg(F.max("idx")).first()[0] or 0) + 1, 0
     while most > 1:
-        level = materialise(parents(level, key, field, base), "tree")
-        out, most = out.unionByName(level), -(-most // 2)
+        jumps = min(STEP, (most - 1).bit_length())
+        ahead = F.sum("n").over(Window.partitionBy(key, F.shiftright("idx", jumps)).orderBy("idx"))
+        rows = current.withColumn("__end", ahead)
+        scaled = field.c_mul(F.col("state"), field.c_power(check_base(base), -F.col("__end")))
+        rows = rows.select(key, "idx", "n", "__end", scaled.alias("__scaled"), F.explode(F.sequence(F.lit(1), F.lit(jumps))).alias("__up"))
+        sums = rows.groupBy(key, (F.col("__up") + at).alias("level"), F.expr("shiftright(idx, __up)").alias("idx")).agg(
+            F.sum("__scaled").alias("__sum"), F.max("__end").alias("__end"), F.sum("n").alias("n")
+        )
+        state = field.c_mul(F.pmod("__sum", F.lit(field.p)), field.c_power(base, F.col("__end")))
+        fresh = materialise(sums.select(key, "level", "idx", state.alias("state"), "n"), "tree")
+        out, at, most = out.unionByName(fresh), at + jumps, -(-most >> jumps)
+        current = fresh.where(F.col("level") == at)
     return out
 
 
