@@ -166,6 +166,7 @@ def drop_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts among all documents; null texts are empty ones."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

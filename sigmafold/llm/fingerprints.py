@@ -180,4 +180,5 @@ def edits(docs: DataFrame) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; null texts are empty ones."""
     return edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))

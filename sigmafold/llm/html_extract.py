@@ -366,4 +366,5 @@ def extract_text(pages: DataFrame, model: BlockLabeller, group: int = 256) -> Da
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main texts of all pages; null and empty pages give an empty text."""
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), train())

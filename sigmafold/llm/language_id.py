@@ -253,8 +253,9 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[Column] = (), nam
     Null texts and texts without a letter are ``und`` with score 0; an empty table gives an empty
     result.  Rows that repeat are judged alike; columns not named in ``keep`` are not read.
     """
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    columns = kept.drop("__text")
+    text = free_name(docs, "__text")
+    kept = docs.select(*keep, F.col("text").alias(text))
+    columns = kept.drop(text)
     names_kept = columns.columns
 
     def judge(batches):
@@ -274,11 +275,20 @@ def _schema_with(df: DataFrame, more: str):
     return StructType(list(df.schema.fields) + list(StructType.fromDDL(more).fields))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with more underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learnt from those that are not held out; null texts and texts without letters are ``und``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
     return identify(docs, model, [F.col("doc_id"), held_out(F.col("doc_id"), 4, 2).alias("held_out")])

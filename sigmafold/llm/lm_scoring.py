@@ -671,6 +671,7 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that are not held out; null texts are an end alone."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

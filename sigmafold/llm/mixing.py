@@ -134,7 +134,7 @@ def costed(docs: DataFrame, uid: Column) -> DataFrame:
 
     The tie is a digest of the text, so that rows without a doc_id, or of the same, are dealt apart.
     """
-    tie = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    tie = F.coalesce(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), F.lit(""))
     return docs.select("doc_id", "source", F.coalesce("source", F.lit("")).alias("src"), word_cost(F.col("text")).alias("cost"), tie.alias("tie"), uid.alias("uid"))
 
 
@@ -163,6 +163,7 @@ def mix_rows(docs: DataFrame, target: Target, block_tokens: int = BLOCK_TOKENS,
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source with at most MAX_REPEATS passes; null sources are one source, null texts cost one token."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), Target(max_repeats=MAX_REPEATS))
 
 
@@ -174,7 +175,7 @@ def _sql_draw(*parts: str) -> str:
 ORACLE = f"""
 WITH costs AS (
   SELECT doc_id, source, coalesce(source, '') AS src,
-         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) + 1 AS cost, coalesce(md5(text), '') AS tie FROM documents),
+         coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0) + 1 AS cost, coalesce(substr(md5(text), 1, 8), '') AS tie FROM documents),
 sums AS (SELECT src, sum(cost)::BIGINT AS tokens, count(*) AS n_rows FROM costs GROUP BY src),
 spread AS (SELECT ln(max(tokens) / min(tokens)) AS ratio, sum(tokens) AS total FROM sums),
 fit AS (SELECT CASE WHEN ratio <= ln({MAX_REPEATS}) THEN 0 ELSE 1 - ln({MAX_REPEATS}) / ratio END AS exponent, total FROM spread),

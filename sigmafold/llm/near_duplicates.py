@@ -395,8 +395,8 @@ def _compare(threshold: float):
             x = np.zeros((n, width), np.float32)
             x[row[at:to], column[at:to] - k * width] = 1
             shared += x @ x.T
-        union = sizes[:, None] + sizes[None, :] - shared
-        linked = shared >= threshold * union
+        union = (sizes[:, None] + sizes[None, :]).astype(np.float64) - shared
+        linked = shared >= threshold * union * (1 - 1e-12)  # a pair at the threshold itself is linked
         np.fill_diagonal(linked, False)
         if across:
             linked &= block[:, None] != block[None, :]
@@ -482,4 +482,22 @@ def _classes(keyed: DataFrame, row: str, threshold: float, recall: float) -> Dat
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of all documents; texts without words are linked to nothing."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: The same by shared shingles of all pairs of sets, and reachability.
+ORACLE = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct([array_to_string(ws[i:i+4], ' ') for i in range(1, len(ws) - 3)]) END AS sh FROM w),
+k AS MATERIALIZED (SELECT doc_id, sh, md5(array_to_string(list_sort(sh), chr(10))) AS key, len(sh) AS n FROM s),
+sets AS MATERIALIZED (SELECT key, any_value(sh) AS sh, any_value(n) AS n, count(*) AS copies, min(doc_id) AS set_id FROM k WHERE n > 0 GROUP BY key),
+e AS MATERIALIZED (SELECT key, unnest(sh) AS x FROM sets),
+c AS (SELECT a.key AS a, b.key AS b, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.key <> b.key GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT c.a, c.b FROM c JOIN sets x ON x.key = c.a JOIN sets y ON y.key = c.b WHERE c.common >= 0.8 * (x.n + y.n - c.common)),
+r AS (SELECT DISTINCT a AS v, a AS u FROM l UNION SELECT r.v, l.b FROM r JOIN l ON r.u = l.a),
+comp AS (SELECT v, min(sets.set_id) AS class_id FROM r JOIN sets ON sets.key = r.u GROUP BY v),
+links AS (SELECT l.a, sum(sets.copies) AS links FROM l JOIN sets ON sets.key = l.b GROUP BY 1)
+SELECT doc_id, coalesce(class_id, set_id, doc_id) AS class_id, coalesce(set_id, doc_id) AS set_id, (coalesce(links, 0) + coalesce(copies, 1) - 1)::BIGINT AS n_links
+FROM k LEFT JOIN sets USING (key) LEFT JOIN comp ON comp.v = k.key LEFT JOIN links ON links.a = k.key
+"""

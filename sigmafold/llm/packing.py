@@ -204,6 +204,7 @@ def pack(
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences, every token bearing loss; null texts are an end alone."""
     import public_tokenizers
 
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))

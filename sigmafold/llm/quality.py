@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmafold.llm.language_id import _buffers, _schema_with, held_out
+from sigmafold.llm.language_id import _buffers, _schema_with, free_name, held_out
 from sigmafold.llm.token_ids import slices
 
 THRESHOLD = 0.3
@@ -264,8 +264,9 @@ def score(docs: DataFrame, trees: Trees, keep: list[Column] = (), threshold: flo
     A null text counts as empty; empty texts get a score too.  An empty table gives an empty result;
     rows that repeat are scored alike; columns not named in ``keep`` are not read.
     """
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    columns = kept.drop("__text")
+    text = free_name(docs, "__text")
+    kept = docs.select(*keep, F.col("text").alias(text))
+    columns = kept.drop(text)
     names_kept = columns.columns
 
     def judge(batches):
@@ -280,6 +281,7 @@ def score(docs: DataFrame, trees: Trees, keep: list[Column] = (), threshold: flo
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels that are not held out; empty and null texts get a score too."""
     docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), held_out(F.col("doc_id"), 5, 0)
     trees = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~out))
     return score(docs, trees, [F.col("doc_id"), out.alias("held_out")])

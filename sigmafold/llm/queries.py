@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op3_mixing": mixing.ORACLE,
+    "op5_near_duplicates": near_duplicates.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }

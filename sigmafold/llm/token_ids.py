@@ -36,6 +36,20 @@ def slices(batches, column: int, rows: int = ROWS, most: int = BYTES):
             to = max(at + 1, min(at + rows, int(np.searchsorted(ends, begin + most, "right"))))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker stays alive behind its task, and others need the room."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
 
 
 class PieceEncoder:

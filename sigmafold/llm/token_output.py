@@ -226,6 +226,7 @@ def digest_token_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written in ascending doc_id and read back; null texts are an end alone."""
     import public_tokenizers
 
     path = scratch_path(spark, "token-files")

@@ -684,3 +684,66 @@ def test_trees_learn_and_statistics_do_not_depend_on_groups(monkeypatch):
     whole = quality.statistics(texts)
     monkeypatch.setattr(quality, "GROUP_BYTES", 10)
     assert np.allclose(whole, quality.statistics(texts))
+
+
+def test_quality_by_brute_force():
+    """Statistics counted one by one, and trees walked node by node."""
+    texts = [t or "" for _, t, *_ in hard_rows() if len(t or "") < 3000] + ["two  words.\nA line\nA line\n", "!!! ??? a a a"]
+    x = quality.statistics(pa.array(texts, pa.string()))
+    for row, text in zip(x, texts):
+        raw = text.encode()
+        size = max(1, len(raw))
+        share = lambda chosen: sum(b in chosen for b in raw) / size
+        letters = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        want = [math.log1p(len(text)), share(letters), share(set(range(65, 91))), share(set(b"0123456789")), share(set(range(128, 256))), share({10}), share(set(b" \t\n\x0b\x0c\r"))]
+        want += [share({ord(m)}) for m in quality.MARKS]
+        found = [w for w in re.split(rb"[ \t-\r]+", raw) if w]
+        n = max(1, len(found))
+        want += [math.log1p(len(found)), sum(map(len, found)) / n, math.sqrt(sum(len(w) ** 2 for w in found) / n)]
+        want += [sum(a == b for a, b in zip(found, found[1:])) / n, len(set(found)) / n]
+        assert np.allclose(row[: len(want)], want)
+    rng = np.random.default_rng(3)
+    data = rng.random((500, x.shape[1]))
+    trees = quality.boost(data, (data[:, 0] + data[:, 5] > 1).astype(float))
+    for row, score in zip(data[:50], trees.score(data[:50])):
+        total = trees.base
+        for feature, bound, leaf in zip(trees.feature, trees.bound, trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > bound[node] else 1)
+            total += leaf[node - len(feature)]
+        assert abs(score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_language_by_brute_force():
+    """Margins of every machine by hashing one n-gram at a time, then families, then votes."""
+    rng = np.random.default_rng(5)
+    model = language_id.LanguageModel(["de", "en", "es", "fr"])
+    size = len(language_id.SIZES) * language_id.BUCKETS
+    for machine in range(4):
+        model.weights.append(rng.standard_normal(size).astype(np.float32))
+        model.bias.append(float(rng.standard_normal()))
+        model.slope.append(1.5)
+    model.families = {"germanic": 0, "romance": 1}
+    model.pairs = {("de", "en"): 2, ("es", "fr"): 3}
+    texts = ["Größe und Maß", "the cat sat", "", "12 34", "un peu de tout", "a", "x y z " * 50]
+    normal = language_id.letters(pa.array(texts))
+    langs, scores = model.predict(normal)
+    for text, lang, score in zip(normal.to_pylist(), langs, scores):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if not text.strip():
+            assert (lang, score) == ("und", 0)
+            continue
+        chance = []
+        for w, b, slope in zip(model.weights, model.bias, model.slope):
+            m = b
+            for i, n in enumerate(language_id.SIZES):
+                grams = len(raw) - n + 1
+                for k in range(grams):
+                    m += w[int(language_id._hashes(raw[k : k + n], n)[0]) + i * language_id.BUCKETS] * language_id._SCALE / max(1, grams)
+            chance.append(1 / (1 + math.exp(-slope * m)))
+        family = 0 if chance[0] >= chance[1] else 1
+        first, second = (("de", "en"), ("es", "fr"))[family]
+        vote = chance[2 + family]
+        assert lang == (first if vote >= 0.5 else second)
+        assert abs(score - chance[family] / (chance[0] + chance[1]) * max(vote, 1 - vote)) < 1e-4

@@ -40,3 +40,27 @@ def test_stages(spark, sf):
         pieces[r.doc_id] += r.length
     size = {r.doc_id: r.doc_tokens for r in kept["packing"].collect()}
     assert all(pieces[i] == n * size[i] for i, n in mixed.items())
+
+
+def test_stages_on_hard_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, and columns of the names that stages use themselves."""
+    base = " ".join(f"the word {k} and some letters" for k in range(40))
+    texts = [None, "", "  ", "12345 !!!", base, base, base.upper(), base + " and more", "x" * 20_000, "der die das und ein", "one", "one"]
+    rows = [(k, t, ("en", "de", None)[k % 3], ("hot", "rare", None)[k % 3], None, -k, "c", 0.5, "t", k) for k, t in enumerate(texts)]
+    rows += [rows[4], (None, "no id here but words", "en", "hot", None, 1, "c", 0.5, "t", 99)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, __row int, __lang string, __score double, __text string, uid int"
+    path = str(tmp_path / "hard")
+    spark.createDataFrame(rows, schema).write.parquet(path)
+    docs, counts = spark.read.parquet(path), {}
+    start = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, ""), "test")
+        counts[name] = docs.count()
+        assert name == "packing" or docs.columns == start
+    assert counts["language"] == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
+    # Two groups of equal texts after lower-casing, one near copy.
+    assert counts["exact_dedup"] == counts["language"] - 3 - 1 and counts["near_duplicates"] == counts["exact_dedup"] - 1
+    docs = spark.read.schema(schema).parquet(path).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, ""), "test")
+        assert docs.count() == 0
