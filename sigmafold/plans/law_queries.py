@@ -179,7 +179,10 @@ def encode_prime_framed_names(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", fields.c_encode_integer(FP251, F.col("c_name").cast("binary"), 66).alias("e"))
 
 
-@query(None)
+_FRAMED = "regexp_extract_all(hex(encode(coalesce(text, ''))) || '01' || '4200000000000000', '..')"
+
+
+@query(f"SELECT doc_id, {fold_sql(f'list_reverse(list_transform({_FRAMED}, lambda b: ('0x' || b)::BIGINT))', 0, '(a * 256 + x) % 251')} AS e FROM documents")
 def encode_prime_framed_docs(spark, sf):
     """The framed encoding of whole texts, in numpy: doc_id, e."""
 
