@@ -180,9 +180,10 @@ def encode_prime_framed_names(spark, sf):
 
 
 _FRAMED = "regexp_extract_all(hex(encode(coalesce(text, ''))) || '01' || '4200000000000000', '..')"
+_REVERSED = f"list_reverse(list_transform({_FRAMED}, lambda b: ('0x' || b)::BIGINT))"
 
 
-@query(f"SELECT doc_id, {fold_sql(f'list_reverse(list_transform({_FRAMED}, lambda b: ('0x' || b)::BIGINT))', 0, '(a * 256 + x) % 251')} AS e FROM documents")
+@query(f"SELECT doc_id, {fold_sql(_REVERSED, 0, '(a * 256 + x) % 251')} AS e FROM documents")
 def encode_prime_framed_docs(spark, sf):
     """The framed encoding of whole texts, in numpy: doc_id, e."""
 
