@@ -9,13 +9,13 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
-from sigmafold.functions import encoders
+from sigmafold.functions import encoders, fields
 from sigmafold.functions.fields import FP251, FP65521, GF2_128, GF2_256, GOLDILOCKS, MERSENNE127
 from sigmafold.operators import codecs, deltas, laws, tables
 from sigmafold.operators.graph import kernels
 from sigmafold.operators.graph import profiles as P
 from sigmafold.operators.graph import relational as G
-from sigmafold.sources import formats
+from sigmafold.sources import corpora, formats
 
 ALL = tables.TableSchema((("key", "u64"), ("active", "bool"), ("signed", "i64"), ("raw", "bytes"), ("label", "text")), ("key",), 7, ("label",))
 SPACE = codecs.namespace_of(b"tests")
@@ -234,3 +234,60 @@ def test_large_graph6_lines_list_set_bits_alone():
     n = 400
     line = formats.write_graph6(n, {(0, 399), (1, 2)})
     assert formats.parse_graph6(line) == (n, [(1, 2), (0, 399)])
+
+
+def test_manifests_masks_and_many_points(spark):
+    binary = {"field": {"degree": 128, "modulus": {"nonzero_exponents": [128, 7, 2, 1, 0]}, "encoding": {"byte_order": "little", "canonical_bytes": 16}}}
+    assert fields.field_of(binary) == GF2_128
+    assert fields.field_of({"prime": {"modulus": "65521"}, "encoding": {"byte_order": "little", "canonical_bytes": 2}}) == FP65521
+    for exponents in ([128, 7, 2, 0], [128, 2, 7, 1, 0], [127, 1, 0]):
+        with pytest.raises(ValueError):
+            fields.field_of({"field": binary["field"] | {"modulus": {"nonzero_exponents": exponents}}})
+    assert [fields.is_irreducible(fields.BinaryField(m, t)) for m, t in ((2, (1, 0)), (4, (1, 0)), (4, (3, 2, 1, 0)), (4, (2, 0)), (6, (3, 0)))] == [True, True, True, False, True]
+    flags = [random.Random(1).random() < 0.5 for _ in range(130)]
+    df = spark.createDataFrame([(flags, [3, 0, 5])], "f array<boolean>, c array<bigint>").withColumn("m", fields.mask_of(F.col("f")))
+    r = df.select(fields.mask_count(F.col("m")).alias("n"), *[fields.mask_get(F.col("m"), F.lit(k)).alias(f"b{k}") for k in (0, 63, 64, 129)], fields.c_horner_many(FP251, F.col("c"), [2, 10]).alias("h")).first()
+    assert r.n == sum(flags) and [r[f"b{k}"] for k in (0, 63, 64, 129)] == [flags[k] for k in (0, 63, 64, 129)] and r.h == [17, 305 % 251]
+
+
+def test_corpora_and_hooks(spark, tmp_path):
+    for name, text in (("A", "1, 2\n2, 1\n3, 4\n"), ("graph_indicator", "1\n1\n2\n2\n"), ("node_labels", "0\n1\n0\n0\n"), ("edge_labels", "7\n7\n8\n"), ("graph_labels", "1\n-1\n")):
+        (tmp_path / f"T_{name}.txt").write_text(text)
+    vertices, arcs, classes = corpora.read_tu(spark, str(tmp_path), "T")
+    assert {(r.graph_id, r.src, r.dst, r.relation) for r in arcs.collect()} == {("1", 1, 2, "bond/7"), ("1", 2, 1, "bond/7"), ("2", 3, 4, "bond/8")}
+    assert {(r.graph_id, r.label) for r in classes.collect()} == {("1", 1), ("2", -1)} and vertices.where("label = 'atom/0'").count() == 3
+    assert {tuple(r) for r in corpora.strata(vertices, arcs).collect()} == {("1", 2, 1, 0), ("2", 2, 1, 0)}
+    corpora.build_lake(vertices, arcs, str(tmp_path / "lake"))
+    assert corpora.load_stratum(spark, str(tmp_path / "lake"), 2, 1).count() == 3
+    (tmp_path / "e.txt").write_text("# pairs\n1 2\n2 3\n1 2\n")
+    (tmp_path / "l.txt").write_text("1 a\n2 b\n9 c\n")
+    vertices, arcs = corpora.read_edge_list(spark, str(tmp_path / "e.txt"), str(tmp_path / "l.txt"))
+    assert {(r.v, r.label) for r in vertices.collect()} == {(1, "a"), (2, "b"), (3, ""), (9, "c")} and {(r.src, r.dst, r.mult) for r in arcs.collect()} == {(1, 2, 2), (2, 3, 1)}
+    (tmp_path / "h.json").write_text('{"edge-dict": {"x": ["a", "b"], "y": ["b"]}}')
+    vertices, arcs = corpora.read_hypergraph(spark, str(tmp_path / "h.json"))
+    assert (vertices.count(), arcs.count()) == (4, 6)
+    line = "ATOM      {0}  CA  ALA A   1    {1:8.3f}{2:8.3f}{3:8.3f}"
+    atoms = [line.format(k, *xyz) for k, xyz in ((1, (0, 0, 0)), (2, (1.5, 0, 0)), (3, (9, 0, 0)))]
+    (tmp_path / "a.pdb").write_text("\n".join([*atoms, "CONECT    1    3   99"]) + "\n")
+    assert {tuple(r) for r in corpora.pdb_bonds(spark, str(tmp_path / "a.pdb")).collect()} == {(1, 2), (1, 3)}
+    templates = spark.createDataFrame([("G", 2, 0, 1, [(0, 1)]), ("A", 3, 0, 1, [(0, 1), (1, 2)])], "residue string, atoms int, first int, last int, bonds array<struct<i:int,j:int>>")
+    chain = corpora.stitch_residues(spark.createDataFrame([("p", "aXG")], "header string, residues string"), templates)
+    assert {(r.src, r.dst) for r in chain.where("src < dst").collect()} == {(0, 1), (1, 2), (1, 3), (3, 4), (4, 5), (5, 6)}
+    words = spark.createDataFrame([([1, 2, 3, 4], [1, 2, 3, 7, 0, 0, 0, 0])], "a array<bigint>, b array<bigint>")
+    r = words.select(corpora.hamming(F.col("a"), F.col("b")).alias("d"), corpora.head_tail(F.col("a")).alias("t")).first()
+    assert r.d == 2 + 256 and tuple(r.t) == ("0" * 15 + "1", "0" * 15 + "4")
+    mapped = corpora.map_domain(spark.createDataFrame([(1, "0-1"), (2, None), (3, "bad")], "k int, t string"), "k", "t", lambda t: [(*map(int, t.split("-")), "e", "", 1)] if "-" in t else None)
+    assert [tuple(r) for r in mapped.collect()] == [("1", 0, 1, "e", "", 1)]
+
+    class Count(corpora.Experiment):
+        name, domain = "count", "tests"
+
+        def execute(self, spark):
+            return spark.range(5).count()
+
+        def verify(self, outcome):
+            return outcome == 5
+
+    records = corpora.run_experiments(spark, [Count()])
+    corpora.write_telemetry(records, str(tmp_path / "t"))
+    assert records.first().isomorphism_verified and spark.read.option("header", True).csv(str(tmp_path / "t")).columns == records.columns
