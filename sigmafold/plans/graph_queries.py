@@ -411,8 +411,15 @@ def degeneracy_of_stars(spark, sf):
 @query("SELECT 'complete' AS status, count(*) AS triangles, 0::BIGINT AS cliques4 FROM part")
 def motifs_of_a_regular_graph(spark, sf):
     """Parts in a ring, each linked to the two behind it: as regular as can be, so its motifs are counted."""
-    n = table(spark, sf, "part").count()
-    rows = table(spark, sf, "part").select(F.pmod("p_partkey", F.lit(n)).alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
+    from pyspark.sql import Window
+
+    # Places in the order of keys, whatever gaps these have: numbered inside ranges, behind the rows of the ranges before.
+    keys = table(spark, sf, "part").select("p_partkey").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey")
+    keys = materialise(keys.withColumn("id", F.monotonically_increasing_id()).select(F.expr("id >> 33").alias("range"), F.expr("id & 8589934591").alias("at")), "places")
+    sizes = keys.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
+    n = keys.count()
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    rows = keys.join(F.broadcast(before), "range").select((F.col("before") + F.col("at")).alias("src"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k"))
     arcs = materialise(G.arcs_of(rows.withColumn("dst", F.pmod(F.col("src") + F.col("k"), F.lit(n))), "src", "dst", directed=False), "arcs")
     return P.bounded_motifs(_vertices_of(arcs), arcs).drop("graph_id")
 
