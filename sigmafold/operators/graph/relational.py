@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -374,15 +377,28 @@ def graph_signature(labels: DataFrame, offsets: list[int], field: PrimeField = F
 # --- spatial join and bloom masks ----------------------------------------------------------------------------
 
 
-def near_pairs(points: DataFrame, key: str, axes: list[str], cutoff: float) -> DataFrame:
-    """a < b within ``cutoff``: points meet in neighbouring cells only, and distances are checked there."""
-    cells = [F.floor(F.col(c) / F.lit(cutoff)).cast("bigint") for c in axes]
-    here = points.select(F.col(key).alias("a"), *[F.col(c).alias(f"a{i}") for i, c in enumerate(axes)], *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    there = points.select(F.col(key).alias("b"), *[F.col(c).alias(f"b{i}") for i, c in enumerate(axes)], *[c.alias(f"d{i}") for i, c in enumerate(cells)])
-    for i in range(len(axes)):
-        there = there.withColumn(f"c{i}", F.explode(F.array(*[F.col(f"d{i}") + F.lit(k) for k in (-1, 0, 1)])))
-    squared = sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(len(axes))), F.lit(0.0))
-    return here.join(there, [f"c{i}" for i in range(len(axes))]).where((F.col("a") < F.col("b")) & (squared <= cutoff * cutoff)).select("a", "b")
+def near_pairs(points: DataFrame, key: str, axes: list[str], cutoff: float, units: list[float] | None = None) -> DataFrame:
+    """a < b within ``cutoff``, a difference along an axis being divided by its unit: points meet in neighbouring cells only, and distances are checked there.
+
+    Equal points are one row for each part of the input, so their pairs need no check of their own, and
+    two cells meet once.  Neither side is broadcast, as both grow with the input.
+    """
+    units = [1.0] * len(axes) if units is None else units
+    # A little wider than the cutoff: rounding moves no pair within it apart by two cells.
+    cells = [F.floor(F.col(c) / F.lit(cutoff * u * (1 + 1e-9))).cast("bigint").alias(f"c{i}") for i, (c, u) in enumerate(zip(axes, units))]
+    kept = points.where(" and ".join(f"`{c}` is not null" for c in [key, *axes]))
+    rows = kept.groupBy(*axes, F.spark_partition_id().alias("part")).agg(F.collect_list(key).alias("keys")).select(*[F.col(c).alias(f"x{i}") for i, c in enumerate(axes)], *cells, "keys")
+    steps = [s for s in product((-1, 0, 1), repeat=len(axes)) if s >= (0,) * len(axes)]
+    here = rows.select(*[F.col(f"x{i}").alias(f"a{i}") for i in range(len(axes))], *[f"c{i}" for i in range(len(axes))], F.col("keys").alias("some"))
+    there = rows.select(
+        *[F.col(f"x{i}").alias(f"b{i}") for i in range(len(axes))], F.col("keys").alias("others"),
+        F.inline(F.array(*[F.struct(*[(F.col(f"c{i}") - F.lit(k)).alias(f"c{i}") for i, k in enumerate(s)], F.lit(not any(s)).alias("same")) for s in steps])),
+    )
+    apart = [(F.col(f"a{i}") - F.col(f"b{i}")) / F.lit(float(u)) for i, u in enumerate(units)]
+    squared = sum((d * d for d in apart), F.lit(0.0))
+    met = here.join(there.hint("merge"), [f"c{i}" for i in range(len(axes))]).where(squared <= cutoff * cutoff)
+    pairs = met.select("same", "others", F.explode("some").alias("a")).select("same", "a", F.explode("others").alias("b"))
+    return pairs.where("not same or a < b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def bloom_mask(df: DataFrame, keys: list[str], item: Column, bits_per_item: int = 6) -> DataFrame:

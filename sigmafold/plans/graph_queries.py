@@ -257,8 +257,8 @@ def isosteric_buckets(spark, sf):
 
 @query("SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_partkey < y.p_partkey WHERE (x.p_size - y.p_size) ** 2 + ((x.p_retailprice - y.p_retailprice) / 10) ** 2 <= 4")
 def near_pairs_within_cutoff(spark, sf):
-    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 10).alias("y"))
-    return G.near_pairs(rows, "p_partkey", ["x", "y"], 2.0)
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    return G.near_pairs(rows, "p_partkey", ["x", "y"], 2.0, [1.0, 10.0])
 
 
 # --- profiles ---------------------------------------------------------------------------------------------
