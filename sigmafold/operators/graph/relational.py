@@ -409,6 +409,14 @@ def bloom_mask(df: DataFrame, keys: list[str], item: Column, bits_per_item: int
     return bits.groupBy(*keys).agg(*[F.bit_or(word(k)).alias(f"w{k}") for k in range(4)])
 
 
+def item_mask(item: Column, bits_per_item: int = 6) -> list[Column]:
+    """The four words of one item's mask, as in ``bloom_mask``."""
+    digest = F.sha2(item.cast("string"), 256)
+    bits = [F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int") for i in range(bits_per_item)]
+    none = F.lit(0).cast("bigint")
+    return [reduce(lambda x, b: x.bitwiseOR(F.when((b / 64).cast("int") == k, F.call_function("shiftleft", F.lit(1).cast("bigint"), b % 64)).otherwise(none)), bits, none) for k in range(4)]
+
+
 def covers(mask: str, query: str) -> Column:
     """Whether the mask has all bits of the query's: the items may be a subset."""
     out = F.lit(True)

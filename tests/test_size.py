@@ -1,6 +1,7 @@
 """What only larger or odd tables showed."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -9,6 +10,18 @@ from sigmafold.operators.graph import relational as G
 from sigmafold.plans import graph_queries
 
 
+def test_screen_finds_all_pairs_and_moves_none(spark, monkeypatch):
+    rng = random.Random(4)
+    bags = {g: Counter(rng.choices(range(9), k=rng.choice([1, 2, 3, 5, 9]))) for g in range(120)}
+    bags |= {g: Counter(rng.choices(range(40), k=60)) for g in range(120, 130)}  # over LISTED kinds
+    rows = spark.createDataFrame([(g, i) for g, bag in bags.items() for i in bag.elements()], "g bigint, i bigint")
+    monkeypatch.setattr(P, "SENT", 40)  # several parts
+    found = P.screen(rows, rows.where("g % 10 = 0"), "g", "i")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(q, c) for q in range(0, 130, 10) for c in sorted(bags) if all(bags[c][i] >= k for i, k in bags[q].items())]
+    assert plan.count("Join") == plan.count("strategy=broadcast")  # no pair is shuffled
+
+
 def test_near_pairs_at_the_cutoff_without_broadcast(spark):
     # 93.01 - 91.01 is over 2 in doubles, (930.1 - 910.1) / 10 is not.
     points = [(1, 3.0, 930.1), (2, 3.0, 910.1), (3, 3.0, 930.1), (4, 5.0, 930.1), (5, 6.0, 930.1), (6, None, 930.1)]
