@@ -10,9 +10,12 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmafold.runtime import materialise
+
 # Magics, versions, header lengths and tags of the formats.
 ROW, TRANSACTION, LOG, STATE, DELTA, JOURNAL, SNAPSHOT, CHECKPOINT = (m.encode() for m in ("MFRW", "MFTX", "MFTL", "MFSG", "MFDE", "MFDJ", "MFTS", "MFST"))
 VERSION = 1
@@ -38,6 +41,12 @@ class Limits:
     log_bytes: int = 256 << 20
 
 
+#: For transactions and logs that are kept in parts: none is gathered, so their size has no limit; that of a row stays.
+IN_PARTS = Limits(mutations=(1 << 63) - 1, transaction_bytes=(1 << 63) - 1, log_bytes=(1 << 63) - 1)
+#: Bytes of a part, about; small, as a reader of Parquet holds 4096 rows at once.
+PART_BYTES = 8 << 10
+
+
 # --- bytes as columns ---------------------------------------------------------------------------------
 
 
@@ -47,9 +56,10 @@ def raw(data: bytes) -> Column:
 
 def le(x: Column, size: int = 8) -> Column:
     """The low ``size`` bytes of a bigint."""
-    digits = F.reverse(F.lpad(F.hex(x.cast("bigint")), 16, "0"))
-    # Reversed digits hold the bytes in order, each with its two digits swapped.
-    return F.unhex(F.regexp_replace(F.substring(digits, 1, 2 * size), "(.)(.)", "$2$1"))
+    high_first = F.decode(F.unhex(F.lpad(F.hex(x.cast("bigint")), 16, "0")), "ISO-8859-1")
+    # One character a byte, so the characters reversed are the bytes reversed.
+    out = F.encode(F.reverse(high_first), "ISO-8859-1")
+    return out if size == 8 else F.substring(out, 1, size)
 
 
 def le_unsigned(x: Column) -> Column:
@@ -216,21 +226,36 @@ def encode_transactions(mutations: DataFrame, schema, namespace: bytes, limits:
     ``mutations`` has source_revision, seq (their order), op, and before_x and after_x for version and
     every column x of the schema.
     """
-    before = encode_row(schema, lambda n: F.col(f"before_{n}"))
-    after = encode_row(schema, lambda n: F.col(f"after_{n}"))
-    sizes = F.greatest(F.when(F.col("op") != "insert", F.octet_length(before)), F.when(F.col("op") != "delete", F.octet_length(after)))
-    images = F.when(F.col("op") == "insert", frame(after)).when(F.col("op") == "delete", frame(before)).when(F.col("op") == "update", F.concat(frame(before), frame(after)))
-    known = F.when(images.isNull(), F.raise_error(F.lit("unknown kind of mutation or null key"))).otherwise(images)
-    kind = F.unhex(F.concat(F.lit("0"), F.when(F.col("op") == "insert", "1").when(F.col("op") == "delete", "2").otherwise("3")))
-    rows = mutations.select("source_revision", "seq", _within(F.concat(kind, known), sizes, limits.row_bytes, "row bytes").alias("bytes"))
+    rows = _mutation_bytes(mutations, schema, limits)
     # A group is one transaction: the limits bound what is gathered.
     sums = rows.groupBy("source_revision").agg(F.count(F.lit(1)).alias("mutations"), F.sum(F.octet_length("bytes")).alias("size"), _joined(F.col("seq"), F.col("bytes")).alias("body"))
-    head = F.concat(raw(TRANSACTION + VERSION.to_bytes(2, "little") + b"\0\0" + namespace + bytes.fromhex(schema.id)), le(F.col("source_revision")), le(F.col("source_revision") + 1), le(F.col("mutations")))
-    body = _within(_within(F.concat(head, F.col("body")), F.col("mutations"), limits.mutations, "mutations"), F.col("size") + 96, limits.transaction_bytes, "transaction bytes")
+    body = _within(_within(F.concat(_transaction_head(schema, namespace), F.col("body")), F.col("mutations"), limits.mutations, "mutations"), F.col("size") + 96, limits.transaction_bytes, "transaction bytes")
     out = sums.select("source_revision", (F.col("source_revision") + 1).alias("target_revision"), "mutations", body.alias("transaction"))
     return out.withColumn("transaction_id", transaction_id(F.col("transaction")))
 
 
+def _transaction_head(schema, namespace: bytes) -> Column:
+    head = raw(TRANSACTION + VERSION.to_bytes(2, "little") + b"\0\0" + namespace + bytes.fromhex(schema.id))
+    return F.concat(head, le(F.col("source_revision")), le(F.col("source_revision") + 1), le(F.col("mutations")))
+
+
+def _mutation_bytes(mutations: DataFrame, schema, limits: Limits) -> DataFrame:
+    """source_revision, seq and the bytes of every mutation."""
+    op = F.col("op")
+    # Each image is made once, and only where the mutation has it.
+    made = mutations.select(
+        "source_revision", "seq", "op",
+        F.when(op != "insert", encode_row(schema, lambda n: F.col(f"before_{n}"))).alias("before"),
+        F.when(op != "delete", encode_row(schema, lambda n: F.col(f"after_{n}"))).alias("after"),
+    )
+    before, after = F.col("before"), F.col("after")
+    sizes = F.greatest(F.octet_length(before), F.octet_length(after))
+    images = F.when(op == "insert", frame(after)).when(op == "delete", frame(before)).when(op == "update", F.concat(frame(before), frame(after)))
+    known = F.when(images.isNull(), F.raise_error(F.lit("unknown kind of mutation or null key"))).otherwise(images)
+    kind = F.unhex(F.concat(F.lit("0"), F.when(F.col("op") == "insert", "1").when(F.col("op") == "delete", "2").otherwise("3")))
+    return made.select("source_revision", "seq", _within(F.concat(kind, known), sizes, limits.row_bytes, "row bytes").alias("bytes"))
+
+
 def transaction_id(data: Column) -> Column:
     return domain_hash("sigmafold-transaction-v1", data)
 
@@ -240,6 +265,15 @@ def read_transaction(schema, namespace: bytes, data: bytes, limits: Limits = Lim
     if len(data) > limits.transaction_bytes:
         raise WireError("over the limit of transaction bytes")
     r = Reader(data)
+    source, n = _read_head(r, schema, namespace, limits)
+    names = {v: k for k, v in OPS.items()}
+    out = [_read_mutation(r, schema, names, limits) for _ in range(n)]
+    r.close("transaction")
+    return source, out
+
+
+def _read_head(r: Reader, schema, namespace: bytes, limits: Limits) -> tuple[int, int]:
+    """(source revision, number of mutations)."""
     r.expect(TRANSACTION + VERSION.to_bytes(2, "little") + b"\0\0", "transaction header")
     r.expect(namespace, "namespace")
     r.expect(bytes.fromhex(schema.id), "schema")
@@ -249,16 +283,16 @@ def read_transaction(schema, namespace: bytes, data: bytes, limits: Limits = Lim
     n = r.number("mutation count")
     if not 0 < n <= limits.mutations:
         raise WireError("over the limit of mutations")
-    names, out = {v: k for k, v in OPS.items()}, []
-    for _ in range(n):
-        op = names.get(r.number("kind of mutation", 1))
-        if op is None:
-            raise WireError("unknown kind of mutation")
-        first = read_row(schema, r.framed("row", limits.row_bytes))
-        second = read_row(schema, r.framed("row", limits.row_bytes)) if op == "update" else None
-        out.append((op, None, first) if op == "insert" else (op, first, second))
-    r.close("transaction")
-    return source, out
+    return source, n
+
+
+def _read_mutation(r: Reader, schema, names: dict, limits: Limits) -> tuple:
+    op = names.get(r.number("kind of mutation", 1))
+    if op is None:
+        raise WireError("unknown kind of mutation")
+    first = read_row(schema, r.framed("row", limits.row_bytes))
+    second = read_row(schema, r.framed("row", limits.row_bytes)) if op == "update" else None
+    return (op, None, first) if op == "insert" else (op, first, second)
 
 
 def decode_transactions(df: DataFrame, data: str, schema, namespace: bytes, limits: Limits = Limits()) -> DataFrame:
@@ -309,6 +343,177 @@ def decode_log(df: DataFrame, data: str, limits: Limits = Limits(), magic: bytes
     return df.select(data).mapInArrow(decode, ddl)
 
 
+# --- transactions and logs in parts ---------------------------------------------------------------------------
+
+
+def encode_transaction_parts(mutations: DataFrame, schema, namespace: bytes, limits: Limits = IN_PARTS) -> DataFrame:
+    """source_revision, part, first, mutations, octets, bytes: the bytes of ``encode_transactions`` in parts, whatever their size.
+
+    Part 0 is the head, with the octets of the whole transaction; every other part holds ``mutations``
+    whole ones, of which ``first`` is the number of the first.  Mutations are dealt out by revision and
+    order, and a part is what a task reads at once, so no task holds a transaction.
+    """
+    rows = _mutation_bytes(mutations.repartitionByRange("source_revision", "seq"), schema, limits)
+    known = F.coalesce("source_revision", F.raise_error(F.lit("no source revision")).cast("bigint")).cast("bigint")
+    ordered = rows.sortWithinPartitions("source_revision", "seq", "bytes").select(known.alias("source_revision"), "bytes")
+
+    def cut(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        place, now, part, first = TaskContext.get().partitionId(), None, 0, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            revision, column = batch.column(0).to_numpy(), batch.column(1).cast(pa.large_binary())
+            at = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: batch.num_rows + 1]
+            block = (at[:-1] - at[0]) // PART_BYTES
+            cuts = [0, *(np.flatnonzero((revision[1:] != revision[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), batch.num_rows]
+            out = []
+            for low, high in zip(cuts, cuts[1:]):
+                if now != revision[low]:
+                    now, part, first = int(revision[low]), 0, 0
+                out.append((place, now, part, first, high - low, column.buffers()[2].slice(at[low], at[high] - at[low]).to_pybytes()))
+                part, first = part + 1, first + high - low
+            yield _emit(out, arrow)
+
+    ddl = "place int, source_revision bigint, part bigint, first bigint, mutations bigint, bytes binary"
+    arrow = _arrow(ddl)
+    parts = materialise(ordered.mapInArrow(cut, ddl), "parts")
+    # What each task wrote of a revision, which has few tasks or few others beside it in its task.
+    of = Window.partitionBy("source_revision").orderBy("place")
+    runs = parts.groupBy("source_revision", "place").agg(F.count(F.lit(1)).alias("n"), F.sum("mutations").alias("m"))
+    runs = runs.select("source_revision", "place", (F.sum("n").over(of) - F.col("n") + 1).alias("parts_before"), (F.sum("m").over(of) - F.col("m")).alias("before"))
+    body = parts.join(F.broadcast(runs), ["source_revision", "place"]).select(
+        "source_revision", (F.col("part") + F.col("parts_before")).alias("part"), (F.col("first") + F.col("before")).alias("first"), "mutations", F.lit(None).cast("bigint").alias("octets"), "bytes"
+    )
+    sums = parts.groupBy("source_revision").agg(F.sum("mutations").alias("mutations"), F.sum(F.octet_length("bytes")).alias("size"))
+    head = _transaction_head(schema, namespace)
+    octets = F.col("size") + F.octet_length(head)
+    head = _within(_within(head, F.col("mutations"), limits.mutations, "mutations"), octets, limits.transaction_bytes, "transaction bytes")
+    none = F.lit(0).cast("bigint")
+    return sums.select("source_revision", none.alias("part"), none.alias("first"), none.alias("mutations"), octets.alias("octets"), head.alias("bytes")).unionByName(body)
+
+
+def digests(parts: DataFrame, key: str, domain: str | None = None) -> DataFrame:
+    """``key``, mutations (where the parts have them), digest: SHA-256 of each key's bytes, in a domain's frame if one is named.
+
+    A digest takes bytes in their order: one task reads a key's parts, one after the other.
+    """
+    counts = "mutations" if "mutations" in parts.columns else F.lit(0).cast("bigint").alias("mutations")
+    rows = parts.select(F.col(key).cast("bigint").alias(key), "part", counts, "octets", "bytes").repartition(key).sortWithinPartitions(key, "part")
+
+    def digest(batches):
+        now = None
+        for batch in batches:
+            for k, part, n, octets, data in zip(*batch.columns):
+                k, part, data = k.as_py(), part.as_py(), data.as_buffer()
+                if part == 0:
+                    if now is not None:
+                        yield closed(now)
+                    size = octets.as_py()
+                    now = [k, 0, size, 0, hashlib.sha256(b"" if domain is None else domain.encode() + b"\0" + size.to_bytes(8, "little"))]
+                if now is None or now[0] != k or now[1] != part:
+                    raise WireError("a part is missing")
+                now[1], now[2], now[3] = part + 1, now[2] - len(data), now[3] + n.as_py()
+                now[4].update(data)
+        if now is not None:
+            yield closed(now)
+
+    def closed(now):
+        if now[2]:
+            raise WireError("parts of another length")
+        return _emit([(now[0], now[3], now[4].hexdigest())], arrow)
+
+    ddl = f"`{key}` bigint, mutations bigint, digest string"
+    arrow = _arrow(ddl)
+    return rows.mapInArrow(digest, ddl)
+
+
+def transaction_ids(parts: DataFrame) -> DataFrame:
+    """source_revision, mutations, transaction_id of every transaction in parts."""
+    return digests(parts, "source_revision", "sigmafold-transaction-v1").withColumnRenamed("digest", "transaction_id")
+
+
+def check_transaction_parts(parts: DataFrame, schema, namespace: bytes, limits: Limits = IN_PARTS) -> None:
+    """Raise unless every transaction has its head, all its parts once, and as many mutations as the head says."""
+
+    def heads(batches):
+        for batch in batches:
+            for revision, data in zip(*[c.to_pylist() for c in batch.columns]):
+                r = Reader(data)
+                source, n = _read_head(r, schema, namespace, limits)
+                r.close("head")
+                if source != revision:
+                    raise WireError("wrong source revision")
+                yield _emit([(revision, n)], arrow)
+
+    ddl = "source_revision bigint, n bigint"
+    arrow = _arrow(ddl)
+    said = parts.where("part = 0").select("source_revision", "bytes").mapInArrow(heads, ddl)
+    of = Window.partitionBy("source_revision").orderBy("part")
+    rows = parts.select("source_revision", "part", "first", "mutations", F.row_number().over(of).alias("k"), (F.sum("mutations").over(of) - F.col("mutations")).alias("before"))
+    ok = (F.col("part") == F.col("k") - 1) & (F.col("first") == F.col("before"))
+    sums = rows.groupBy("source_revision").agg(F.min(F.coalesce(ok, F.lit(False))).alias("ok"), F.sum("mutations").alias("mutations"))
+    bad = sums.join(said, "source_revision", "full_outer").where("not coalesce(ok and n = mutations, false)").select("source_revision").limit(1).collect()
+    if bad:
+        raise WireError(f"parts of transaction {bad[0][0]} are missing or repeat")
+
+
+def decode_transaction_parts(parts: DataFrame, schema, namespace: bytes, limits: Limits = IN_PARTS) -> DataFrame:
+    """The mutations of transactions in parts, as ``decode_transactions`` gives them; each part is read by itself."""
+    check_transaction_parts(parts, schema, namespace, limits)
+    ddl = f"source_revision bigint, seq bigint, op string, {row_fields(schema, 'before_')}, {row_fields(schema, 'after_')}"
+    arrow, none, names = _arrow(ddl), (None,) * (len(schema.columns) + 1), {v: k for k, v in OPS.items()}
+
+    def decode(batches):
+        for batch in batches:
+            for revision, first, n, data in zip(*batch.columns):
+                r, source, at = Reader(data.as_py()), revision.as_py(), first.as_py()
+                found = [_read_mutation(r, schema, names, limits) for _ in range(n.as_py())]
+                r.close("part")
+                yield _emit([(source, at + k, op, *(before or none), *(after or none)) for k, (op, before, after) in enumerate(found)], arrow)
+
+    return parts.where("part > 0").select("source_revision", "first", "mutations", "bytes").mapInArrow(decode, ddl)
+
+
+def encode_log_parts(parts: DataFrame, limits: Limits = IN_PARTS, magic: bytes = LOG) -> DataFrame:
+    """position, part, bytes: the bytes of ``encode_log`` in parts, those of each transaction and its frame; position -1 is the log's head."""
+    entries = parts.where("part = 0").select("source_revision", "octets")
+    sums = entries.agg(F.count(F.lit(1)).alias("entries"), (F.coalesce(F.sum(F.col("octets") + 8), F.lit(0)) + 14).alias("size"))
+    head = F.concat(raw(magic + VERSION.to_bytes(2, "little")), le(F.col("entries")))
+    head = _within(_within(head, F.col("entries"), limits.log_entries, "log entries"), F.col("size"), limits.log_bytes, "log bytes")
+    top = sums.select(F.lit(-1).cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("part"), head.alias("bytes"))
+    # One row for each entry, of which a log has a limited number.
+    placed = entries.select("source_revision", (F.row_number().over(Window.orderBy("source_revision")) - 1).cast("bigint").alias("position"))
+    framed = F.when(F.col("part") == 0, F.concat(le(F.col("octets")), F.col("bytes"))).otherwise(F.col("bytes"))
+    return top.unionByName(parts.join(F.broadcast(placed), "source_revision").select("position", "part", framed.alias("bytes")))
+
+
+def decode_log_parts(log: DataFrame, limits: Limits = IN_PARTS, magic: bytes = LOG) -> DataFrame:
+    """position, part, octets, bytes of all entries of a log in parts, without their frames; a log that isn't whole raises."""
+    top = log.where("position = -1").select("part", "bytes").limit(2).collect()
+    if len(top) != 1 or top[0].part:
+        raise WireError("wrong log header")
+    r = Reader(bytes(top[0].bytes))
+    r.expect(magic + VERSION.to_bytes(2, "little"), "log header")
+    n = r.number("entry count")
+    r.close("log header")
+    if n > limits.log_entries:
+        raise WireError("over the limit of log entries")
+    first, size = F.col("part") == 0, F.octet_length("bytes")
+    frame_of = F.when(first & (size >= 8), sum((F.conv(F.hex(F.substring("bytes", i + 1, 1)), 16, 10).cast("bigint") * F.lit(1 << (8 * i)) for i in range(7)), F.lit(0).cast("bigint")))
+    rows = log.where("position <> -1").select("position", "part", size.alias("size"), frame_of.alias("frame"))
+    sums = rows.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts"), F.min("part").alias("low"), F.max("part").alias("high"), F.sum("size").alias("size"), F.max("frame").alias("frame"))
+    whole = F.expr("low = 0 and high = n - 1 and parts = n and size = frame + 8")
+    seen = sums.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.min("position"), F.lit(0)).alias("low"), F.coalesce(F.max("position"), F.lit(-1)).alias("high"), F.coalesce(F.min(F.coalesce(whole, F.lit(False))), F.lit(True)).alias("whole"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    if not seen.whole or (seen.n, seen.low, seen.high) != (n, 0, n - 1):
+        raise WireError("entries of the log are missing or repeat")
+    if seen["size"] + 14 > limits.log_bytes:
+        raise WireError("over the limit of log bytes")
+    return log.where("position <> -1").select("position", "part", frame_of.alias("octets"), F.when(first, F.expr("substring(bytes, 9)")).otherwise(F.col("bytes")).alias("bytes"))
+
+
 # --- compact states, deltas, journals ---------------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sigmafold.functions.fields import PrimeField
 from sigmafold.operators import codecs, laws
-from sigmafold.runtime import materialise
+from sigmafold.runtime import materialise, release
 
 KEY_DOMAIN = "sigmafold-row-key-v1"
 
@@ -243,34 +243,54 @@ class RevisionedTable:
     def rows(self) -> DataFrame:
         return self.versions.table("rows")
 
-    def _mutations(self, data: bytes) -> tuple[str, int, DataFrame]:
-        """(transaction id, source revision, mutations); namespace, schema and limits are checked on the way."""
-        source, _ = codecs.read_transaction(self.schema, self.namespace, data, self.limits)
-        one = self.spark.createDataFrame([(bytearray(data),)], "transaction binary")
-        found = codecs.decode_transactions(one, "transaction", self.schema, self.namespace, self.limits)
+    def _checked(self, found: DataFrame) -> DataFrame:
+        """Mutations with their key; an update of a key raises."""
         for k in self.schema.key:
             found = found.withColumn(k, F.coalesce(f"before_{k}", f"after_{k}"))
         moved = F.lit(False)
         for k in self.schema.key:
             moved = moved | ~F.col(f"before_{k}").eqNullSafe(F.col(f"after_{k}"))
         _require_empty(found.where((F.col("op") == "update") & moved).select("seq"), "a key is updated")
-        return hashlib.sha256(b"sigmafold-transaction-v1\0" + len(data).to_bytes(8, "little") + data).hexdigest(), source, found
+        return found
 
-    def replay(self, transactions: list[bytes]) -> Report:
-        """Apply a log's transactions in order, all or none.
+    def _listed(self, transactions: list[bytes]):
+        """(transaction id, source revision, mutations, nothing to release); namespace, schema and limits are checked on the way."""
+        for data in transactions:
+            source, _ = codecs.read_transaction(self.schema, self.namespace, data, self.limits)
+            one = self.spark.createDataFrame([(bytearray(data),)], "transaction binary")
+            found = self._checked(codecs.decode_transactions(one, "transaction", self.schema, self.namespace, self.limits))
+            yield hashlib.sha256(b"sigmafold-transaction-v1\0" + len(data).to_bytes(8, "little") + data).hexdigest(), source, lambda found=found: (found, [])
+
+    def _in_parts(self, parts: DataFrame):
+        """The same for transactions in parts, by revision; only one that is applied is read whole."""
+        codecs.check_transaction_parts(parts, self.schema, self.namespace, self.limits)
+        # At most a log's entries.
+        for r in codecs.transaction_ids(parts).orderBy("source_revision").collect():
+
+            def found(source=r.source_revision):
+                mine = codecs.decode_transaction_parts(parts.where(F.col("source_revision") == source), self.schema, self.namespace, self.limits)
+                kept = materialise(mine, "mutations")
+                return self._checked(kept), [kept]
+
+            yield r.transaction_id, r.source_revision, found
+
+    def replay(self, transactions: list[bytes] | DataFrame) -> Report:
+        """Apply a log's transactions in order, all or none; as bytes, or in parts (see ``codecs.encode_transaction_parts``) whatever their size.
 
         A transaction that was applied before is passed over; one that expects another revision raises.
         """
         known = {r.transaction_id for r in self.versions.table("applied").collect()}  # at most a log's entries
-        revision, rows, ids = self.revision, self.rows(), []
+        revision, rows, ids, skipped = self.revision, self.rows(), [], 0
         images = ["version", *[n for n, _ in self.schema.columns if n not in self.schema.key]]
-        for data in transactions:
-            name, source, mutations = self._mutations(data)
+        for name, source, found in self._in_parts(transactions) if isinstance(transactions, DataFrame) else self._listed(transactions):
             if name in known:
+                skipped += 1
                 continue
             if source != revision:
                 raise ConflictError(f"a transaction expects revision {source}, the table has {revision}")
+            mutations, done = found()
             rows = materialise(apply_transaction(rows, mutations, list(self.schema.key), images), "candidate")
+            release(*done)
             known.add(name)
             ids.append((name, revision + 1))
             revision += 1
@@ -279,7 +299,7 @@ class RevisionedTable:
         if ids:
             more = self.spark.createDataFrame(ids, "transaction_id string, revision bigint")
             self.versions.commit(revision, {"rows": rows.select("version", *[n for n, _ in self.schema.columns]), "applied": self.versions.table("applied").unionByName(more).coalesce(1)})
-        return Report(len(ids), len(transactions) - len(ids), revision)
+        return Report(len(ids), skipped, revision)
 
     def apply(self, data: bytes) -> Report:
         """Apply one transaction."""

@@ -124,7 +124,9 @@ _TX_DOMAIN = (b"sigmafold-transaction-v1" + bytes(1)).hex()
 
 @query(f"{_TX} SELECT source_revision, source_revision + 1 AS target_revision, mutations, sha256(unhex('{_TX_DOMAIN}' || {_frame('h')})) AS transaction_id FROM t")
 def transaction_codec(spark, sf):
-    return codecs.encode_transactions(_mutations(spark, sf, 20), ORDER, SPACE).drop("transaction")
+    """Ids of twenty transactions, which grow with the table and are kept in parts."""
+    ids = codecs.transaction_ids(codecs.encode_transaction_parts(_mutations(spark, sf, 20), ORDER, SPACE))
+    return ids.select("source_revision", (F.col("source_revision") + 1).alias("target_revision"), "mutations", "transaction_id")
 
 
 @query(
