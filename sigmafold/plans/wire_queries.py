@@ -135,8 +135,7 @@ def transaction_codec(spark, sf):
 )
 def transaction_decode(spark, sf):
     """Mutations to bytes and back."""
-    coded = codecs.encode_transactions(_mutations(spark, sf, 20), ORDER, SPACE)
-    found = codecs.decode_transactions(coded, "transaction", ORDER, SPACE)
+    found = codecs.decode_transaction_parts(codecs.encode_transaction_parts(_mutations(spark, sf, 20), ORDER, SPACE), ORDER, SPACE)
     return found.select("source_revision", "op", F.coalesce("before_o_orderkey", "after_o_orderkey").alias("o_orderkey"), F.coalesce("before_o_orderstatus", "after_o_orderstatus").alias("o_orderstatus"), "before_o_custkey", "after_o_custkey", "seq")
 
 
