@@ -142,8 +142,8 @@ def transaction_decode(spark, sf):
 @query(f"{_TX} SELECT row_number() OVER (ORDER BY source_revision) - 1 AS position, sha256(unhex(h)) AS entry_hash FROM t")
 def log_codec(spark, sf):
     """All transactions as one log's bytes, and the entries read back."""
-    log = codecs.encode_log(codecs.encode_transactions(_mutations(spark, sf, 20), ORDER, SPACE))
-    return codecs.decode_log(log, "log").select("position", F.sha2("entry", 256).alias("entry_hash"))
+    log = codecs.encode_log_parts(codecs.encode_transaction_parts(_mutations(spark, sf, 20), ORDER, SPACE))
+    return codecs.digests(codecs.decode_log_parts(log), "position").select("position", F.col("digest").alias("entry_hash"))
 
 
 @query(
