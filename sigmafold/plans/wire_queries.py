@@ -152,9 +152,8 @@ def log_codec(spark, sf):
 def revisioned_table_replay(spark, sf):
     """A table in a folder after a log of three transactions, which is then delivered again and changes nothing."""
     mutations = materialise(_mutations(spark, sf, 3), "mutations")
-    coded = codecs.encode_transactions(mutations, ORDER, SPACE).orderBy("source_revision")
-    log = [bytes(r["transaction"]) for r in coded.select("transaction").collect()]  # a log within its limit of bytes
-    store = tables.RevisionedTable(spark, scratch_path(spark, "revisions"), ORDER, SPACE)
+    log = materialise(codecs.encode_transaction_parts(mutations, ORDER, SPACE), "log")
+    store = tables.RevisionedTable(spark, scratch_path(spark, "revisions"), ORDER, SPACE, codecs.IN_PARTS)
     store.create(mutations.where("op <> 'insert'").select("before_version", *[f"before_{n}" for n, _ in ORDER.columns]).toDF("version", *[n for n, _ in ORDER.columns]))
     for again in (False, True):
         report = store.replay(log)
