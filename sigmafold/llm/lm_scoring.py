@@ -4,7 +4,9 @@ The model predicts the class of the next subword from the subwords before it: on
 numpy.  Every partition trains it on all its training texts, round by round, and the partitions' weights
 are averaged after each.  A class is a set of subwords that keep the same company and that all begin a
 word or all go on with one; company, ranks and how likely a subword is within its class come from the
-whole training corpus.  Texts are scored in overlapping windows: each window reads CONTEXT ids again and
+whole training corpus.  The layer first tells whether a word begins or goes on, then which class of that
+kind comes.  Every text is encoded once; whatever follows reads its ids, by which words are told apart,
+as different words have different ids.  Texts are scored in overlapping windows: each window reads CONTEXT ids again and
 scores the next STRIDE, so every id is scored once.
 
 The chances of the next subword sum to one over the vocabulary.  A word's chance, given that a word or
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigmafold.llm.language_id import held_out
-from sigmafold.llm.token_ids import PieceEncoder, slices
+from sigmafold.llm.token_ids import PieceEncoder, WordMemory, gathered, keep_freed, slices
 from sigmafold.runtime import materialise, release
 
 WIDTH = 16
@@ -33,6 +35,8 @@ LENGTH = CONTEXT + STRIDE
 #: Classes of subwords that begin a word and of those that don't; then rare and unseen subwords of both kinds.
 BEGINNING, INNER, RARE_CLASSES = 56, 36, 4
 CLASSES = BEGINNING + INNER
+#: Columns of the layer's scores: classes that begin a word, whether one begins, classes that don't.
+KIND, COLUMNS = BEGINNING + RARE_CLASSES // 2, CLASSES + RARE_CLASSES + 1
 #: Subwords with an embedding of their own, by frequency; the others share that of their class.
 EMBEDDED = 4096
 CLUSTERED = 1500
@@ -47,11 +51,15 @@ REMEMBERED = 300_000
 #: Windows that are scored at once.
 WINDOWS = 96
 #: Words whose counts every executor knows; the counts of all others are joined.
-FREQUENT = 150_000
+FREQUENT = 400_000
 FREQUENT_BYTES = 48
 #: Part of a word's probability that comes from its share of the training corpus; the rest is the network's.
 WORD_PART = 0.7
 _GROUP, _GROUP_BYTES = 512, 1 << 22
+#: Rows and bytes of text that are encoded at once: more, as words that repeat are looked up once.
+_ENCODED, _ENCODED_BYTES = 2048, 1 << 23
+#: Rows that are scored at once.
+_JUDGED = 1024
 _LOG10 = 2.302585092994046
 
 
@@ -61,10 +69,9 @@ def words_of(texts):
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    low = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
-    spaced = pc.utf8_trim(pc.replace_substring_regex(low, "[\t-\r ]+", " "), characters=" ")
-    lists = pc.split_pattern(spaced, " ")
-    some = pc.not_equal(spaced, "")
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    lists = pc.ascii_split_whitespace(low)
+    some = pc.not_equal(low, "")
     counts = np.where(some.to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False), 0)
     return pc.list_flatten(lists.filter(some)), counts.astype(np.int64)
 
@@ -106,8 +113,40 @@ def _gathered(sums: DataFrame, size: int, kind: str):
     return out
 
 
-def count_subwords(words: DataFrame, tokenizer: str, group_of, follower_of):
-    """Counts over the words (word, n): of each subword (an array of the vocabulary's size), and of each
+def spell(words: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, n) with the subword ids of each word, two bytes each, in place of its letters."""
+
+    def encode(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        encoder = PieceEncoder.of(tokenizer, REMEMBERED)
+        for batch in batches:
+            ids, before = WordMemory.of(encoder).ids_of(batch.column(0))
+            yield pa.RecordBatch.from_arrays([_binary(np.ascontiguousarray(ids, np.uint16), 2 * before), batch.column(1)], names=["word", "n"])
+
+    return words.select("word", "n").mapInArrow(encode, "word binary, n bigint")
+
+
+def _binary(data, offsets):
+    """An Arrow array of the bytes of ``data`` between ``offsets``."""
+    import numpy as np
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+
+
+def _flat(column):
+    """The bytes of an Arrow binary array end to end, and where each value begins in them (with the total as one more)."""
+    import numpy as np
+
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def count_subwords(words: DataFrame, group_of, follower_of):
+    """Counts over spelt words (word, n): of each subword (an array of the vocabulary's size), and of each
     follower behind each group of subwords within a word (GROUPS x FOLLOWERS)."""
     import numpy as np
 
@@ -116,9 +155,10 @@ def count_subwords(words: DataFrame, tokenizer: str, group_of, follower_of):
     def count(batches):
         import pyarrow as pa
 
-        encoder, total, behind = PieceEncoder.of(tokenizer, REMEMBERED), np.zeros(size), np.zeros(GROUPS * FOLLOWERS)
+        total, behind = np.zeros(size), np.zeros(GROUPS * FOLLOWERS)
         for batch in batches:
-            ids, before = encoder.ids_at(encoder.places([" " + w for w in batch.column(0).to_numpy(zero_copy_only=False).tolist()]))
+            data, before = _flat(batch.column(0))
+            ids, before = np.frombuffer(data.tobytes(), np.uint16), before // 2
             weight = np.repeat(batch.column(1).to_numpy(), np.diff(before))
             total += np.bincount(ids, weight, size)
             inside = np.ones(len(ids), bool)
@@ -144,8 +184,7 @@ def encode_texts(texts, encoder: PieceEncoder, end: int):
 
     words, counts = words_of(texts)
     coded = words.dictionary_encode()
-    known = encoder.places([" " + w for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
-    ids, before = encoder.ids_at(known[coded.indices.to_numpy()])
+    ids, before = gathered(*WordMemory.of(encoder).ids_of(coded.dictionary), coded.indices.to_numpy())
     stops = before[np.cumsum(counts)]
     ends = np.arange(1, len(stops) + 1)
     return np.insert(ids, stops, np.uint16(end)), np.concatenate([[0], stops + ends]), coded, counts, before[:-1] + np.repeat(ends - 1, counts)
@@ -166,9 +205,10 @@ def windows(starts, stride: int = STRIDE, context: int = CONTEXT):
 
 @dataclass
 class CausalModel:
-    """Class and embedding row of every subword, its log share of the class, which classes begin a word, and the layer's weights."""
+    """Column and embedding row of every subword, its log share of the class, and the layer's weights."""
 
     class_of: object
+    column_of: object
     row_of: object
     log_share: object
     group_of: object
@@ -176,7 +216,6 @@ class CausalModel:
     log_behind: object
     log_behind_other: object
     spaced: object
-    begins: object
     weights: list
 
     @property
@@ -194,22 +233,33 @@ class CausalModel:
 
         place, _ = windows(starts)
         # A last entry stands for every place outside a text.
-        row = np.append(self.row_of[ids], self.blank).astype(np.int32)
-        label = np.append(self.class_of[ids], 0).astype(np.int32)
+        row = np.append(self.row_of[ids], np.int16(self.blank))
+        column = np.append(self.column_of[ids], np.int16(-1))
         out, begins = np.append(self.log_shares(ids, starts), 0.0), np.zeros(len(ids) + 1)
-        sums = np.stack([np.ones(len(self.begins)), self.begins], 1).astype(np.float32)
         for at in range(0, len(place), WINDOWS):
             part = place[at : at + WINDOWS]
-            z = self.forward(row[part[:, :-1]], CONTEXT)[0].reshape(len(part) * STRIDE, -1)
+            squashed, _ = self.forward(row.take(part[:, :-1]), CONTEXT)
+            # Every id is the target of one window.
             target = part[:, CONTEXT + 1 :].ravel()
-            picked = z[np.arange(len(z)), label[target]]
-            np.exp(z, out=z)
-            norm = np.log(z @ sums)
-            # Every id is the target of one window; what falls outside adds to the last entry alone.
-            out[target] += picked - norm[:, 0]
-            begins[target] = norm[:, 1] - norm[:, 0]
+            for mine, wanted, span, kind in self.heads(column.take(target)):
+                z = squashed.take(mine, 0) @ self.weights[4][:, span]
+                to, sign = target.take(mine), z[:, kind].copy()
+                # Logs of the chances that a word begins and that it goes on.
+                beginning = -np.log1p(np.exp(-sign))
+                picked = z[np.arange(len(z)), wanted]
+                np.exp(z, out=z)
+                out[to] += picked - np.log(z @ _classes(kind, z.shape[1])) + (beginning if kind else beginning - sign)
+                begins[to] = beginning
         return out[:-1], begins[:-1]
 
+    def heads(self, columns):
+        """For each kind of class: where ``columns`` are of it, columns in its span of the scores, that span, and which column of it is for the kind itself."""
+        import numpy as np
+
+        for span, kind, mine in ((slice(0, KIND + 1), KIND, (columns >= 0) & (columns < KIND)), (slice(KIND, COLUMNS), 0, columns > KIND)):
+            at = np.flatnonzero(mine)
+            yield at, columns.take(at) - span.start, span, kind
+
     def log_shares(self, ids, starts):
         """Log share of each subword in its class, given the subword before it if both are of one word."""
         import numpy as np
@@ -228,68 +278,108 @@ class CausalModel:
         return out
 
     def forward(self, rows, skip: int = 0):
-        """Class scores after each place of a window; logits stay small, so no maximum is taken off."""
+        """What the layer knows at each place of a window from ``skip`` on (with a one behind it); logits stay small, so no maximum is taken off."""
         import numpy as np
 
-        embed, position, bilinear, mix, out, bias = self.weights
-        x = np.empty((*rows.shape, WIDTH + 1), np.float32)  # a one behind the values sums the attention along with them
-        x[..., :WIDTH] = embed[rows]
-        x[..., :WIDTH] += position
-        x[..., WIDTH] = 1
-        values = x[..., :WIDTH]
-        y = np.matmul(values, bilinear)
-        scores = np.matmul(y, values.transpose(0, 2, 1))
-        np.minimum(scores, 30, out=scores)
+        embed, position, bilinear, mix, _ = self.weights
+        x = embed.take(rows, 0)
+        x += position
+        # The values turned, and a one below each.
+        turned = np.empty((len(rows), WIDTH + 1, rows.shape[1]), np.float32)
+        turned[:, :WIDTH] = x.transpose(0, 2, 1)
+        turned[:, WIDTH] = 1
+        y = (x.reshape(-1, WIDTH) @ bilinear).reshape(x.shape)
+        scores = np.matmul(y[:, skip:], turned[:, :WIDTH])
+        np.minimum(scores, _most(len(rows))[:, skip:], out=scores)
         np.exp(scores, out=scores)
-        scores *= _MASK()
-        sums = np.matmul(scores, x)
-        norm = sums[..., WIDTH:]
-        seen = sums[..., :WIDTH] / norm
-        squashed = np.ones((len(rows), rows.shape[1] - skip, WIDTH + 1), np.float32)
-        np.tanh(values[:, skip:] + np.matmul(seen[:, skip:], mix), out=squashed[..., :WIDTH])
-        z = squashed.reshape(-1, WIDTH + 1) @ np.vstack([out, bias])
-        return z.reshape(*squashed.shape[:2], -1), (values, y, scores, norm, seen, squashed[..., :WIDTH])
+        norm = _across(scores.reshape(-1, rows.shape[1]) @ np.ones(rows.shape[1], np.float32))
+        seen = np.matmul(scores, x).reshape(-1, WIDTH)
+        seen /= norm
+        inner = seen @ mix
+        inner += x[:, skip:].reshape(-1, WIDTH)
+        squashed = np.ones((len(inner), WIDTH + 1), np.float32)
+        squashed[:, :WIDTH] = np.tanh(inner, out=inner)
+        return squashed, (x, turned, y, scores, norm, seen, inner)
+
+
+def _across(column, width: int = WIDTH):
+    """``column`` in so many columns: arrays of one shape are multiplied faster than a column is spread along."""
+    return column.repeat(width).reshape(-1, width)
 
 
-_mask = None
+_limits = None
 
 
-def _MASK():
-    """A place sees itself and what is before it."""
-    global _mask
-    if _mask is None:
+def _most(n: int):
+    """The most that an attention score may be in ``n`` windows: a place sees itself and what is before it."""
+    global _limits
+    if _limits is None or len(_limits) < n:
         import numpy as np
 
-        _mask = np.tril(np.ones((LENGTH, LENGTH), np.float32))
-    return _mask
+        limits = np.where(np.tril(np.ones((LENGTH, LENGTH), bool)), 30, -1e4).astype(np.float32)
+        _limits = np.tile(limits, (max(n, BATCH, WINDOWS), 1, 1))
+    return _limits[:n]
+
+
+def _classes(kind: int, n: int):
+    """Ones for the columns, of ``n``, that are classes."""
+    import numpy as np
+
+    ones = np.ones(n, np.float32)
+    ones[kind] = 0
+    return ones
+
 
+def _gradients(model: CausalModel, rows, columns):
+    """Gradients of one batch of windows (mean over the scored ids): of each place's embedding, and of the other weights.
 
-def _gradients(model: CausalModel, rows, target, valid):
-    """Loss and gradients of one batch of windows (mean over the scored ids)."""
+    ``columns``: that of the id that comes behind each place, -1 outside a text.
+    """
     import numpy as np
 
-    embed, position, bilinear, mix, out, _ = model.weights
-    z, (x, y, scores, norm, seen, squashed) = model.forward(rows)
-    dz = np.exp(z, out=z).reshape(-1, z.shape[2])
-    dz /= dz.sum(1, keepdims=True)
-    place, wanted, scored = np.arange(len(dz)), target.ravel(), (valid / max(1, valid.sum())).ravel()
-    loss = -(np.log(dz[place, wanted] + 1e-12) * scored).sum()
-    dz[place, wanted] -= 1
-    flat = dz * scored[:, None]
-    d_out, d_bias = squashed.reshape(-1, WIDTH).T @ flat, flat.sum(0)
-    dh = (flat @ out.T).reshape(x.shape) * (1 - squashed**2)
-    d_mix = seen.reshape(-1, WIDTH).T @ dh.reshape(-1, WIDTH)
-    d_seen = (dh.reshape(-1, WIDTH) @ mix.T).reshape(x.shape)
-    share = scores / norm
-    dx = dh + np.matmul(share.transpose(0, 2, 1), d_seen)
-    d_share = np.matmul(d_seen, x.transpose(0, 2, 1))
-    d_score = share * (d_share - (share * d_share).sum(2, keepdims=True))
-    dy = np.matmul(d_score, x)
-    dx += np.matmul(d_score.transpose(0, 2, 1), y.reshape(x.shape)) + (dy.reshape(-1, WIDTH) @ bilinear.T).reshape(x.shape)
-    d_bilinear = x.reshape(-1, WIDTH).T @ dy.reshape(-1, WIDTH)
-    flat_dx = dx.reshape(-1, WIDTH)
-    d_embed = np.stack([np.bincount(rows.ravel(), flat_dx[:, k], len(embed)) for k in range(WIDTH)], 1).astype(np.float32)
-    return loss, [d_embed, dx.sum(0), d_bilinear, d_mix, d_out, d_bias]
+    _, _, bilinear, mix, out = model.weights
+    squashed, (x, turned, y, scores, norm, seen, inner) = model.forward(rows)
+    part = np.float32(1 / max(1, np.count_nonzero(columns >= 0)))
+    heads = list(model.heads(columns))
+    # Rows lie by kind; a last one, of zeros, is for places outside a text.
+    dh, d_out, at = np.zeros((len(seen) + 1, WIDTH), np.float32), np.zeros_like(out), 0
+    place = np.full(len(seen), len(seen))
+    for mine, wanted, span, kind in heads:
+        own, head, back = squashed.take(mine, 0), out[:, span], dh[at : at + len(mine)]
+        place[mine] = np.arange(at, at + len(mine))
+        at += len(mine)
+        z = own @ head
+        chance = 1 / (1 + np.exp(-z[:, kind]))
+        np.exp(z, out=z)
+        # The gradient of a row of scores, times what its classes sum to; that is made up for where rows are short.
+        sums = z @ _classes(kind, z.shape[1])
+        z[:, kind] = sums * (chance - 1 if kind else chance)
+        z[np.arange(len(z)), wanted] -= sums
+        sums = _across(part / sums, WIDTH + 1)
+        own *= sums
+        d_out[:, span] += own.T @ z
+        np.matmul(z, head[:WIDTH].T, out=back)
+        back *= sums[:, :WIDTH]
+    dh = dh.take(place, 0)
+    np.multiply(inner, inner, out=inner)
+    dh *= np.subtract(1, inner, out=inner)
+    d_mix = seen.T @ dh
+    d_seen = dh @ mix.T
+    d_seen /= norm
+    # The attention's own gradient: what a place would gain beyond the mean of all that are seen.
+    less = np.empty((*rows.shape, WIDTH + 1), np.float32)
+    less[..., :WIDTH] = d_seen.reshape(x.shape)
+    less[..., WIDTH] = -np.einsum("ij,ij->i", d_seen, seen).reshape(rows.shape)
+    d_score = np.matmul(less, turned)
+    d_score *= scores
+    d_seen = d_seen.reshape(x.shape)
+    dy = np.matmul(d_score, x).reshape(-1, WIDTH)
+    dx = np.matmul(scores.transpose(0, 2, 1), d_seen)
+    dx += np.matmul(d_score.transpose(0, 2, 1), y)
+    dx = dx.reshape(-1, WIDTH)
+    dx += dh
+    dx += dy @ bilinear.T
+    return dx, [dx.reshape(x.shape).sum(0), x.reshape(-1, WIDTH).T @ dy, d_mix, d_out]
 
 
 def top_subwords(counts):
@@ -309,22 +399,20 @@ def _company(ids, starts, top, size: int):
     """The numbers of ``company_of``, a row for each kind of neighbour."""
     import numpy as np
 
-    place = np.full(size, -1)
-    place[top] = np.arange(len(top))
     width = max(1, min(400, len(top)))
-    inside = np.ones(len(ids), bool)
-    inside[starts[1:-1]] = False  # the first id of a text has no id before it
     company = np.zeros((6, len(top) * width))
+    # As one of the pair, and as its neighbour; others, and the six places that part texts, are far below zero.
+    one, two = np.full((2, size), -(1 << 29), np.int32)
+    one[top] = np.arange(len(top)) * width
+    two[top[:width]] = np.arange(min(width, len(top)))
+    if not len(top):
+        return company
+    at = np.arange(len(ids)) + np.repeat(6 * np.arange(len(starts) - 1), np.diff(starts))
+    a, b = np.full((2, len(ids) + 6 * len(starts)), -(1 << 29), np.int32)
+    a[at], b[at] = one[ids], two[ids]
     for k, gap in enumerate((1, 2, 6)):
-        if len(ids) <= gap:
-            continue
-        a, b = place[ids[:-gap]], place[ids[gap:]]
-        near = np.ones(len(a), bool)
-        for g in range(gap):
-            near &= inside[gap - g : len(ids) - g]
-        for half, (one, two) in enumerate(((a, b), (b, a))):
-            ok = near & (one >= 0) & (two >= 0) & (two < width)
-            company[2 * k + half] += np.bincount(one[ok] * width + two[ok], minlength=company.shape[1])
+        for half, cell in enumerate((a[:-gap] + b[gap:], a[gap:] + b[:-gap])):
+            company[2 * k + half] += np.bincount(cell[cell >= 0], minlength=company.shape[1])
     return company
 
 
@@ -337,8 +425,8 @@ def count_company(encoded: DataFrame, top, size: int):
 
         total = 0.0
         for batch in batches:
-            for part in _groups(batch):
-                total = total + _company(*_decoded(part.column(0)), top, size)
+            for part in slices([batch], 0, _ENCODED, _ENCODED_BYTES):
+                total += _company(*_decoded(part.column(0)), top, size)
         flat = np.ravel(total)
         seen = np.flatnonzero(flat)
         # A row of the table is all that a subword has: its six kinds of neighbours side by side.
@@ -400,28 +488,53 @@ def ranked_groups(counts):
 
 
 class _Adam:
-    """Steps of a model's weights by running means of the gradients and of their squares."""
+    """Steps of a model's weights by running means of the gradients and of their squares; embeddings that a batch doesn't read rest."""
 
     def __init__(self, model: CausalModel):
         import numpy as np
 
         self.model, self.n = model, 0
+        model.weights[:] = [w.copy() for w in model.weights]
         self.first, self.second = [np.zeros_like(w) for w in model.weights], [np.zeros_like(w) for w in model.weights]
 
-    def step(self, row, label, part, rate: float) -> None:
-        """One step on the windows ``part``, places in ``row`` and ``label`` (whose last entry is outside all texts)."""
+    def step(self, row, column, part, rate: float) -> None:
+        """One step on the windows ``part``, places in ``row`` and ``column`` (whose last entry is outside all texts)."""
         import numpy as np
 
         self.n += 1
-        target = part[:, 1:]
-        _, grads = _gradients(self.model, row[part[:, :-1]], label[target], (target >= 0).astype(np.float32))
-        for i, g in enumerate(grads):
-            first, second = self.first[i], self.second[i]
-            first *= 0.9
-            first += 0.1 * g
-            second *= 0.99
-            second += 0.01 * g * g
-            self.model.weights[i] = (self.model.weights[i] - rate * (first / (1 - 0.9**self.n)) / (np.sqrt(second / (1 - 0.99**self.n)) + 1e-8)).astype(np.float32)
+        rows = row.take(part[:, :-1])
+        each, grads = _gradients(self.model, rows, column.take(part[:, 1:]).ravel())
+        # The sum of each embedding's gradients, by their order.
+        rows = rows.ravel()
+        order = np.argsort(rows, kind="stable")
+        rows = rows.take(order)
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        self._update(0, rows.take(first), np.add.reduceat(each.take(order, 0), first, 0), rate)
+        for i, g in enumerate(grads, 1):
+            self._update(i, None, g, rate)
+
+    def _update(self, i: int, rows, g, rate: float) -> None:
+        import numpy as np
+
+        weights = kept = [self.model.weights[i], self.first[i], self.second[i]]
+        if rows is not None:
+            weights = [w.take(rows, 0) for w in kept]
+        own, first, second = weights
+        first *= np.float32(0.9)
+        first += np.float32(0.1) * g
+        second *= np.float32(0.99)
+        g = g * g
+        g *= np.float32(0.01)
+        second += g
+        size = np.multiply(second, np.float32(1 / (1 - 0.99**self.n)), out=g)
+        np.sqrt(size, out=size)
+        size += np.float32(1e-8)
+        step = np.divide(first, size, out=size)
+        step *= np.float32(rate / (1 - 0.9**self.n))
+        own -= step
+        if rows is not None:
+            for w, new in zip(kept, weights):
+                w[rows] = new
 
 
 def prepare(counts, behind, group_of, follower_of, spaced, company, seed: int = 3) -> CausalModel:
@@ -442,13 +555,18 @@ def prepare(counts, behind, group_of, follower_of, spaced, company, seed: int =
     log_share = np.log((counts + 0.5) / (of_class + 0.5 * members)[class_of])
     rank = np.empty(len(counts), np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    row_of = np.where(rank < EMBEDDED, rank, EMBEDDED + class_of)
+    row_of = np.where(rank < EMBEDDED, rank, EMBEDDED + class_of).astype(np.int16)
     rows = EMBEDDED + n_classes + 1
-    shapes = [(rows, WIDTH), (LENGTH, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (WIDTH, n_classes), (n_classes,)]
-    scale = [0.3, 0.1, 0.1, 0.25, 0.25, 0]
+    # Clusters of either kind, and the rare classes, which take turns.
+    column = np.concatenate([np.arange(BEGINNING), KIND + 1 + np.arange(INNER), *zip(range(BEGINNING, KIND), range(KIND + 1 + INNER, COLUMNS))])
+    shapes = [(rows, WIDTH), (LENGTH, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (WIDTH + 1, COLUMNS)]
+    scale = [0.3, 0.1, 0.1, 0.25, 0.25]
     weights = [(rng.standard_normal(s) * k).astype(np.float32) for s, k in zip(shapes, scale)]
-    weights[4][:, empty] = 0
-    weights[5] = np.where(empty, -60.0, np.log((of_class + 1) / (of_class + 1).sum())).astype(np.float32)
+    out = weights[4]
+    out[:, column[empty]] = 0
+    # The last row is the bias: of a class its share, of the kind how much more often a word begins than goes on.
+    out[WIDTH, column] = np.where(empty, -60.0, np.log((of_class + 1) / (of_class + 1).sum()))
+    out[WIDTH, KIND] = np.log((of_class[column < KIND].sum() + 1) / (of_class[column > KIND].sum() + 1))
     # Shares behind a group: what was counted, and PRIOR parts of the class's own shares.
     followers = np.flatnonzero(follower_of >= 0)
     followers = followers[np.argsort(follower_of[followers])]
@@ -459,46 +577,101 @@ def prepare(counts, behind, group_of, follower_of, spaced, company, seed: int =
     by_class = np.stack([np.bincount(classes, b, n_classes) for b in behind]) if len(followers) else np.zeros((len(behind), n_classes))
     log_behind = np.log(behind + PRIOR * np.exp(log_share[followers])) - np.log(by_class + PRIOR)[:, classes]
     log_other = np.log(PRIOR) - np.log(by_class + PRIOR)
-    begins = np.zeros(n_classes, bool)
-    begins[class_of[spaced]] = True
-    return CausalModel(class_of, row_of, log_share, group_of, follower_of, log_behind.astype(np.float32), log_other, spaced, begins, weights)
+    return CausalModel(class_of, column[class_of].astype(np.int16), row_of, log_share, group_of, follower_of, log_behind.astype(np.float32), log_other, spaced, weights)
 
 
 def train_on(model: CausalModel, adam: _Adam, ids, starts, rng, rate: float) -> None:
     """Steps over all windows of these texts, in the order that ``rng`` deals; every id is predicted once."""
     import numpy as np
 
-    row, label = np.append(model.row_of[ids], model.blank), np.append(model.class_of[ids], 0)
+    row, column = np.append(model.row_of[ids], np.int16(model.blank)), np.append(model.column_of[ids], np.int16(-1))
     place = rng.permutation(windows(starts, LENGTH, 0)[0])
     for at in range(0, len(place), BATCH):
-        adam.step(row, label, place[at : at + BATCH], rate)
+        adam.step(row, column, place[at : at + BATCH], rate)
 
 
-def encode_training(texts: DataFrame, tokenizer: str, end: int) -> DataFrame:
-    """(ids, round) of every training text: its subword ids, two bytes each, and the round that trains on it."""
+def encode_rows(rows: DataFrame, tokenizer: str, end: int) -> DataFrame:
+    """(doc_id, learn, round, ids, sizes, counted) of every row (doc_id, text, learn): the subword ids of its
+    text and end, two bytes each; the round that trains on them; how many ids each word and the end have, see
+    ``_packed_sizes``; and, in one of the rows that were encoded at once, the spelt words of those to learn from, counted."""
 
     def encode(batches):
         import numpy as np
         import pyarrow as pa
 
+        keep_freed()
         encoder = PieceEncoder.of(tokenizer, REMEMBERED)
-        for batch in batches:
-            for part in _groups(batch):
-                ids, starts, *_ = encode_texts(part.column(0), encoder, end)
-                offsets, data = pa.py_buffer((2 * starts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, np.uint16))
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, data]), part.column(1)], names=["ids", "round"])
+        for part in slices(batches, 1, _ENCODED, _ENCODED_BYTES):
+            ids, starts, coded, counts, firsts = encode_texts(part.column(1), encoder, end)
+            marks = np.zeros(len(ids), bool)
+            marks[firsts] = marks[starts[1:] - 1] = True
+            units = np.append(np.flatnonzero(marks), len(ids))
+            sizes, bounds = _packed_sizes(np.diff(units), np.concatenate([[0], np.cumsum(counts + 1)]))
+            learn = np.repeat(part.column(2).to_numpy(zero_copy_only=False).astype(bool), counts)
+            which = coded.indices.to_numpy()
+            n = np.bincount(which[learn], minlength=len(coded.dictionary))
+            seen = np.flatnonzero(n)
+            # The ids of a word are those of any place where it stands; behind the words of k texts are k ends.
+            place = np.zeros(len(n), np.int64)
+            place[which] = np.arange(len(which)) + np.repeat(np.arange(len(counts)), counts)
+            flat, before = gathered(ids, units, place[seen])
+            counted = pa.StructArray.from_arrays([_binary(flat, 2 * before), pa.array(n[seen])], names=["word", "n"])
+            first = pa.array(np.append(0, np.full(part.num_rows, len(seen), np.int32)).astype(np.int32))
+            columns = [part.column(0), part.column(2), part.column(3), _binary(np.ascontiguousarray(ids, np.uint16), 2 * starts), _binary(sizes, bounds), pa.ListArray.from_arrays(first, counted)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "learn", "round", "ids", "sizes", "counted"])
+
+    chosen = rows.select("doc_id", "text", "learn", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"))
+    return materialise(chosen.mapInArrow(encode, "doc_id bigint, learn boolean, round int, ids binary, sizes binary, counted array<struct<word:binary,n:bigint>>"), "ids")
+
+
+def _packed_sizes(sizes, bounds):
+    """Sizes as bytes: as many 255 as go into each, then the rest; ``bounds``, places in ``sizes``, become places in the bytes."""
+    import numpy as np
 
-    chosen = texts.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("round"))
-    return materialise(chosen.mapInArrow(encode, "ids binary, round int"), "ids")
+    many = sizes // 255
+    if not many.any():
+        return sizes.astype(np.uint8), bounds
+    ends = np.concatenate([[0], np.cumsum(many + 1)])
+    out = np.full(ends[-1], 255, np.uint8)
+    out[ends[1:] - 1] = sizes % 255
+    return out, ends[bounds]
+
+
+def _unpacked_sizes(packed):
+    """The sizes that ``_packed_sizes`` put into these bytes."""
+    import numpy as np
+
+    ends = np.flatnonzero(packed < 255)
+    if len(ends) == len(packed):
+        return packed.astype(np.int64)
+    return np.add.reduceat(packed, np.append(0, ends[:-1] + 1), dtype=np.int64)
+
+
+def _units(ids_column, sizes_column):
+    """Ids of the texts of two columns of ``encode_rows``, end to end, where each text's begin, where each
+    word's and end's begin; which of these are ends; the words as spelt (an Arrow array)."""
+    import numpy as np
+    import pyarrow as pa
+
+    ids, starts = _decoded(ids_column)
+    units = np.concatenate([[0], np.cumsum(_unpacked_sizes(_flat(sizes_column)[0]))])
+    last = np.zeros(len(ids) + 1, bool)
+    last[starts[1:] - 1] = True
+    ends = last[units[:-1]]
+    return ids, starts, units[:-1], ends, _binary(ids, 2 * units).filter(pa.array(~ends))
+
+
+def count_spelt(encoded: DataFrame) -> DataFrame:
+    """(word, n) over the rows of ``encode_rows`` to learn from, words as spelt."""
+    return encoded.select(F.inline("counted")).groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _decoded(column):
-    """Ids of the texts of a column of ``encode_training``, end to end, and where each text's begin."""
+    """Ids of the texts of a column of ``encode_rows``, end to end, and where each text's begin."""
     import numpy as np
 
-    texts = column.to_pylist()
-    starts = np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])]).astype(np.int64)
-    return np.frombuffer(b"".join(texts), np.uint16), starts
+    data, starts = _flat(column)
+    return np.frombuffer(data.tobytes(), np.uint16), starts // 2
 
 
 def refine(model: CausalModel, encoded: DataFrame) -> int:
@@ -525,14 +698,15 @@ def refine(model: CausalModel, encoded: DataFrame) -> int:
             yield pa.RecordBatch.from_arrays([pa.array([(total / n).astype(np.float32).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["weights", "n"])
 
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model.row_of, model.class_of, model.weights))
+        shared = spark.sparkContext.broadcast((model.row_of, model.column_of, model.weights))
         rate = ROUND_RATE * (1 - turn / ROUNDS)
 
         def train(batches):
             import pyarrow as pa
 
-            row_of, class_of, weights = shared.value
-            own = CausalModel(class_of, row_of, None, None, None, None, None, None, None, list(weights))
+            keep_freed()
+            row_of, column_of, weights = shared.value
+            own = CausalModel(None, column_of, row_of, None, None, None, None, None, None, list(weights))
             adam, rng, n = _Adam(own), np.random.default_rng((turn, TaskContext.get().partitionId())), 0
             for batch in batches:
                 for part in _groups(batch):
@@ -559,21 +733,39 @@ def refine(model: CausalModel, encoded: DataFrame) -> int:
 
 def learn_model(training: DataFrame, words: DataFrame, n_texts: int, tokenizer: str, spaced, end: int) -> tuple[CausalModel, int]:
     """The model of all training texts (doc_id, text), whose words are counted in ``words``, and the ids that it was trained on."""
+    encoded = encode_rows(training.select("doc_id", "text", F.lit(True).alias("learn")), tokenizer, end)
+    spelt = materialise(spell(words, tokenizer), "spelt")
+    found = fit_model(encoded, spelt, n_texts, spaced, end)
+    release(encoded, spelt)
+    return found
+
+
+def fit_model(encoded: DataFrame, spelt: DataFrame, n_texts: int, spaced, end: int) -> tuple[CausalModel, int]:
+    """The model of encoded texts, whose words are counted in ``spelt``, and the ids that it was trained on."""
     import numpy as np
 
     size = len(spaced)
     none = np.full(size, -1)
-    subwords, _ = count_subwords(words, tokenizer, none, none)
+    subwords, _ = count_subwords(spelt, none, none)
     group_of, follower_of = ranked_groups(subwords)
     group_of[end] = follower_of[end] = -1
-    _, behind = count_subwords(words, tokenizer, group_of, follower_of)
+    _, behind = count_subwords(spelt, group_of, follower_of)
     subwords[end] += n_texts
-    encoded = encode_training(training, tokenizer, end)
     company = count_company(encoded, top_subwords(subwords), size)
     model = prepare(subwords, behind, group_of, follower_of, spaced, company)
-    trained = refine(model, encoded)
-    release(encoded)
-    return model, trained
+    return model, refine(model, encoded)
+
+
+def _least(counts: DataFrame) -> int:
+    """The least n for which at most FREQUENT words of ``counts`` occur so often."""
+    total, least = 0, 1 << 62
+    # One row per n: fewer than the square root of twice the tokens.
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect():
+        total += r.words
+        if total > FREQUENT:
+            break
+        least = r.n
+    return least
 
 
 def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame:
@@ -590,38 +782,41 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
     size = vocabulary.get_vocab_size()
     spaced = np.array([(vocabulary.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", learn.alias("learn"))
-    training = rows.where("learn").select("doc_id", "text")
-    counts = materialise(count_words(training), "words")
+    encoded = encode_rows(rows, tokenizer, end)
+    training = encoded.where("learn")
+    counts = materialise(count_spelt(encoded), "words")
     n_texts = training.count()
     n_words, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
     n_all, v = n_words + n_texts, distinct + (n_texts > 0)
     unknown = (once + 0.5) / (n_all + 1)
     by_share, by_net = WORD_PART * (1 - unknown), (1 - WORD_PART) * (1 - unknown)
     spaced[end] = True  # an end begins anew, as a word does
-    model, _ = learn_model(training, counts, n_texts, tokenizer, spaced, end)
-    # Frequent words: at most FREQUENT, of at most FREQUENT_BYTES bytes.
-    top = counts.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = docs.sparkSession.sparkContext.broadcast(({r.word: k for k, r in enumerate(top)}, np.log10(np.array([r.n for r in top], np.float64) + 1), model))
+    model, _ = fit_model(training, counts, n_texts, spaced, end)
+    # Frequent words: at most FREQUENT, of at most FREQUENT_BYTES bytes; whoever occurs as often as one of them is one.
+    short = counts.where(F.octet_length("word") <= FREQUENT_BYTES)
+    top = short.where(F.col("n") >= _least(short)).toArrow()
+    frequent = docs.sparkSession.sparkContext.broadcast((top.column(0).combine_chunks(), np.log10(top.column(1).to_numpy().astype(np.float64) + 1), model))
     end_log, unit_log = float(np.log10(n_texts + 1)), float(np.log10(n_all + v + 1))
 
     def judge(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
+        keep_freed()
         index, logs, fitted = frequent.value
-        encoder, uid = PieceEncoder.of(tokenizer, REMEMBERED), TaskContext.get().partitionId() << 40
+        uid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in _groups(batch, 1):
+            for part in slices([batch], 2, _JUDGED, _GROUP_BYTES):
                 n = part.num_rows
-                ids, starts, coded, sizes, firsts = encode_texts(part.column(1), encoder, end)
-                marks, ends = np.zeros(len(ids), bool), starts[1:] - 1
-                marks[firsts] = marks[ends] = True
-                units = np.flatnonzero(marks)
+                ids, starts, units, last, words = _units(part.column(2), part.column(3))
+                firsts, ends = units[~last], starts[1:] - 1
+                sizes = np.diff(np.flatnonzero(last), prepend=-1) - 1
                 chance = np.zeros(len(ids))
                 each, begins = fitted.log_chances(ids, starts)
                 # Given that a unit begins here; a word ends where the next unit begins, which is in the same text.
                 chance[units] = np.add.reduceat(each, units) - begins[units]
-                chance[firsts] += begins[units[np.searchsorted(units, firsts) + 1]]
-                place = np.array([index.get(w, -1) for w in coded.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+                chance[firsts] += begins[units[np.flatnonzero(~last) + 1]]
+                place = pc.fill_null(pc.index_in(words, value_set=index), -1).to_numpy()
                 where, net, seen = np.repeat(np.arange(n), sizes), chance[firsts], place >= 0
                 known = np.bincount(where[seen], minlength=n)
                 base = np.bincount(where[seen], logs[place[seen]], n)
@@ -631,11 +826,11 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
                 # The other words go on with the network's log10 probability of each.
                 other = np.flatnonzero(~seen)
                 bounds = np.searchsorted(where[other], np.arange(n + 1)).astype(np.int32)
-                rest = pa.StructArray.from_arrays([coded.dictionary.take(coded.indices.take(pa.array(other))), pa.array(net[other] / _LOG10)], names=["word", "net"])
+                rest = pa.StructArray.from_arrays([words.take(pa.array(other)), pa.array(net[other] / _LOG10)], names=["word", "net"])
                 columns = [
                     pa.array(np.arange(uid, uid + n)),
                     part.column(0),
-                    part.column(2),
+                    part.column(1),
                     pa.array(sizes + 1),
                     pa.array(known),
                     pa.array(base),
@@ -646,11 +841,12 @@ def score(docs: DataFrame, learn, tokenizer: str, end: int = 50256) -> DataFrame
                 yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "learn", "n_tokens", "known", "base", "score", "rest"])
 
     judged = materialise(
-        rows.select("doc_id", "text", "learn").mapInArrow(
-            judge, "uid bigint, doc_id bigint, learn boolean, n_tokens bigint, known bigint, base double, score double, rest array<struct<word:string,net:double>>"
+        encoded.select("doc_id", "learn", "ids", "sizes").mapInArrow(
+            judge, "uid bigint, doc_id bigint, learn boolean, n_tokens bigint, known bigint, base double, score double, rest array<struct<word:binary,net:double>>"
         ),
         "judged",
     )
+    release(encoded)
     rest = judged.select("uid", F.inline("rest")).join(counts, "word", "left")
     plus = F.coalesce("n", F.lit(0)) + F.lit(1.0)
     unit = F.lit(1.0 / float(n_all + v + 1))

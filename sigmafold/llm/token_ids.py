@@ -52,6 +52,18 @@ def give_back() -> None:
         pass  # another C library
 
 
+def keep_freed(most: int = 1 << 26) -> None:
+    """Let this worker keep up to so much freed memory for its next arrays: else the system clears the same pages for each."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 23)  # larger blocks are mapped alone
+        libc.mallopt(-1, most)  # what may stay at the end of the heap
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 class PieceEncoder:
     """Encodes texts piece by piece and joins the ids.
 
@@ -255,3 +267,133 @@ class PieceEncoder:
         stops = before[bounds[1:] - bounds[0]]
         out = np.insert(flat, stops, np.uint16(end))
         return out, np.concatenate([[0], stops + np.arange(1, len(stops) + 1)])
+
+
+class WordMemory:
+    """Subword ids of words, each with a blank before it; what several calls asked for is remembered.
+
+    As in ``PieceEncoder``, a word of letters and punctuation has the ids of the one, then of the other,
+    and many words of letters are encoded in one call; but words stay Arrow arrays, without an object each.
+    """
+
+    def __init__(self, encoder: PieceEncoder):
+        import numpy as np
+        import pyarrow as pa
+
+        self.encoder = encoder
+        self.words, self.flat, self.bounds, self.uses = pa.array([], pa.string()), np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(0, np.int64)
+
+    @classmethod
+    def of(cls, encoder: PieceEncoder) -> "WordMemory":
+        """One for each encoder."""
+        if not hasattr(encoder, "word_memory"):
+            encoder.word_memory = cls(encoder)
+        return encoder.word_memory
+
+    def ids_of(self, words):
+        """Ids of the words of an Arrow array (distinct ones), end to end, and where each word's begin (with the total as one more)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(words):
+            return np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        place = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        known, new = len(self.words), np.flatnonzero(place < 0)
+        self.uses[place[place >= 0]] += 1
+        if len(new):
+            fresh = words.take(pa.array(new))
+            flat, sizes = self._spell(fresh)
+            place[new] = known + np.arange(len(new))
+            self.words, self.flat = pa.concat_arrays([self.words, fresh]), np.concatenate([self.flat, flat])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+            self.uses = np.concatenate([self.uses, np.ones(len(new), np.int64)])
+        out = gathered(self.flat, self.bounds, place)
+        if len(self.words) > self.encoder.remembered:
+            self._forget_rare()
+        return out
+
+    def _forget_rare(self) -> None:
+        """Keep the words that several calls asked for, at most half of what may be remembered."""
+        import numpy as np
+        import pyarrow as pa
+
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > self.encoder.remembered // 2:
+            kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: self.encoder.remembered // 2]])
+        self.flat, self.bounds = gathered(self.flat, self.bounds, kept)
+        self.words, self.uses = self.words.take(pa.array(kept)), self.uses[kept] // 2 + 1
+
+    def _spell(self, words):
+        """Ids of new words, end to end, and how many each has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        stems = pc.utf8_rtrim(words, characters=_PUNCTUATION)
+        letters = pc.match_substring_regex(stems, f"^{_LETTERS.pattern}$").to_numpy(zero_copy_only=False)
+        if not self.encoder.blanks_kept:
+            letters[:] = False
+        # The parts of each word: its stem and its tail, or itself.
+        at = np.flatnonzero(letters)
+        stems = stems.take(pa.array(at)).dictionary_encode()
+        tails = _behind(words.take(pa.array(at)), stems).dictionary_encode()
+        old = pc.fill_null(pc.index_in(stems.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
+        unknown = np.flatnonzero(old < 0)
+        flat, sizes = self._spell_letters(stems.dictionary.take(pa.array(unknown)))
+        single = [" " + w for w in words.filter(pa.array(~letters)).to_pylist()] + tails.dictionary.to_pylist()
+        more = [e.ids for k in range(0, len(single), 50_000) for e in self.encoder.tokenizer.encode_batch_fast(single[k : k + 50_000], add_special_tokens=False)]
+        more_sizes = np.fromiter(map(len, more), np.int64, len(more))
+        pool = np.concatenate([self.flat, flat, np.fromiter((i for x in more for i in x), np.uint16, int(more_sizes.sum()))])
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(np.concatenate([sizes, more_sizes]))])
+        known, odd = len(self.words) + len(unknown), len(words) - len(at)
+        old[unknown] = len(self.words) + np.arange(len(unknown))
+        parts = np.full((len(words), 2), -1)
+        parts[at, 0] = old[stems.indices.to_numpy()]
+        parts[at, 1] = known + odd + tails.indices.to_numpy()
+        parts[~letters, 0] = known + np.arange(odd)
+        used = parts >= 0
+        out, ends = gathered(pool, bounds, parts[used])
+        return out, np.diff(ends[np.cumsum(used.sum(1))], prepend=0)
+
+    def _spell_letters(self, words):
+        """Ids of words of letters alone, end to end, and how many each has."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(words):
+            return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+        cuts = np.append(np.arange(0, len(words), _JOINED), len(words)).astype(np.int32)
+        joined = [" " + t for t in pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts), words), " ").to_pylist()]
+        flat = np.concatenate([np.array(e.ids, np.uint16) for e in self.encoder.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        marks = np.flatnonzero(self.encoder._marks[flat])
+        if len(marks) != len(words):
+            raise ValueError("the tokenizer doesn't split words as expected")
+        return flat, np.diff(np.append(marks, len(flat)))
+
+
+def _behind(words, stems):
+    """What each of ``words`` (an Arrow array) has behind its stem."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    sizes = pc.binary_length(words).to_numpy().astype(np.int64)
+    rest = sizes - pc.binary_length(stems.dictionary).to_numpy()[stems.indices.to_numpy()]
+    first = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset)[:-1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    bounds = np.concatenate([[0], np.cumsum(rest)])
+    tail = data[np.arange(bounds[-1]) + np.repeat(first + sizes - rest - bounds[:-1], rest)]
+    return pa.Array.from_buffers(pa.string(), len(words), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(tail.tobytes())])
+
+
+def gathered(flat, bounds, where):
+    """Of ids end to end, with ``bounds``, those of the pieces ``where``, and where each of these begins (with the total as one more)."""
+    import numpy as np
+
+    starts, sizes = bounds[where], bounds[where + 1] - bounds[where]
+    before = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat((starts - before[:-1]).astype(np.int32), sizes)
+    at += np.arange(int(before[-1]), dtype=np.int32)
+    return flat[at], before

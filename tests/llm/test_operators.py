@@ -292,6 +292,73 @@ def test_chances_sum_to_one_over_the_vocabulary(sf, spark):
         assert abs(last[spaced].sum() - math.exp(begins[n])) < 1e-5
 
 
+def test_texts_are_read_once_and_split_into_words_once(spark, hard):
+    """The texts go through the whole operator in one pass: counting, training and scoring read their ids."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = hard.where("doc_id is not null").select("doc_id", seen("text").alias("text"))
+    assert lm_scoring.score(docs, ~language_id.held_out(F.col("doc_id"), 7, 2), BYTE).count() == docs.count() == len(hard_rows()) - 1
+    assert read.value == len(hard_rows()) - 1
+
+
+def test_gradient_of_the_causal_model():
+    """By differences, for every kind of weight; places outside a text count for nothing."""
+    rng, n = np.random.default_rng(0), 40
+    columns = np.concatenate([np.arange(0, lm_scoring.KIND, 3), np.arange(lm_scoring.KIND + 1, lm_scoring.COLUMNS, 3)])
+    width, length = lm_scoring.WIDTH, lm_scoring.LENGTH
+    weights = [(rng.standard_normal(s) * 0.3).astype(np.float32) for s in ((n, width), (length, width), (width, width), (width, width), (width + 1, lm_scoring.COLUMNS))]
+    model = lm_scoring.CausalModel(*[None] * 9, weights)
+    rows = rng.integers(0, n, (5, length))
+    wanted = np.where(rng.random(5 * length) < 0.1, -1, rng.choice(columns, 5 * length))
+
+    def loss():
+        z = model.forward(rows)[0].astype(float) @ weights[4]
+        begins = 1 / (1 + np.exp(-z[:, lm_scoring.KIND]))
+        chance = np.exp(z)
+        chance[:, : lm_scoring.KIND] *= (begins / chance[:, : lm_scoring.KIND].sum(1))[:, None]
+        chance[:, lm_scoring.KIND + 1 :] *= ((1 - begins) / chance[:, lm_scoring.KIND + 1 :].sum(1))[:, None]
+        return -np.log(chance[np.arange(len(z)), wanted])[wanted >= 0].mean()
+
+    each, rest = lm_scoring._gradients(model, rows, wanted)
+    embed = np.zeros((n, width))
+    np.add.at(embed, rows.ravel(), each)
+    for w, gradient in zip(weights, [embed, *rest]):
+        for _ in range(6):
+            at = tuple(rng.integers(0, d) for d in w.shape)
+            value = w[at]
+            w[at] = value + 0.01
+            above = loss()
+            w[at] = value - 0.01
+            below = loss()
+            w[at] = value
+            assert abs((above - below) / 0.02 - gradient[at]) < 2e-5
+
+
+def test_packed_sizes():
+    for sizes in ([], [1, 2, 254], [255, 1, 3, 510, 511, 254, 70_000, 1]):
+        sizes = np.array(sizes, np.int64)
+        packed, bounds = lm_scoring._packed_sizes(sizes, np.arange(len(sizes) + 1))
+        assert (lm_scoring._unpacked_sizes(packed) == sizes).all()
+        assert all((lm_scoring._unpacked_sizes(packed[bounds[k] : bounds[k + 1]]) == sizes[k : k + 1]).all() for k in range(len(sizes)))
+
+
+def test_word_memory_gives_the_ids_of_the_library(sf, spark):
+    """Also of words that were forgotten, of punctuation, odd white space and added tokens."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    texts += ["über, Straße! <|endoftext|> a<|endoftext|>b ¿qué? don't 'tis ... 12,5 a,b ,,, É. 東京, naïve; 😀! \x00z w\x1cv \xa0x y\xa0", "x" * 5000, "end, end. end"]
+    memory, library = token_ids.WordMemory(token_ids.PieceEncoder(BYTE, 500)), Tokenizer.from_file(BYTE)
+    for at in range(0, len(texts), 7):
+        part = list(dict.fromkeys(w for t in texts[at : at + 7] for w in re.split("[ \t-\r]+", t or "") if w))
+        ids, bounds = memory.ids_of(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(" " + w, add_special_tokens=False).ids for w in part]
+        assert len(memory.words) <= 500
+
+
 # --- op5 ---
 
 
